@@ -1,0 +1,28 @@
+"""Size checks before anything small is shipped to every task.
+
+A set goes into the plan as a literal (or is broadcast) only after a bounded
+probe proves it small: ``limit(cap + 1)`` never reads more than cap + 1 rows
+to the driver.  Callers keep a shuffle-based path for the other case.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# Largest set inlined into expressions as a literal.
+LITERAL_SET_CAP = 10_000
+
+
+def small_rows(df: DataFrame, cap: int = LITERAL_SET_CAP) -> list | None:
+    """The rows of ``df`` if there are at most ``cap`` of them, else None."""
+    rows = df.limit(cap + 1).collect()
+    if len(rows) > cap:
+        return None
+    return rows
+
+
+def small_values(df: DataFrame, col: str, cap: int = LITERAL_SET_CAP) -> list | None:
+    rows = small_rows(df.select(col).distinct(), cap)
+    if rows is None:
+        return None
+    return sorted(r[0] for r in rows if r[0] is not None)

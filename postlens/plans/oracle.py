@@ -85,9 +85,39 @@ SELECT k.post_id, r.kind,
        list_sort(list_distinct(list(r.subtopic))) AS subtopic
 FROM post_tokens k JOIN topic_rules r ON k.term = r.term
 GROUP BY k.post_id, r.kind""", ("post_tokens", "topic_rules")),
+    "stop": ("""
+SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(tag, '#')) AS w FROM posts_clean)
+WHERE w IS NOT NULL AND length(trim(w)) > 0""", ("posts_clean",)),
+    "batches": ("""
+SELECT *, (rn - 1) // 20 AS batch_id FROM (
+  SELECT *, row_number() OVER (ORDER BY postTimeRaw NULLS LAST, post_id) AS rn FROM posts_clean)""",
+                ("posts_clean",)),
+    "topics": ("""
+SELECT c.post_id, c.tweetText,
+  list_filter(t.topic, lambda x: NOT list_contains(s.sw, x)) AS topic,
+  list_filter(t.subtopic, lambda x: NOT list_contains(s.sw, x)) AS subtopic,
+  c.tag, c.username, c.postTimeRaw, c.year, c.month, c.day
+FROM post_topics t
+JOIN posts_clean c ON c.post_id = t.post_id
+JOIN (SELECT list(word) AS sw FROM stop) s ON true
+WHERE t.kind = 'faq'""", ("post_topics", "posts_clean", "stop")),
 }
 
 
+def topic_views(src: str, prefix: str) -> list[tuple[str, str]]:
+    """Clean, label and stop-word views over another posts view ``src``
+    (CTEs named ``<prefix>_clean``, ``<prefix>_post_topics``, ``<prefix>_stop``, ``<prefix>_topics``)."""
+    out = []
+    for name in ("posts_clean", "post_tokens", "post_topics", "stop", "topics"):
+        body = VIEWS[name][0]
+        for dep in ("posts_clean", "post_tokens", "post_topics", "stop"):
+            body = body.replace(f"FROM {dep}", f"FROM {prefix}_{dep}").replace(f"JOIN {dep}", f"JOIN {prefix}_{dep}")
+        if name == "posts_clean":
+            body = body.replace("FROM posts p", f"FROM {src} p")
+        out.append((f"{prefix}_{name}", body))
+    return out
+
+
 def with_views(body: str, *names: str, ctes: list[tuple[str, str]] | None = None) -> str:
     """Prepend the CTEs needed by ``names`` (transitively), then ``ctes``, to ``body``."""
     order: list[str] = []
