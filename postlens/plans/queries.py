@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlens.plans import cleaning, dashboard, extraction, labelling, storage  # noqa: F401
+from postlens.plans import cleaning, dashboard, extraction, labelling, storage, streams  # noqa: F401
 from postlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -25,6 +25,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     # Scalar subquery inside the plan: no driver round trip, no cross join.
     n_docs = documents.select(F.count(F.lit(1))).scalar()
+    return posts_of(events, documents, n_docs)
+
+
+def posts_of(events: DataFrame, documents: DataFrame, n_docs: Column) -> DataFrame:
+    """Events (batch or stream) joined to their documents, in post shape."""
     keyed = events.withColumn("_doc", F.col("event_id") % n_docs)
     j = keyed.join(documents, keyed["_doc"] == documents["doc_id"], "inner")
     ts = F.col("ts")
@@ -44,13 +49,8 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _null_username(df: DataFrame) -> Column:
-    return F.when(F.col("post_id") % 97 == 0, F.lit(None).cast("string")).otherwise(F.col("username"))
-
-
-def posts_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts with injected defects: null user, old time, month 13, day 0, repeats."""
-    p = posts(spark, sf_dir)
+def dirty(p: DataFrame) -> DataFrame:
+    """Inject the defects of ``posts_dirty`` into a posts frame (batch or stream)."""
     pid = F.col("post_id")
     x = p.select(
         "post_id", "category", "tag",
@@ -65,6 +65,15 @@ def posts_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.unionByName(x.filter(pid % 50 == 0))
 
 
+def _null_username(df: DataFrame) -> Column:
+    return F.when(F.col("post_id") % 97 == 0, F.lit(None).cast("string")).otherwise(F.col("username"))
+
+
+def posts_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with injected defects: null user, old time, month 13, day 0, repeats."""
+    return dirty(posts(spark, sf_dir))
+
+
 def posts_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is already stored: days 1..20, some null users."""
     p = posts(spark, sf_dir)
