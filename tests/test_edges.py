@@ -1,0 +1,268 @@
+"""Edge cases on small hand-made rows (the reference semantics, one by one)."""
+
+from __future__ import annotations
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from postlens.functions import text as tx
+from postlens.operators import clean, extract, ingest, quality, terms, topics, trends
+from postlens.schemas import POSTS
+
+T0 = dt.datetime(2024, 1, 5, 10, 0, 0)
+
+
+def _posts(spark, rows):
+    """rows: dicts with any POSTS fields; missing ones are null."""
+    names = [f.name for f in POSTS.fields]
+    data = [tuple(r.get(n) for n in names) for r in rows]
+    return spark.createDataFrame(data, POSTS)
+
+
+def _post(pid, text, t=T0, user="u", tag="#a"):
+    return {"post_id": pid, "category": "c", "tag": tag, "username": user, "tweetText": text,
+            "postTimeRaw": t, "scrapeTime": t, "tweet_link": f"https://x.com/u/status/{pid}",
+            "year": t.year if t else None, "month": t.month if t else None, "day": t.day if t else None}
+
+
+def test_clean_text_unicode_spaces(spark):
+    df = spark.createDataFrame([("  hello #tag world #x　",)], "t string")
+    got = df.select(tx.clean_text("t").alias("c")).first()["c"]
+    assert got == "hello  world"
+
+
+def test_clean_posts_keeps_earliest_and_breaks_ties_by_id(spark):
+    rows = [_post(3, "same #a", T0), _post(2, "same #b", T0), _post(1, "same", T0 + dt.timedelta(hours=1)),
+            _post(4, "other", None)]
+    got = clean.clean_posts(_posts(spark, rows)).orderBy("post_id").collect()
+    assert [(r.post_id, r.tweetText, r["index"]) for r in got] == [(2, "same", 3), (4, "other", 5)]
+
+
+def test_clean_posts_prefers_known_time_over_null(spark):
+    rows = [_post(1, "x", None), _post(2, "x", T0 + dt.timedelta(days=3))]
+    got = clean.clean_posts(_posts(spark, rows)).collect()
+    assert [r.post_id for r in got] == [2]
+
+
+def test_new_rows_null_keys_match_and_repeats_kept(spark):
+    stored = _posts(spark, [_post(1, "a", T0, user=None), _post(2, "b", None)])
+    batch = _posts(spark, [_post(10, "a", T0, user=None), _post(11, "b", None), _post(12, "c"), _post(12, "c")])
+    got = ingest.new_rows(batch, stored).collect()
+    assert sorted(r.post_id for r in got) == [12, 12]
+
+
+def test_new_rows_empty_batch_and_empty_store(spark):
+    empty = _posts(spark, [])
+    one = _posts(spark, [_post(1, "a")])
+    assert ingest.new_rows(empty, one).count() == 0
+    assert ingest.new_rows(one, empty).count() == 1
+
+
+def test_fingerprint_order_free_and_repeat_sensitive(spark):
+    rows = [_post(i, f"t{i}") for i in range(50)]
+    a = ingest.fingerprint(_posts(spark, rows)).first()
+    b = ingest.fingerprint(_posts(spark, list(reversed(rows))).repartition(7)).first()
+    assert a == b
+    # two copies of a row cancel in XOR, but count and sum still differ
+    c = ingest.fingerprint(_posts(spark, rows + [rows[0], rows[0]])).first()
+    assert c["x"] == a["x"] and (c["n"], c["s"]) != (a["n"], a["s"])
+
+
+def test_change_flags_detects_repeat_batch(spark):
+    fps = spark.createDataFrame([("p", 1, 5, 1, "9"), ("p", 2, 5, 1, "9"), ("p", 3, 6, 1, "9")],
+                                "source string, batch_id long, n long, x long, s string")
+    got = [r.changed for r in ingest.change_flags(fps).orderBy("batch_id").collect()]
+    assert got == [True, False, True]
+
+
+def test_tag_trend_3d_origin_is_first_day_midnight(spark):
+    rows = [_post(1, "a", dt.datetime(2024, 1, 2, 5)), _post(2, "b", dt.datetime(2024, 1, 4, 23)),
+            _post(3, "c", dt.datetime(2024, 1, 5, 0, 30))]
+    got = trends.tag_trend(_posts(spark, rows), "3D").orderBy("postTimeRaw").collect()
+    assert [(r.postTimeRaw, r["count"]) for r in got] == [(dt.datetime(2024, 1, 2), 2), (dt.datetime(2024, 1, 5), 1)]
+
+
+def test_slice_end_2359_excludes_last_minute(spark):
+    rows = [_post(1, "a", dt.datetime(2024, 1, 5, 23, 59, 0)), _post(2, "b", dt.datetime(2024, 1, 5, 23, 59, 30))]
+    s = trends.slice_posts(_posts(spark, rows), ["#a"], dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 5, 23, 59))
+    assert [r.post_id for r in s.collect()] == [1]
+
+
+def test_pivot_fills_zero_and_series_sums_to_slice(spark):
+    rows = [_post(1, "a", T0, tag="#a"), _post(2, "b", T0, tag="#a"),
+            _post(3, "c", T0 + dt.timedelta(hours=13), tag="#b")]
+    df = _posts(spark, rows)
+    tr = trends.tag_trend(df, "12H")
+    pv = trends.trend_pivot(tr, ["#a", "#b"]).orderBy("postTimeRaw").collect()
+    assert [(r["#a"], r["#b"]) for r in pv] == [(2, 0), (0, 1)]
+    ser = trends.trend_series(trends.trend_pivot(tr, ["#a", "#b"]), ["#a", "#b"]).collect()
+    assert sum(sum(r.data) for r in ser) == df.count()
+    assert all(len(r.x) == 2 for r in ser)
+
+
+def test_drop_stop_words_keeps_order_and_repeats(spark):
+    df = spark.createDataFrame([(["x", "a", "x", "b", "a"],)], "l array<string>")
+    got = df.select(tx.drop_stop_words("l", tx.literal_array(["a"])).alias("r")).first()["r"]
+    assert got == ["x", "x", "b"]
+
+
+def test_drop_stop_words_text(spark):
+    df = spark.createDataFrame([("  click  the\tbutton click\n",)], "t string")
+    got = df.select(tx.drop_stop_words_text("t", tx.literal_array(["click"])).alias("r")).first()["r"]
+    assert got == "the button"
+
+
+def test_remove_stop_words_join_path_equals_literal_path(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["a", "b", "a", "c"], ["b"]), (2, [], ["c", "c"])],
+                               "id long, topic array<string>, subtopic array<string>")
+    words = spark.createDataFrame([("a",), ("c",)], "word string")
+    lit = topics.remove_stop_words(df, words, ["topic", "subtopic"], "id").orderBy("id").collect()
+    monkeypatch.setattr(topics, "small_values", lambda *a, **k: None)
+    joined = topics.remove_stop_words(df, words, ["topic", "subtopic"], "id").orderBy("id").collect()
+    assert lit == joined
+    assert [r.topic for r in lit] == [["b"], []]
+
+
+def test_label_join_path_equals_expression_path(spark, monkeypatch):
+    posts = spark.createDataFrame([(1, "That was it, QUE der"), (2, "nothing"), (3, "eriner anea that")],
+                                  "post_id long, tweetText string")
+    from postlens.sources.fixtures import topic_rules
+
+    fast = topics.label_posts(posts, topic_rules(spark)).orderBy("post_id", "kind").collect()
+    monkeypatch.setattr(topics, "small_rows", lambda *a, **k: None)
+    slow = topics.label_posts(posts, topic_rules(spark)).orderBy("post_id", "kind").collect()
+    assert fast == slow
+    assert [(r.post_id, r.kind, r.topic) for r in fast] == [
+        (1, "faq", ["admissions", "general", "housing"]), (3, "faq", ["admissions"]), (3, "issue", ["registration"])]
+
+
+def _responses(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "batch_id long, response string")
+
+
+def test_parse_responses_edges(spark):
+    item = {"index": 1, "text": "a\tb", "topic": ["t"], "subtopic": ["s"]}
+    good = "Sure!\n" + json.dumps({"issue": [], "faq": [item]}) + "\nbye"
+    raw_tab = good.replace("\\t", "\t")
+    doubled = good.replace("{", "{{").replace("}", "}}")
+    no_json = "I cannot answer that."
+    empty_faq = json.dumps({"issue": [item], "faq": []})
+    p = topics.parse_responses(_responses(spark, [good, raw_tab, doubled, no_json, empty_faq]))
+    ok = [r.ok for r in p.orderBy("batch_id").collect()]
+    assert ok == [True, True, True, False, True]
+    faq = topics.explode_kind(p, "faq").orderBy("batch_id").collect()
+    assert [(r.batch_id, r.text) for r in faq] == [(0, "a\tb"), (1, "a\tb"), (2, "a\tb")]
+    assert topics.explode_kind(p, "issue").count() == 1
+
+
+def test_no_faq_gives_empty_table_with_schema(spark):
+    p = topics.parse_responses(_responses(spark, [json.dumps({"issue": [], "faq": []})]))
+    faq = topics.explode_kind(p, "faq")
+    assert faq.count() == 0 and faq.columns == ["batch_id", "index", "text", "topic", "subtopic"]
+
+
+def test_enrich_unknown_index_gives_nulls(spark):
+    faq = spark.createDataFrame([(99, "t", ["x"], ["y"])],
+                                "index long, text string, topic array<string>, subtopic array<string>")
+    cl = clean.clean_posts(_posts(spark, [_post(1, "hello")]))
+    got = topics.enrich(faq, cl).first()
+    assert got.tag is None and got.post_id is None and got.subtopic == ["y"]
+
+
+def test_batch_sizes_all_full_but_last(spark):
+    rows = [_post(i, f"t{i}", T0 + dt.timedelta(minutes=i % 7)) for i in range(47)]
+    b = topics.batch_posts(clean.clean_posts(_posts(spark, rows)), 20)
+    sizes = [r["count"] for r in b.groupBy("batch_id").count().orderBy("batch_id").collect()]
+    assert sizes == [20, 20, 7]
+    ordered = [r.post_id for r in b.orderBy("rn").collect()]
+    expect = [p["post_id"] for p in sorted(rows, key=lambda p: (p["postTimeRaw"], p["post_id"]))]
+    assert ordered == expect
+
+
+def test_top_terms_ties_and_null_terms(spark):
+    df = spark.createDataFrame([([f"t{i % 12}" for i in range(30)] + [None],), ([],)], "subtopic array<string>")
+    got = terms.top_terms(df, "subtopic", 10).collect()
+    assert len(got) == 10 and got[0]["count"] == 3 and all(r.subtopic is not None for r in got)
+    assert [r.subtopic for r in got][:3] == ["t0", "t1", "t2"]
+
+
+def test_term_counts_drops_tag_pieces(spark):
+    df = spark.createDataFrame([("#click", ["click", "docs"]), ("#view", ["docs", "view", "hours"])],
+                               "tag string, subtopic array<string>")
+    got = {r.term: r["count"] for r in terms.term_counts(df, "subtopic").collect()}
+    assert got == {"docs": 2, "hours": 1}
+
+
+def test_drill_down_repeats_multiply_and_nulls_match(spark):
+    tp = spark.createDataFrame([("x", "#a", None, ["d"]), ("y", "#a", T0, ["e"])],
+                               "tweetText string, tag string, postTimeRaw timestamp_ntz, subtopic array<string>")
+    ps = spark.createDataFrame([("x", "#a", None, "l1"), ("x", "#a", None, "l2")],
+                               "tweetText string, tag string, postTimeRaw timestamp_ntz, tweet_link string")
+    got = sorted(r.tweet_link for r in terms.drill_down(tp, ps, "d").collect())
+    assert got == ["l1", "l2"]
+
+
+def test_row_violations_rules(spark):
+    rows = [_post(1, "ok"), _post(2, "old", dt.datetime(2019, 5, 1)), _post(3, "nouser", user=None)]
+    rows[0]["month"] = 13
+    got = {r.post_id: r.violations for r in quality.row_violations(_posts(spark, rows), dt.datetime(2025, 1, 1)).collect()}
+    assert got == {1: ["month:range"], 2: ["postTimeRaw:range"], 3: ["username:required"]}
+
+
+def test_quality_report_empty_input(spark):
+    rep = {r.check: (r.value, r.passed) for r in quality.quality_report(_posts(spark, []), "full").collect()}
+    assert rep["record_count"] == (0, False)
+    assert rep["duplicate_rows"] == (0, True)
+
+
+def test_percent_encode_matches_python_quote(spark):
+    import urllib.parse
+
+    s = "#UNITED STATES*~.-_+/é"
+    got = spark.createDataFrame([(s,)], "t string").select(extract.percent_encode(F.col("t"))).first()[0]
+    assert got == urllib.parse.quote(s, safe="")
+
+
+POST_HTML = """<article><div data-testid="User-Name"><a href="/u">U</a><a href="/u2">U2</a>
+<a href="/user1/status/42"><time datetime="2024-01-05T10:00:00.123Z">Jan 5</time></a>
+<span>a</span><span>b</span><span> user1 </span><span>@user1</span><span>.</span></div>
+<div data-testid="tweetText"> hello <b>world</b> &amp; more </div></article>"""
+
+
+@pytest.mark.parametrize("html,reason", [
+    (POST_HTML, None),
+    (POST_HTML.replace('data-testid="User-Name"', ""), "no name node"),
+    (POST_HTML.replace('<a href="/u">U</a>', ""), "too few links"),
+    (POST_HTML.replace("<span>@user1</span><span>.</span>", ""), "unexpected structure"),
+    (POST_HTML.replace('data-testid="tweetText"', ""), "unexpected structure"),
+])
+def test_parse_post_article(html, reason):
+    user, text, when, link, why = extract.parse_post_article(html)
+    assert why == reason
+    if reason is None:
+        assert (user, text, when, link) == ("@user1", "hello world & more", "2024-01-05T10:00:00.123Z",
+                                            "https://x.com/user1/status/42")
+
+
+def test_parse_post_article_four_spans_picks_third():
+    html = POST_HTML.replace("<span>@user1</span><span>.</span>", "<span>@user1</span>")
+    assert extract.parse_post_article(html)[0] == "user1"
+
+
+def test_extract_posts_bad_time_rejected(spark):
+    bad = POST_HTML.replace("2024-01-05T10:00:00.123Z", "2024-01-05 10:00")
+    arts = spark.createDataFrame([("c", "#a", 1, POST_HTML), ("c", "#a", 2, bad)],
+                                 "category string, tag string, seen long, article string")
+    got = {r.seen: (r.reason, r.postTimeRaw) for r in extract.extract_posts(arts).collect()}
+    assert got[1] == (None, dt.datetime(2024, 1, 5, 10, 0, 0, 123000))
+    assert got[2][0] == "bad time"
+
+
+def test_dedup_first_seen_per_tag(spark):
+    df = spark.createDataFrame([("#a", "u", "t", 2), ("#a", "u", "t", 1), ("#b", "u", "t", 3)],
+                               "tag string, username string, tweetText string, seen long")
+    got = sorted((r.tag, r.seen) for r in extract.dedup_first_seen(df).collect())
+    assert got == [("#a", 1), ("#b", 3)]
