@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 # (?U) makes \s and \S Unicode-aware, as Python's str patterns are.
 HASHTAG = r"(?U)#\S+"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Whitespace as Python's str.strip() sees it: every code point below U+3001
+# for which str.isspace() holds (none above it).
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 ANY_SPACE = r"(?U)\s+"
 LETTER_RUN = r"(\p{L}+)"
 
@@ -24,8 +26,12 @@ def remove_hashtags(c: Column | str) -> Column:
 
 
 def strip_space(c: Column | str) -> Column:
-    """Strip leading and trailing Unicode whitespace (Spark trim strips blanks only)."""
-    return F.regexp_replace(_c(c), EDGE_SPACE, "")
+    """Strip leading and trailing Unicode whitespace.
+
+    ``trim`` with an explicit character set is a plain scan from both ends; a
+    regular expression ('^\\s+|\\s+$') retries at every inner run of spaces.
+    """
+    return F.trim(_c(c), F.lit(WHITESPACE))
 
 
 def clean_text(c: Column | str) -> Column:

@@ -47,52 +47,52 @@ def stop_words(df: DataFrame) -> DataFrame:
 
 # --- L2: rule labeller ---------------------------------------------------------------------------
 
-def _label_columns(text: Column, rules: list, kinds: list[str]) -> Column:
-    """Per row: array<struct<kind, topic, subtopic>> for kinds with at least one hit.
-
-    Pure expressions: tokens are intersected with the (small) rule terms and
-    looked up in a map literal, so labelling needs no shuffle.
-    """
+def _rule_lookup(rules: list) -> tuple[Column, Column, list[str]]:
+    """The rule terms (array literal), term -> hits (map literal), and the kinds."""
     by_term: dict[str, list[tuple[str, str, str]]] = {}
     for r in rules:
         by_term.setdefault(r["term"], []).append((r["kind"], r["topic"], r["subtopic"]))
-    terms = literal_array(by_term)
     kv = []
     for term in sorted(by_term):
         kv.append(F.lit(term))
         kv.append(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("topic"), F.lit(s).alias("subtopic"))
                             for k, t, s in by_term[term]]))
-    rule_map = F.create_map(*kv)
-    matched = F.array_intersect(tokens(text), terms)
-    hits = F.flatten(F.transform(matched, lambda t: F.element_at(rule_map, t)))
-    def of_kind(k: str):
-        return lambda h: h["kind"] == F.lit(k)
-
-    per_kind = []
-    for k in kinds:
-        mine = F.filter(hits, of_kind(k))
-        per_kind.append(F.struct(
-            F.lit(k).alias("kind"),
-            F.array_sort(F.array_distinct(F.transform(mine, lambda h: h["topic"]))).alias("topic"),
-            F.array_sort(F.array_distinct(F.transform(mine, lambda h: h["subtopic"]))).alias("subtopic"),
-        ))
-    return F.filter(F.array(*per_kind), lambda s: F.size(s["topic"]) > 0)
+    kinds = sorted({r["kind"] for r in rules})
+    return literal_array(by_term), F.create_map(*kv), kinds
+
+
+def _of_kind(k: str):
+    return lambda h: h["kind"] == F.lit(k)
 
 
 def label_posts(posts: DataFrame, rules: DataFrame, text_col: str = "tweetText",
                 keep: list[str] | None = None) -> DataFrame:
     """Rows (keep..., kind, topic, subtopic): one per post and kind with a hit.
 
-    Small rule table (size-checked): map-side expressions.  Large table: the
-    distinct tokens of each post are exploded and joined with the rules, and
-    the hits grouped back per (post, kind).
+    Small rule table (size-checked): map-side expressions, no shuffle.  The
+    whole text is tokenised once, in its own projection; later steps work
+    on the few matched terms.  ``inline_outer`` + a filter on its output keeps
+    Catalyst from inferring a filter on the text and pushing the tokenising
+    below an upstream aggregate.  Large table: the distinct tokens of each
+    post are exploded and joined with the rules, and the hits grouped back
+    per (post, kind).
     """
     keep = keep or ["post_id"]
     rows = small_rows(rules.select("term", "kind", "topic", "subtopic"))
     if rows is not None:
-        kinds = sorted({r["kind"] for r in rows})
-        lab = posts.select(*keep, _label_columns(F.col(text_col), rows, kinds).alias("_labels"))
-        return lab.select(*keep, F.inline("_labels"))
+        terms, rule_map, kinds = _rule_lookup(rows)
+        m = posts.select(*keep, F.array_intersect(tokens(F.col(text_col)), terms).alias("_m"))
+        h = m.select(*keep, F.flatten(F.transform("_m", lambda t: F.element_at(rule_map, t))).alias("_h"))
+        per_kind = []
+        for k in kinds:
+            mine = F.filter(F.col("_h"), _of_kind(k))
+            per_kind.append(F.struct(
+                F.lit(k).alias("kind"),
+                F.array_sort(F.array_distinct(F.transform(mine, lambda x: x["topic"]))).alias("topic"),
+                F.array_sort(F.array_distinct(F.transform(mine, lambda x: x["subtopic"]))).alias("subtopic"),
+            ))
+        lab = h.select(*keep, F.filter(F.array(*per_kind), lambda s: F.size(s["topic"]) > 0).alias("_labels"))
+        return lab.select(*keep, F.inline_outer("_labels")).filter(F.col("kind").isNotNull())
     toks = posts.select(*keep, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
     hits = toks.join(rules, "term", "inner")
     return hits.groupBy(*keep, "kind").agg(
@@ -243,13 +243,14 @@ def classify(posts: DataFrame, rules: DataFrame | None = None, model: ModelFn |
     username, postTimeRaw, year, month, day.
     """
     clean = clean_posts(posts, dedup=dedup)
+    # Numbering checkpoints the cleaned posts; every later use reads that copy.
     batched = batch_posts(clean, batch_size)
     if model is None:
         responses = rule_responses(batched, rules)
     else:
         responses = model_responses(prompt_batches(batched), model)
     faq = explode_kind(parse_responses(responses), "faq")
-    return enrich(faq, clean)
+    return enrich(faq, batched)
 
 
 def enrich(faq: DataFrame, clean: DataFrame) -> DataFrame:
@@ -262,13 +263,27 @@ def enrich(faq: DataFrame, clean: DataFrame) -> DataFrame:
                     "postTimeRaw", "year", "month", "day")
 
 
-def topics_direct(posts: DataFrame, rules: DataFrame) -> DataFrame:
+def checkpointed_clean(posts: DataFrame) -> DataFrame:
+    """Cleaned posts written once to the shared checkpoint folder.
+
+    The stop-word probe and the main plan both read it; without the cut the
+    cleaning (whole texts, one shuffle) would run twice.
+    """
+    from postlens.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(posts.sparkSession)
+    return clean_posts(posts).checkpoint(eager=True)
+
+
+def topics_direct(posts: DataFrame, rules: DataFrame, clean: DataFrame | None = None) -> DataFrame:
     """The topics table straight from the rule labeller (no response text).
 
     Equal to ``classify(posts, rules)`` for the rule model; it skips the
-    numbering pass and the JSON round trip.
+    numbering pass and the JSON round trip.  ``clean`` may be given when the
+    caller already holds the cleaned posts.
     """
-    clean = clean_posts(posts)
+    if clean is None:
+        clean = checkpointed_clean(posts)
     lab = label_posts(clean, rules, keep=["post_id", "tweetText", "tag", "username", "postTimeRaw",
                                           "year", "month", "day"]).filter(F.col("kind") == "faq")
     lab = remove_stop_words(lab, stop_words(clean), ["topic", "subtopic"], "post_id")

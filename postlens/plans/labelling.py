@@ -220,9 +220,9 @@ def new_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.new_rows(batch, stored, ingest.TOPIC_KEYS)
 
 
-def sliced_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.slice_topics(topics_table(spark, sf_dir), dashboard.DASH_TAGS, dashboard.DASH_START,
-                               dashboard.DASH_END)
+def sliced_topics(spark: SparkSession, sf_dir: str, clean_posts: DataFrame | None = None) -> DataFrame:
+    t = topics.topics_direct(fixtures.posts(spark, sf_dir), fixtures.topic_rules(spark), clean=clean_posts)
+    return trends.slice_topics(t, dashboard.DASH_TAGS, dashboard.DASH_START, dashboard.DASH_END)
 
 
 @query("slice_topics", with_views(f"SELECT * FROM topics WHERE {_SLICE}", "topics"))
@@ -271,6 +271,6 @@ LEFT JOIN (SELECT tweetText, tag, postTimeRaw, tweet_link FROM posts_clean WHERE
   ON h.tweetText IS NOT DISTINCT FROM p.tweetText AND h.tag IS NOT DISTINCT FROM p.tag
  AND h.postTimeRaw IS NOT DISTINCT FROM p.postTimeRaw""", "topics", "posts_clean"))
 def drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = trends.slice_posts(_clean(spark, sf_dir), dashboard.DASH_TAGS, dashboard.DASH_START,
-                               dashboard.DASH_END)
-    return terms.drill_down(sliced_topics(spark, sf_dir), posts, DRILL_TERM)
+    cleaned = topics.checkpointed_clean(fixtures.posts(spark, sf_dir))
+    posts = trends.slice_posts(cleaned, dashboard.DASH_TAGS, dashboard.DASH_START, dashboard.DASH_END)
+    return terms.drill_down(sliced_topics(spark, sf_dir, cleaned), posts, DRILL_TERM)
