@@ -253,6 +253,29 @@ def classify(posts: DataFrame, rules: DataFrame | None = None, model: ModelFn |
     return enrich(faq, batched)
 
 
+def label_endpoint(posts: DataFrame, rules: DataFrame | None = None, model: ModelFn | None = None,
+                   level: str = "subtopic", batch_size: int = ENDPOINT_BATCH_SIZE) -> DataFrame:
+    """F5 as the label endpoint computes it: no dedup, batches of 50, counts of
+    FAQ terms at ``level`` without the tag pieces of the input (term, count)."""
+    from postlens.operators.sizing import small_values
+
+    clean = clean_posts(posts, dedup=False)
+    batched = batch_posts(clean, batch_size)
+    if model is None:
+        responses = rule_responses(batched, rules)
+    else:
+        responses = model_responses(prompt_batches(batched), model)
+    faq = explode_kind(parse_responses(responses), "faq")
+    words = stop_words(batched)
+    t = faq.select(F.explode(level).alias("term")).filter(F.col("term").isNotNull())
+    vals = small_values(words, "word")
+    if vals is not None:
+        t = t.filter(~F.col("term").isin(vals)) if vals else t
+    else:
+        t = t.join(words.select(F.col("word").alias("term")), "term", "left_anti")
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+
+
 def enrich(faq: DataFrame, clean: DataFrame) -> DataFrame:
     """E3 + D7 + C4: attach post fields by ``index`` (left: unknown index gives
     nulls), drop tag pieces from the lists, rename text to tweetText."""

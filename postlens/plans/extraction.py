@@ -67,6 +67,15 @@ def extract_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("page_id", "article_no", "n_links", "link")
 
 
+@query("extract_nonempty", with_views(
+    "SELECT page_id, article_no, title, text FROM f WHERE length(title) > 0 AND length(text) > 0",
+    ctes=[_ARTICLES_CTE, _FIELDS_CTE]))
+def extract_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stripped fields, articles with an empty title or text dropped."""
+    f = extract.article_fields(extract.articles(read_table(spark, sf_dir, "pages")))
+    return f.filter((F.length("title") > 0) & (F.length("text") > 0)).select("page_id", "article_no", "title", "text")
+
+
 @query("dedup_first_seen", with_views("""
 SELECT * FROM posts_dirty
 QUALIFY row_number() OVER (PARTITION BY tag, username, tweetText ORDER BY post_id) = 1""", "posts_dirty"))

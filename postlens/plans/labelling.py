@@ -274,3 +274,20 @@ def drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = topics.checkpointed_clean(fixtures.posts(spark, sf_dir))
     posts = trends.slice_posts(cleaned, dashboard.DASH_TAGS, dashboard.DASH_START, dashboard.DASH_END)
     return terms.drill_down(sliced_topics(spark, sf_dir, cleaned), posts, DRILL_TERM)
+
+
+@query("endpoint_counts", with_views("""
+SELECT term, count(*) AS count FROM (SELECT unnest(sub) AS term FROM lab)
+WHERE term NOT IN (SELECT word FROM st)
+GROUP BY term""", "posts", "topic_rules", ctes=[
+    ("pc", """SELECT post_id, tag,
+  regexp_replace(regexp_replace(tweetText, '#\\S+', '', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM posts"""),
+    ("tok", "SELECT DISTINCT post_id, unnest(regexp_extract_all(lower(t), '\\p{L}+')) AS term FROM pc"),
+    ("lab", """SELECT k.post_id, list_distinct(list(r.subtopic)) AS sub
+FROM tok k JOIN topic_rules r ON k.term = r.term WHERE r.kind = 'faq' GROUP BY k.post_id"""),
+    ("st", """SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(tag, '#')) AS w FROM posts)
+WHERE w IS NOT NULL AND length(trim(w)) > 0"""),
+]))
+def endpoint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 through the label endpoint: every post labelled (no dedup), batches of 50."""
+    return topics.label_endpoint(fixtures.posts(spark, sf_dir), fixtures.topic_rules(spark), level="subtopic")
