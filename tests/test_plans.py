@@ -32,10 +32,23 @@ def test_day_slice_prunes_partitions(spark):
     assert {r.day for r in df.select("day").distinct().collect()} == {3, 4}
 
 
-def test_dashboard_slice_pushes_filters_to_scan(spark):
+def test_dashboard_slice_pushes_time_bounds_to_scan(spark):
     p = plan(E.queries()["slice_posts"](spark, SF_SMALL))
-    assert "PushedFilters: [IsNotNull(event_type), In(event_type" in p or "In(event_type" in p or \
-        "PushedFilters: [IsNotNull(ts)" in p
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts,2024-01-01T00:00), LessThanOrEqual(ts,2024-01-30T23:59)]" in p
+
+
+def test_store_slice_pushes_tag_and_time_and_prunes_days(spark):
+    from postlens.operators import trends
+    from postlens.plans import dashboard
+
+    path = E.queries()["scan_posts"](spark, SF_SMALL).inputFiles()[0].split("/year=")[0]
+    sliced = trends.slice_posts(store.read_store(spark, path), ["#click"], dt.datetime(2024, 1, 3),
+                                dt.datetime(2024, 1, 4, 23, 59), prune_days=True)
+    p = plan(sliced)
+    assert "In(tag, [#click])" in p or "EqualTo(tag,#click)" in p
+    assert "GreaterThanOrEqual(postTimeRaw" in p
+    assert "PartitionFilters: []" not in p
+    assert dashboard.DASH_TAGS  # the registered slice uses the same function
 
 
 def test_top_subtopics_is_take_ordered(spark):
