@@ -266,3 +266,29 @@ def test_dedup_first_seen_per_tag(spark):
                                "tag string, username string, tweetText string, seen long")
     got = sorted((r.tag, r.seen) for r in extract.dedup_first_seen(df).collect())
     assert got == [("#a", 1), ("#b", 3)]
+
+
+def test_hot_key_third_of_rows(spark):
+    """One text, tag and user hold a third of all rows: results stay exact and whole."""
+    n = 600
+    rows = []
+    for i in range(n):
+        hot = i % 3 == 0
+        t = T0 + dt.timedelta(minutes=(n - i))
+        rows.append(_post(i, "hot text #a" if hot else f"text {i} #b", t, user="hot" if hot else f"u{i}",
+                          tag="#a" if hot else "#b"))
+    df = _posts(spark, rows).repartition(6)
+    cl = clean.clean_posts(df)
+    hot = cl.filter(F.col("tweetText") == "hot text").collect()
+    earliest = min((r for r in rows if r["tweetText"] == "hot text #a"), key=lambda r: (r["postTimeRaw"], r["post_id"]))
+    assert [r.post_id for r in hot] == [earliest["post_id"]]
+    assert cl.count() == 1 + (n - n // 3)
+    seen = extract.dedup_first_seen(df.withColumn("seen", F.col("post_id")))
+    # the hot rows share (tag, user, text): one first-seen row, the smallest seen
+    assert [r.seen for r in seen.filter(F.col("username") == "hot").collect()] == [0]
+    assert seen.count() == 1 + (n - n // 3)
+    counts = {r.tag: r["count"] for r in trends.tag_trend(df, "1D").groupBy("tag").agg(F.sum("count").alias("count")).collect()}
+    assert counts == {"#a": n // 3, "#b": n - n // 3}
+    b = topics.batch_posts(cl, 20)
+    assert b.count() == cl.count() and b.agg(F.max("rn")).first()[0] == cl.count()
+    assert "Window" not in cl._jdf.queryExecution().executedPlan().toString()
