@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from postlens.operators import clean, ingest, quality, topics
+from postlens.operators import ingest, quality, topics
 from postlens.schemas import POST_COLUMNS, TOPICS
 from postlens.streaming.sources import with_event_time
 
@@ -53,9 +53,11 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, batch_id: int, cfg: Inge
         report["valid"] = valid
         if not valid and cfg.on_fail == "stop":
             raise BatchRejected(f"batch {batch_id} failed validation: {[r.asDict() for r in checks]}")
-        cleaned = clean.clean_posts(batch).select(*POST_COLUMNS)
-        report["posts_added"] = ingest.append_new(spark, cleaned, cfg.posts_path, ingest.POST_KEYS)
-        labelled = topics.topics_direct(batch, cfg.rules).select(*[f.name for f in TOPICS.fields])
+        # Cleaned once (checkpointed): both appends and the labeller read it.
+        cleaned = topics.checkpointed_clean(batch)
+        report["posts_added"] = ingest.append_new(spark, cleaned.select(*POST_COLUMNS), cfg.posts_path,
+                                                  ingest.POST_KEYS)
+        labelled = topics.topics_direct(batch, cfg.rules, clean=cleaned).select(*[f.name for f in TOPICS.fields])
         report["topics_added"] = ingest.append_new(spark, labelled, cfg.topics_path, ingest.TOPIC_KEYS, TOPICS)
         ingest.commit_fingerprint(spark, cfg.state_path, cfg.source, batch_id, fp)
         cfg.log.append(report)
