@@ -92,9 +92,10 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("export_snapshot", with_views("""
-SELECT post_id, category, tag, username, tweetText, timezone('UTC', postTimeRaw) AS "timestamp",
+SELECT post_id, category, tag, username, tweetText, postTimeRaw AS "timestamp",
        scrapeTime, tweet_link, year, month, day FROM posts""", "posts"))
 def export_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oracle gives the UTC wall time; Spark's column is the same instant (session zone UTC)."""
     set_utc(spark)
     path = work_dir(spark, "export")
     files.write_flat(clean.export_form(fixtures.posts(spark, sf_dir)), path)
