@@ -38,10 +38,15 @@ def parse_scrape_time(c: Column | str) -> Column:
     return F.try_to_timestamp(_c(c), F.lit(SCRAPE_TIME_FORMAT)).cast("timestamp_ntz")
 
 
+def cut_to_seconds(c: Column | str) -> Column:
+    """A capture time cut to seconds, as capture text."""
+    t = F.date_trunc("second", _c(c)).cast("timestamp_ntz")
+    return F.date_format(t, SCRAPE_TIME_FORMAT)
+
+
 def stamp_capture(run_time: dt.datetime) -> Column:
-    """Capture-time stamp cut to seconds, as text (run time is a parameter)."""
-    ts = F.lit(run_time).cast("timestamp_ntz")
-    return F.date_format(F.date_trunc("second", ts).cast("timestamp_ntz"), SCRAPE_TIME_FORMAT)
+    """C8 for one run: the run time (a parameter, never read from the clock here)."""
+    return cut_to_seconds(F.lit(run_time).cast("timestamp_ntz"))
 
 
 def format_day(c: Column | str) -> Column:
@@ -61,10 +66,6 @@ def ntz(value: dt.datetime) -> Column:
     return F.lit(value).cast("timestamp_ntz")
 
 
-def day_of(c: Column | str) -> Column:
-    return F.to_date(_c(c))
-
-
 def bin_start(ts: Column | str, minutes: int, origin: Column) -> Column:
     """Start of the fixed-size bin holding ``ts``; bins are laid from ``origin``.
 

@@ -146,8 +146,7 @@ def parse_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT post_id, strftime(scrapeTime, '%Y-%m-%dT%H:%M:%S') AS scrapeTime FROM posts", "posts"))
 def stamp_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fixtures.posts(spark, sf_dir)
-    cut = F.date_trunc("second", "scrapeTime").cast("timestamp_ntz")
-    return p.select("post_id", F.date_format(cut, tm.SCRAPE_TIME_FORMAT).alias("scrapeTime"))
+    return p.select("post_id", tm.cut_to_seconds("scrapeTime").alias("scrapeTime"))
 
 
 @query("format_day", with_views("SELECT post_id, strftime(postTimeRaw, '%Y-%m-%d') AS day_text FROM posts", "posts"))

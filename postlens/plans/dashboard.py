@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.functions.time import BIN_MINUTES
+from postlens.functions.time import BIN_MINUTES, combine
 from postlens.operators import trends
 from postlens.plans.oracle import with_views
 from postlens.plans.registry import query
@@ -16,8 +16,8 @@ from postlens.sources import fixtures
 # the whole month, and the form's default end time of 23:59 (so the last
 # minute of the last day is outside the slice, as in the dashboard).
 DASH_TAGS = ["#click", "#purchase", "#signup", "#view"]
-DASH_START = dt.datetime(2024, 1, 1, 0, 0)
-DASH_END = dt.datetime(2024, 1, 30, 23, 59)
+DASH_START = combine(dt.date(2024, 1, 1), dt.time(0, 0))
+DASH_END = combine(dt.date(2024, 1, 30), dt.time(23, 59))
 DEFAULT_BIN = "12H"
 
 _TAGS_SQL = ", ".join(f"'{t}'" for t in DASH_TAGS)

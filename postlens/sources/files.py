@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.functions.time import SCRAPE_TIME_FORMAT
-
 # CSV options that keep multi-line, quoted text intact in both directions.
 _CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 CSV_OPTIONS = {
@@ -53,4 +51,4 @@ def write_flat(df: DataFrame, path: str) -> None:
 
 
 __all__ = ["write_csv", "read_csv", "write_json_records", "read_json_records", "parse_json_column",
-           "write_flat", "SCRAPE_TIME_FORMAT"]
+           "write_flat"]
