@@ -116,6 +116,14 @@ def new_rows(batch: DataFrame, stored: DataFrame, keys: Sequence[str] = POST_KEY
     Repeats inside the batch are kept (bag difference, as a left merge does).
     """
     if restrict:
+        # The batch is read twice (bounds, join): write it once to the shared
+        # checkpoint folder.  It also stops the anti-join from being pushed
+        # into each branch of a batch that is a union, which would plan the
+        # store side once per branch.
+        from postlens.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(batch.sparkSession)
+        batch = batch.checkpoint(eager=True)
         lo, hi = time_bounds(batch)
         stored = restrict_store(stored, lo, hi)
     s = stored.select(*[F.col(k).alias(f"_s_{k}") for k in keys])
@@ -140,6 +148,10 @@ def append_new(spark: SparkSession, batch: DataFrame, store_path: str, keys: Seq
     if not store.store_exists(spark, store_path):
         fresh = batch
     else:
+        from postlens.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(batch.sparkSession)
+        batch = batch.checkpoint(eager=True)  # read twice: bounds, then the anti-join
         lo, hi = time_bounds(batch)
         if lo is None:
             stored = spark.read.schema(schema).parquet(store_path).filter(F.col("year").isNull())
