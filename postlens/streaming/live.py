@@ -8,6 +8,8 @@ the vocabulary holds one row per distinct (kind, level, term).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,10 +19,22 @@ from postlens.functions.text import clean_text
 from postlens.streaming.sources import with_event_time
 
 
-def trend_stream(posts_stream: DataFrame, size: str = "12 hours", watermark: str = "1 day") -> DataFrame:
-    """Counts per (tumbling window, tag); epoch-aligned windows."""
+def trend_stream(posts_stream: DataFrame, size: str = "12 hours", watermark: str = "1 day",
+                 origin: dt.datetime | None = None, size_minutes: int | None = None) -> DataFrame:
+    """Counts per (tumbling window, tag).
+
+    Windows are epoch-aligned unless ``origin`` is given.  A stream cannot know
+    the first day of its data, so multi-day bins laid from that day (the
+    batch trend's 3-day bins) need the origin passed in; it becomes the
+    window's start offset (``size_minutes`` is the window size in minutes).
+    """
     s = with_event_time(posts_stream).withWatermark("event_time", watermark)
-    g = s.groupBy(F.window("event_time", size).alias("w"), "tag").agg(F.count(F.lit(1)).alias("count"))
+    if origin is not None:
+        minutes = int((origin - dt.datetime(1970, 1, 1)).total_seconds() // 60) % int(size_minutes)
+        win = F.window("event_time", size, size, f"{minutes} minutes")
+    else:
+        win = F.window("event_time", size)
+    g = s.groupBy(win.alias("w"), "tag").agg(F.count(F.lit(1)).alias("count"))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("postTimeRaw"), "tag", "count")
 
 

@@ -54,3 +54,18 @@ def test_stream_ingest_is_idempotent_across_replays(spark, tmp_dir):
     per_batch = sum(r.get("posts_added", 0) for r in reports[:3])
     assert per_batch == first
     assert reports[5]["changed"] is False or reports[5].get("posts_added", 0) == 0
+
+
+def test_stream_trend_3d_with_origin_equals_batch(spark, tmp_dir):
+    import datetime as dt
+
+    src = _split_events(spark, tmp_dir)
+    first_day = read_table(spark, SF_SMALL, "events").agg(F.min(F.to_date("ts"))).first()[0]
+    origin = dt.datetime.combine(first_day, dt.time(0))
+    s = post_stream(spark, SF_SMALL, events_path=src, glob=None, max_files_per_trigger=1)
+    agg = live.trend_stream(s, "3 days", "4 days", origin=origin, size_minutes=3 * 1440)
+    q = live.start_updates(agg, f"{tmp_dir}/out3d", f"{tmp_dir}/ck3d", {"availableNow": True})
+    q.awaitTermination()
+    got = live.latest(spark, f"{tmp_dir}/out3d", ["postTimeRaw", "tag"])
+    want = trends.tag_trend(fixtures.posts(spark, SF_SMALL), "3D")
+    assert sorted(got.collect()) == sorted(want.collect())
