@@ -59,3 +59,23 @@ def test_fingerprint_independent_of_order_and_partitioning(spark, rows, parts, r
     b = ingest.fingerprint(spark.createDataFrame(shuffled, schema).repartition(parts)).first()
     assert a == b
     assert a["n"] == len(data)
+
+
+def test_global_row_number_equals_python_sort(spark):
+    """Two-pass numbering = position in (time nulls last, post_id) order, for any partition count."""
+    import datetime as dt
+
+    from postlens.operators.numbering import global_row_number
+    from postlens.operators.topics import batch_order
+
+    rnd = random.Random(7)
+    rows = []
+    for pid in rnd.sample(range(10_000), 500):
+        t = None if rnd.random() < 0.1 else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rnd.randint(0, 30))
+        rows.append((pid, t))
+    want = [pid for pid, t in sorted(rows, key=lambda r: (r[1] is None, r[1] or dt.datetime.min, r[0]))]
+    df = spark.createDataFrame(rows, "post_id long, postTimeRaw timestamp_ntz").repartition(3)
+    for parts in (1, 4, 9):
+        got = global_row_number(df, batch_order(), partitions=parts).orderBy("rn").collect()
+        assert [r.post_id for r in got] == want
+        assert [r.rn for r in got] == list(range(1, len(rows) + 1))
