@@ -79,3 +79,14 @@ def test_clean_posts_aggregates_map_side(spark):
     p = plan(E.queries()["clean_posts"](spark, SF_SMALL))
     assert "partial_min_by" in p or "partial_min_by".replace("_", "") in p.lower() or "HashAggregate" in p
     assert "Window" not in p
+
+
+def test_partitioned_write_bounds_files_per_day(spark, tmp_dir):
+    import glob
+
+    df = fixtures.posts(spark, SF_SMALL)
+    store.write_partitioned(df, f"{tmp_dir}/store", "append", files_per_day=3)
+    days = glob.glob(f"{tmp_dir}/store/year=*/month=*/day=*")
+    assert len(days) == df.select("year", "month", "day").distinct().count()
+    assert all(len(glob.glob(f"{d}/*.parquet")) <= 3 for d in days)
+    assert store.read_store(spark, f"{tmp_dir}/store").count() == df.count()
