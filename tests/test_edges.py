@@ -292,3 +292,15 @@ def test_hot_key_third_of_rows(spark):
     b = topics.batch_posts(cl, 20)
     assert b.count() == cl.count() and b.agg(F.max("rn")).first()[0] == cl.count()
     assert "Window" not in cl._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drill_down_post_id_join_equals_keys_join(spark):
+    from conftest import SF_SMALL
+    from postlens.plans import labelling
+    from postlens.sources import fixtures
+
+    cleaned = topics.checkpointed_clean(fixtures.posts(spark, SF_SMALL))
+    tp = labelling.sliced_topics(spark, SF_SMALL, cleaned)
+    by_keys = sorted(terms.drill_down(tp, cleaned, "documents", join_on="keys").collect())
+    by_id = sorted(terms.drill_down(tp, cleaned, "documents", join_on="post_id").collect())
+    assert by_keys == by_id and len(by_keys) > 0
