@@ -69,3 +69,20 @@ def test_stream_trend_3d_with_origin_equals_batch(spark, tmp_dir):
     got = live.latest(spark, f"{tmp_dir}/out3d", ["postTimeRaw", "tag"])
     want = trends.tag_trend(fixtures.posts(spark, SF_SMALL), "3D")
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_ingest_batch_stop_mode_commits_nothing(spark, tmp_dir):
+    import pytest
+
+    dirty = fixtures.posts_dirty(spark, SF_SMALL)
+    cfg = sing.IngestConfig(posts_path=f"{tmp_dir}/p", topics_path=f"{tmp_dir}/t", state_path=f"{tmp_dir}/s",
+                            rules=fixtures.topic_rules(spark), as_of=AS_OF, on_fail="stop")
+    with pytest.raises(sing.BatchRejected):
+        sing.ingest_batch(spark, dirty, 0, cfg)
+    # nothing stored and no fingerprint: a retry is not skipped as "unchanged"
+    assert not store.store_exists(spark, cfg.posts_path) and not store.store_exists(spark, cfg.state_path)
+    cfg.on_fail = "report"
+    rep = sing.ingest_batch(spark, dirty, 1, cfg)
+    assert rep["changed"] is True and rep["valid"] is False and rep["posts_added"] > 0
+    again = sing.ingest_batch(spark, dirty, 2, cfg)
+    assert again["changed"] is False
