@@ -11,7 +11,9 @@ from postlens.llm import ann, chat
 from postlens.llm.common import read
 from postlens.llm.embedding_dedup import near_duplicates
 from postlens.llm.katz import katz_scores
+from postlens.llm.mixing import mix, tokens_of
 from postlens.llm.packing import pack_documents
+from postlens.llm.quality import judge
 from postlens.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +69,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+@query("op7_temperature_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mix(read(spark, sf_dir, "documents"), max_repeats=1.5)
+    return taken.select("doc_id", "source", tokens_of(F.col("text")).alias("n_tokens"), F.col("_copies").alias("copies"))
+
+
+@query("op8_site_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", F.col("_q_good").alias("p_good"), F.col("_q_toxic").alias("p_toxic"),
+                         F.col("_q_site_good").alias("p_site_good"),
+                         ((F.col("_q_good") >= 0.5) & (F.col("_q_toxic") < 0.5)).alias("kept"))
+
+
 @query("op9_nearest_neighbours")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")

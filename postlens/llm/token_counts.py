@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ NO_RANK = np.int32(2**31 - 1)
 # White space runs begin here; Python's \s holds every space of the tokenizer.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 RUN = re.compile(r"\s\s")
+NEWLINE = "\u010a"  # a newline in the byte-level alphabet
 
 
 class RankMerger:
@@ -90,8 +92,10 @@ class RankMerger:
             sym, seq, rank, at = sym[stay], seq[stay], rank[stay], moved[at]
             if not len(sym):
                 break
-            redo = np.unique(np.concatenate([at, at - 1]))
-            redo = redo[redo >= 0]
+            near = np.zeros(len(sym), bool)
+            near[at] = True
+            near[at[at > 0] - 1] = True
+            redo = np.flatnonzero(near)
             nxt = np.minimum(redo + 1, len(sym) - 1)
             pair = (redo + 1 < len(sym)) & (seq[redo] == seq[nxt])
             rank[redo] = np.where(pair, self._rank(sym[redo], sym[nxt]), NO_RANK)
@@ -99,11 +103,12 @@ class RankMerger:
 
 
 class TokenCounter:
-    """Token counts of texts; remembers the counts of text parts, up to ``keep`` of them."""
+    """Token counts of texts; remembers the counts of up to ``keep`` text parts and pre-tokens."""
 
-    def __init__(self, path: str, keep: int = 400_000, batch_chars: int = 4_000_000):
+    def __init__(self, path: str, keep: int = 1_000_000, batch_chars: int = 4_000_000):
         self.merger, self.keep, self.batch_chars = RankMerger(path), keep, batch_chars
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {"": 0}
+        self.pieces: dict[str, int] = {}
 
     def _parts(self, text: str) -> list[str]:
         """Parts that hold whole pre-tokens: cut where a run of white space begins.
@@ -122,11 +127,35 @@ class TokenCounter:
             out += [" " + x for x in rest]
         return out
 
+    def _split(self, parts: list[str]) -> Iterator[tuple[str, list[str]]]:
+        """Each part with its pre-tokens; many parts to a call, a newline between them.
+
+        A newline is a pre-token of its own only between other characters or
+        before a single space, so other parts get a call each.
+        """
+        pre = self.merger.pre.pre_tokenize_str
+        joined, alone = [], []
+        for x in parts:
+            inner = x[1:] if x[0] == " " else x
+            (alone if not inner or inner[0].isspace() or inner[-1].isspace() or "\n" in inner else joined).append(x)
+        for x in alone:
+            yield x, [p for p, _ in pre(x)]
+        for lo in range(0, len(joined), 500):
+            some, own, i = joined[lo:lo + 500], [], 0
+            for p, _ in pre("\n".join(some)):
+                if p == NEWLINE:
+                    yield some[i], own
+                    own, i = [], i + 1
+                else:
+                    own.append(p)
+            yield some[i], own
+
     def _learn(self, parts: list[str]) -> None:
-        split = [[p for p, _ in self.merger.pre.pre_tokenize_str(x)] for x in parts]
-        pieces = list(dict.fromkeys(p for s in split for p in s))
-        n = dict(zip(pieces, self.merger.counts(pieces).tolist()))
-        self.known.update((x, sum(n[p] for p in s)) for x, s in zip(parts, split))
+        split = list(self._split(parts))
+        new = list(dict.fromkeys(p for _, s in split for p in s if p not in self.pieces))
+        self.pieces.update(zip(new, self.merger.counts(new).tolist()))
+        count = self.pieces.__getitem__
+        self.known.update((x, sum(map(count, s))) for x, s in split)
 
     def _some(self, texts: list[str]) -> list[int]:
         out, cut, todo = [0] * len(texts), [], {}
@@ -137,13 +166,13 @@ class TokenCounter:
             parts = [x for p in pieces for x in self._parts(p)]
             cut.append(parts)
             todo.update(dict.fromkeys(x for x in parts if x not in self.known))
-        self.known.setdefault("", 0)
-        todo.pop("", None)
         self._learn(list(todo))
         for i, parts in enumerate(cut):
             out[i] += sum(map(self.known.__getitem__, parts))
         if len(self.known) > self.keep:
-            self.known = {}
+            self.known = {"": 0}
+        if len(self.pieces) > self.keep:
+            self.pieces = {}
         return out
 
     def counts(self, texts: list[str]) -> list[int]:
@@ -156,6 +185,12 @@ class TokenCounter:
         return out + self._some(texts[lo:])
 
 
+@lru_cache(maxsize=1)
+def shared_counter(path: str) -> TokenCounter:
+    """One counter for all tasks that a Python worker runs."""
+    return TokenCounter(path)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit.
 
@@ -170,7 +205,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(tokenizer)
+        counter = shared_counter(tokenizer)
         for b in batches:
             raw = b.column(1)
             n = np.array(counter.counts(raw.to_pylist()), np.int64)
