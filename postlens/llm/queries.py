@@ -12,6 +12,7 @@ from postlens.llm.common import read
 from postlens.llm.embedding_dedup import near_duplicates
 from postlens.llm.katz import katz_scores
 from postlens.llm.mixing import mix, tokens_of
+from postlens.llm.ngram_join import ngram_components
 from postlens.llm.packing import pack_documents
 from postlens.llm.quality import judge
 from postlens.llm.token_counts import token_counts
@@ -51,11 +52,30 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(read(spark, sf_dir, "documents"), order=2)
 
 
+@query("op5_ngram_join", oracle=r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[ 	-]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS g FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(g) AS n, hash(unnest(g)) AS k FROM s),
+l AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.k = b.k AND a.doc_id <> b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.node),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, m.component_id FROM s JOIN m ON m.node = s.doc_id
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 @query("op6_embedding_near_dedup", oracle="""
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS MATERIALIZED (
   SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
