@@ -11,6 +11,7 @@ from postlens.llm import ann, chat
 from postlens.llm.common import read
 from postlens.llm.embedding_dedup import near_duplicates
 from postlens.llm.katz import katz_scores
+from postlens.llm.line_dedup import dedup_lines
 from postlens.llm.mixing import mix, tokens_of
 from postlens.llm.ngram_join import ngram_components
 from postlens.llm.packing import pack_documents
@@ -52,10 +53,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(read(spark, sf_dir, "documents"), order=2)
 
 
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read(spark, sf_dir, "documents"), count_col="n_lines_out")
+    return out.select("doc_id", "n_lines_out", "text")
+
+
 @query("op5_ngram_join", oracle=r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                             '[ 	-]+'), lambda x: x <> '') AS ws FROM documents),
+                             '[ 	-
+]+'), lambda x: x <> '') AS ws FROM documents),
 s AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
     ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS g FROM w),
