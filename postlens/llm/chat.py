@@ -10,8 +10,8 @@ A log holds events of conversations.  Per conversation, in sequence order:
 
 The fold needs no loop: with the events of a message sorted, its text is the
 concatenation of everything from its last ``edit`` on, or after its last
-``regenerate``; a turn is withdrawn if an earlier turn was regenerated after
-the turn's last event.  Both are window aggregates over one partitioning.
+``regenerate``; an event is undone if an earlier turn was regenerated after it.
+Both are window aggregates.
 
 Template: each message is ``<turn:ROLE>text</turn>`` followed by a newline.
 Inside roles and texts ``\\``, ``<`` and ``>`` are written ``\\b``, ``\\l`` and
@@ -54,27 +54,27 @@ def events_of(conversations: DataFrame) -> DataFrame:
 def reconstruct(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, turn, role, text) of a log (conv_id, seq, turn, kind, role, text).
 
-    role: the last one named by the message's events (null if none names any).
+    turn and seq are whole numbers.  role: the last one named by the message's
+    events (null if none names any).  A null turn is a message of its own.
     Null texts are empty.  Ties of seq are ordered by kind and text.  Events of an
     unknown or null kind raise no error and add nothing.  A conversation with
     no message left is absent.
     """
+    kind = F.col("kind")
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    known = (events.filter(kind.isin("delta", "edit", "regenerate"))
+             .withColumn("undone", F.max(F.when(kind == "regenerate", F.col("seq"))).over(earlier))
+             .filter("undone is null or seq >= undone"))
     newest = Window.partitionBy("conv_id", "turn").orderBy(F.desc("seq"), F.desc("kind"), F.desc("text"))
     behind = newest.rowsBetween(Window.unboundedPreceding, -1)
-    kind = F.col("kind")
-    live = (events.withColumn("cut_after", F.coalesce(F.max(kind.isin("edit", "regenerate").cast("int")).over(behind), F.lit(0)))
+    live = (known.withColumn("cut_after", F.coalesce(F.max(kind.isin("edit", "regenerate").cast("int")).over(behind), F.lit(0)))
             .withColumn("last_role", F.first("role", ignorenulls=True).over(
                 newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     adds = (F.col("cut_after") == 0) & kind.isin("delta", "edit")
     messages = live.groupBy("conv_id", "turn").agg(
-        F.max("seq").alias("last_seq"), F.max(F.when(kind == "regenerate", F.col("seq"))).alias("regenerated"),
         F.first("last_role").alias("role"),
-        F.sort_array(F.collect_list(F.when(adds, F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))))).alias("adds"),
-        F.max(kind.isin("delta", "edit", "regenerate")).alias("real"))
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return (messages.withColumn("undone", F.max("regenerated").over(before))
-            .filter("real and (undone is null or last_seq > undone)")
-            .select("conv_id", "turn", "role", F.array_join(F.transform("adds", lambda a: a["text"]), "").alias("text")))
+        F.sort_array(F.collect_list(F.when(adds, F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))))).alias("adds"))
+    return messages.select("conv_id", "turn", "role", F.array_join(F.transform("adds", lambda a: a["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
