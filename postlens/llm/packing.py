@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,39 +45,51 @@ CHROMOSOME = "shard long, island int, place int, n_bins long, squares double, ge
 
 # ---------------------------------------------------------------- tokens
 
-class TokenIds:
-    """Ids of texts by the tokenizers library, remembering text parts.
+class TokenIds(dict):
+    """Ids by the tokenizers library of text parts (as little-endian unsigned 32-bit integers), remembered.
 
-    For a tokenizer that drops white space, text between spaces and newlines
-    can be encoded apart: no token and no normalisation reaches across.
+    For a tokenizer that lower-cases, drops white space and never joins letters
+    with other characters: text between spaces and newlines can be encoded apart,
+    a closing full stop or comma apart from the letters before it, and letters in
+    lower case.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tok, self.keep = Tokenizer.from_file(path), keep
-        self.known: dict[str, bytes] = {}
-        probe = ["ab cd", "ab  cd", "ab\ncd", " ab cd\n"]
-        if len({tuple(self.tok.encode(p, add_special_tokens=False).ids) for p in probe}) != 1:
-            raise ValueError("expected a tokenizer that drops white space")
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.known))
-        for lo in range(0, len(new), 20_000):
-            some = new[lo:lo + 20_000]
-            for p, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        out = [b"".join(map(get, parts)) for parts in cut]
-        if len(self.known) > self.keep:
-            self.known = {}
+        for some in (("ab cd", "ab  cd", "ab\ncd", " ab cd\n", "AB Cd"), ("ab.", "ab ."), ("ab, c", "ab , c")):
+            if len({tuple(self.tok.encode(p, add_special_tokens=False).ids) for p in some}) != 1:
+                raise ValueError("expected a tokenizer that lower-cases, drops white space and splits at punctuation")
+        self.word = self.tok.model.tokenize
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.keep:
+            self.clear()
+        plain = part.isascii() and part.isalpha()
+        if len(part) > 1 and part[-1] in ",." and part[-2].lower().isalpha():
+            out = self[part[:-1]] + self[part[-1]]
+        elif plain and not part.islower():
+            out = self[part.lower()]
+        else:
+            found = [t.id for t in self.word(part)] if plain else self.tok.encode(part, add_special_tokens=False).ids
+            out = np.array(found, "<u4").tobytes()
+        self[part] = out
         return out
 
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+@lru_cache(maxsize=1)
+def shared_ids(path: str) -> TokenIds:
+    """One memory for all tasks that a Python worker runs."""
+    return TokenIds(path)
+
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(row, doc_id, piece, start, length, ids_crc32): every document's ids, the end id included, cut at ``capacity``.
@@ -88,13 +101,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, row = TokenIds(tokenizer), TaskContext.get().partitionId() << 40
+        ids, row = shared_ids(tokenizer).ids, TaskContext.get().partitionId() << 40
         for big in batches:
             for lo in range(0, big.num_rows, 1000):
                 b = big.slice(lo, 1000)
                 out: list[tuple] = []
-                for doc, raw in zip(b.column(0).to_pylist(), ids.ids(b.column(1).to_pylist())):
-                    raw += end
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    raw = ids(text) + end
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[at:at + 4 * capacity]
                         out.append((row, doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
