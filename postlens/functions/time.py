@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # The capture format of post times, and the display formats.
 POST_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+POST_TIME_SHAPE = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{1,6}Z$"
 SCRAPE_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 DAY_FORMAT = "yyyy-MM-dd"
 SECOND_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -30,8 +31,14 @@ def _c(c: Column | str) -> Column:
 
 
 def parse_post_time(c: Column | str) -> Column:
-    """Strict parse of a capture time literal; bad text gives null."""
-    return F.try_to_timestamp(_c(c), F.lit(POST_TIME_FORMAT)).cast("timestamp_ntz")
+    """Strict parse of a capture time literal; bad text gives null.
+
+    The fraction (1 to 6 digits) and the closing Z are required.  The text
+    before the Z is read as a wall time, so no session zone is involved.
+    """
+    t = _c(c)
+    wall = F.regexp_replace(t, "Z$", "")
+    return F.when(t.rlike(POST_TIME_SHAPE), wall.try_cast("timestamp_ntz"))
 
 
 def parse_scrape_time(c: Column | str) -> Column:

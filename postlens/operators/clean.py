@@ -55,8 +55,14 @@ def clean_posts(posts: DataFrame, dedup: bool = True) -> DataFrame:
     return out.select(*cleaned.columns).withColumn("index", F.col("post_id") + 1)
 
 
+def with_index(posts: DataFrame) -> DataFrame:
+    """The stored form: the original row label + 1 as ``index``."""
+    return posts.withColumn("index", (F.col("post_id") + 1).cast("long"))
+
+
 def display_table(posts: DataFrame) -> DataFrame:
     """The dashboard table drops bookkeeping and partition columns."""
+    # The columns the dashboard hides.
     drop = [c for c in ("index", "year", "month", "day", "scrapeTime") if c in posts.columns]
     return posts.drop(*drop)
 
@@ -64,12 +70,13 @@ def display_table(posts: DataFrame) -> DataFrame:
 def export_form(posts: DataFrame) -> DataFrame:
     """Rename postTimeRaw to ``timestamp``, int32 date parts, UTC-aware time.
 
-    The session zone is UTC (see ``session.set_utc``), so casting the naive
-    time to ``timestamp`` attaches UTC without shifting it.
+    The naive time is a UTC wall time.  A cast alone would read it in the
+    session's zone; ``from_utc_timestamp`` with that zone turns it into the
+    instant, whatever the session is set to.
     """
     out = posts.withColumnRenamed("postTimeRaw", "timestamp")
     return out.withColumns({
-        "timestamp": F.col("timestamp").cast("timestamp"),
+        "timestamp": F.from_utc_timestamp(F.col("timestamp").cast("timestamp"), F.current_timezone()),
         "year": F.col("year").cast("int"),
         "month": F.col("month").cast("int"),
         "day": F.col("day").cast("int"),

@@ -45,8 +45,8 @@ def text_of(html: Column) -> Column:
 
 
 def articles(pages: DataFrame) -> DataFrame:
-    """B1: one row per <article> of a page (an unclosed one runs to the end)."""
-    a = pages.select("page_id", "url", "html",
+    """B1: one row per <article> of a page (an unclosed one runs to the end); the page itself is not copied."""
+    a = pages.select("page_id", "url",
                      F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(ARTICLE), 1)).alias("article_no", "article"))
     return a
 
@@ -58,13 +58,13 @@ def absolute(url: Column, href: Column) -> Column:
 
 
 def article_fields(arts: DataFrame) -> DataFrame:
-    """Fields of each article: title (h1), text (the rest), links of the page.
+    """Fields of each article: title (h1), text (the rest), links of the article.
 
     B2 needs a title node, more than two links and a text; B3 picks the third
     link; B6 strips every field.
     """
     body = F.regexp_replace(F.col("article"), HEADING, "")
-    links = F.regexp_extract_all(F.col("html"), F.lit(HREF), 1)
+    links = F.regexp_extract_all(F.col("article"), F.lit(HREF), 1)
     return arts.select(
         "page_id", "url", "article_no",
         text_of(F.regexp_extract(F.col("article"), HEADING, 1)).alias("title"),
@@ -75,17 +75,21 @@ def article_fields(arts: DataFrame) -> DataFrame:
     )
 
 
-def reject_reason() -> Column:
+def reject_reason(min_links: int = 3) -> Column:
     """B2 + B6: why an article is not kept (null when it is)."""
     return (F.when(~F.col("has_title"), F.lit("no title node"))
-            .when(F.col("n_links") <= 2, F.lit("too few links"))
+            .when(F.col("n_links") < min_links, F.lit("too few links"))
             .when(F.length("title") == 0, F.lit("empty title"))
             .when(F.length("text") == 0, F.lit("empty text")))
 
 
-def extract_articles(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages -> (kept articles, rejected articles with a reason)."""
-    f = article_fields(articles(pages)).withColumn("reason", reject_reason())
+def extract_articles(pages: DataFrame, min_links: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Pages -> (kept articles, rejected articles with a reason).
+
+    ``min_links``: links that an article needs of its own; general pages, whose
+    articles are prose, take 0.
+    """
+    f = article_fields(articles(pages)).withColumn("reason", reject_reason(min_links))
     kept = f.filter(F.col("reason").isNull()).select("page_id", "article_no", "title", "text", "link")
     rejected = f.filter(F.col("reason").isNotNull()).select("page_id", "article_no", "reason")
     return kept, rejected
@@ -99,23 +103,20 @@ class _Node:
     def __init__(self, tag: str, attrs: dict):
         self.tag, self.attrs, self.children, self.text = tag, attrs, [], []
 
-    def content(self) -> str:
-        out = list(self.text_parts())
-        return "".join(out)
+    def walk(self):
+        """Everything below, in document order; a stack of its own, so depth has no limit."""
+        todo = list(reversed(self.children))
+        while todo:
+            ch = todo.pop()
+            yield ch
+            if isinstance(ch, _Node):
+                todo.extend(reversed(ch.children))
 
-    def text_parts(self):
-        for ch in self.children:
-            if isinstance(ch, str):
-                yield ch
-            else:
-                yield from ch.text_parts()
+    def content(self) -> str:
+        return "".join(ch for ch in self.walk() if isinstance(ch, str))
 
     def find_all(self, pred):
-        for ch in self.children:
-            if isinstance(ch, _Node):
-                if pred(ch):
-                    yield ch
-                yield from ch.find_all(pred)
+        return (ch for ch in self.walk() if isinstance(ch, _Node) and pred(ch))
 
 
 _VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr", "area", "base", "col", "embed", "param",
@@ -178,9 +179,17 @@ def parse_post_article(html: str) -> tuple[str | None, str | None, str | None, s
     return user, text, when, f"{SITE}{href}", None
 
 
+def _parse_or_reject(html: str) -> tuple:
+    """One article that cannot be parsed is a reject, never a failed job."""
+    try:
+        return parse_post_article(html)
+    except Exception as e:  # noqa: BLE001 - whatever markup raises, the row is kept with its reason
+        return None, None, None, None, f"unreadable: {type(e).__name__}"
+
+
 def _parse_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
-        parsed = [parse_post_article(h) for h in pdf["article"]]
+        parsed = [_parse_or_reject(h) for h in pdf["article"]]
         out = pdf.drop(columns=["article"]).copy()
         out["username"] = [p[0] for p in parsed]
         out["tweetText"] = [p[1] for p in parsed]

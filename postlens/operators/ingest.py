@@ -15,8 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postlens.schemas import FINGERPRINT
+from postlens.schemas import FINGERPRINT, STORED_POSTS
 from postlens.sources import store
+from postlens.sources.work import work_table
 
 POST_KEYS = ("postTimeRaw", "username", "tweetText")
 TOPIC_KEYS = ("postTimeRaw", "tweetText")
@@ -25,14 +26,15 @@ FP_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def row_digest(keys: Sequence[str] = POST_KEYS) -> Column:
-    """MD5 hex of the key fields joined with '_' (null fields skipped)."""
+    """MD5 hex of the key fields, each as its length, ':' and text ('-' for null).
+
+    The lengths keep fields apart whatever they hold; a null is no text.
+    """
     parts = []
     for k in keys:
-        if k == "postTimeRaw":
-            parts.append(F.date_format(F.col(k), FP_TIME_FORMAT))
-        else:
-            parts.append(F.col(k).cast("string"))
-    return F.md5(F.concat_ws("_", *parts))
+        text = F.date_format(F.col(k), FP_TIME_FORMAT) if k == "postTimeRaw" else F.col(k).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.md5(F.concat(*parts))
 
 
 def fingerprint(df: DataFrame, group_cols: Sequence[str] = (), keys: Sequence[str] = POST_KEYS) -> DataFrame:
@@ -114,24 +116,17 @@ def new_rows(batch: DataFrame, stored: DataFrame, keys: Sequence[str] = POST_KEY
     """Batch rows with no stored row equal on ``keys`` (nulls equal).
 
     Repeats inside the batch are kept (bag difference, as a left merge does).
+    The join is on one 16-byte digest of the keys, and the store side is made
+    distinct first (map-side): a key that fills a third of the store is one row.
     """
     if restrict:
-        # The batch is read twice (bounds, join): write it once to the shared
-        # checkpoint folder.  It also stops the anti-join from being pushed
-        # into each branch of a batch that is a union, which would plan the
-        # store side once per branch.
-        from postlens.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(batch.sparkSession)
-        batch = batch.checkpoint(eager=True)
+        # Read twice (bounds, join), and a union is planned once this way.
+        batch = work_table(batch, "batch")
         lo, hi = time_bounds(batch)
         stored = restrict_store(stored, lo, hi)
-    s = stored.select(*[F.col(k).alias(f"_s_{k}") for k in keys])
-    cond = None
-    for k in keys:
-        c = batch[k].eqNullSafe(s[f"_s_{k}"])
-        cond = c if cond is None else cond & c
-    return batch.join(s, cond, "left_anti")
+    known = stored.select(F.unhex(row_digest(keys)).alias("_known")).distinct()
+    return (batch.withColumn("_digest", F.unhex(row_digest(keys)))
+            .join(known, F.col("_digest") == F.col("_known"), "left_anti").drop("_digest"))
 
 
 def append_new(spark: SparkSession, batch: DataFrame, store_path: str, keys: Sequence[str] = POST_KEYS,
@@ -142,16 +137,11 @@ def append_new(spark: SparkSession, batch: DataFrame, store_path: str, keys: Seq
     null-date partition.  Re-running the same batch appends nothing, which
     makes the step safe to retry after a lost executor or a failed job.
     """
-    from postlens.schemas import POSTS
-
-    schema = schema or POSTS
+    schema = schema or STORED_POSTS
     if not store.store_exists(spark, store_path):
         fresh = batch
     else:
-        from postlens.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(batch.sparkSession)
-        batch = batch.checkpoint(eager=True)  # read twice: bounds, then the anti-join
+        batch = work_table(batch, "batch")  # read twice: bounds, then the anti-join
         lo, hi = time_bounds(batch)
         if lo is None:
             stored = spark.read.schema(schema).parquet(store_path).filter(F.col("year").isNull())

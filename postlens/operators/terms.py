@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.operators.sizing import small_values
+from postlens.operators.ingest import row_digest
 from postlens.operators.topics import stop_words
 
 TOP_K = 10
@@ -19,19 +19,14 @@ def explode_terms(topics: DataFrame, level: str = "subtopic") -> DataFrame:
 def term_counts(topics: DataFrame, level: str = "subtopic", remove_stop: bool = True) -> DataFrame:
     """how often each term occurs, stop words (tag pieces) excluded.
 
-    E5: the stop set is inlined when a bounded probe shows it small;
-    otherwise it is an anti-join.  Counting aggregates map-side, so a term
-    held by a third of all rows is pre-summed in every task.
+    E5: the stop words are an anti-join; Spark broadcasts them or not by their
+    size.  Counting aggregates map-side, so a term held by a third of all rows
+    is pre-summed in every task.
     """
     terms = explode_terms(topics, level)
     if remove_stop:
         words = stop_words(topics)
-        vals = small_values(words, "word")
-        if vals is not None:
-            if vals:
-                terms = terms.filter(~F.col("term").isin(vals))
-        else:
-            terms = terms.join(words.select(F.col("word").alias("term")), "term", "left_anti")
+        terms = terms.join(words.select(F.col("word").alias("term")), "term", "left_anti")
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -58,11 +53,8 @@ def drill_down(topics: DataFrame, posts: DataFrame, term: str, join_on: str = "k
         hit = hit.select("post_id", "tweetText", "tag", "postTimeRaw")
         links = posts.select("post_id", "tweet_link")
         return hit.join(links, "post_id", "left").select("tweetText", "tag", "postTimeRaw", "tweet_link")
-    hit = hit.select("tweetText", "tag", "postTimeRaw")
     keys = ["tweetText", "tag", "postTimeRaw"]
-    links = posts.select(*[F.col(k).alias(f"_p_{k}") for k in keys], "tweet_link")
-    cond = None
-    for k in keys:
-        c = hit[k].eqNullSafe(links[f"_p_{k}"])
-        cond = c if cond is None else cond & c
-    return hit.join(links, cond, "left").select("tweetText", "tag", "postTimeRaw", "tweet_link")
+    # The links' side moves a 16-byte digest of the keys, no texts.
+    links = posts.select(F.unhex(row_digest(keys)).alias("_p"), "tweet_link")
+    hit = hit.select(*keys, F.unhex(row_digest(keys)).alias("_h"))
+    return hit.join(links, F.col("_h") == F.col("_p"), "left").select(*keys, "tweet_link")

@@ -3,8 +3,12 @@
 The reference sends batches of 20 posts to a remote model and merges the
 answers back.  Here the default labeller is a rule table (term -> kind,
 topic, subtopic) applied as a Spark job; any other model plugs in as a
-``mapInPandas`` function over prompt batches.  Both produce the same response
-text, which is parsed with built-in JSON functions.
+``mapInPandas`` function over prompt batches, whose answers are parsed with
+built-in JSON functions.
+
+Rules and stop words are always joined, never written into the plan as
+literals: Spark broadcasts a small table and shuffles a large one by its own
+sizes, and the plan is the same for ten rules and for ten million.
 """
 
 from __future__ import annotations
@@ -15,19 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.functions.text import (drop_stop_words, json_span, literal_array, tokens,
-                                     undouble_braces)
+from postlens.functions.text import ANY_SPACE, json_span, strip_space, tokens, undouble_braces
 from postlens.operators.clean import clean_posts
 from postlens.operators.numbering import assign_batches
-from postlens.operators.sizing import small_rows, small_values
 from postlens.schemas import RESPONSE
+from postlens.sources.work import ROW_ID, with_row_ids, work_table
 
 # Batch sizes of the labelling job and of the label endpoint.
 JOB_BATCH_SIZE = 20
 ENDPOINT_BATCH_SIZE = 50
-# Free text around the JSON answer of the rule model.
-RESPONSE_HEAD = "Here are the groups for these messages:"
-RESPONSE_TAIL = "Let me know if you need anything else."
 
 ModelFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -41,63 +41,31 @@ def batch_order() -> list[Column]:
 def stop_words(df: DataFrame) -> DataFrame:
     """Pieces of the tags split on '#', without blanks, distinct (column ``word``)."""
     pieces = df.select(F.explode(F.split(F.col("tag"), "#")).alias("word"))
-    pieces = pieces.filter(F.col("word").isNotNull() & (F.length(F.trim(F.col("word"))) > 0))
+    pieces = pieces.filter(F.col("word").isNotNull() & (F.length(strip_space("word")) > 0))
     return pieces.distinct()
 
 
 # --- L2: rule labeller ---------------------------------------------------------------------------
 
-def _rule_lookup(rules: list) -> tuple[Column, Column, list[str]]:
-    """The rule terms (array literal), term -> hits (map literal), and the kinds."""
-    by_term: dict[str, list[tuple[str, str, str]]] = {}
-    for r in rules:
-        by_term.setdefault(r["term"], []).append((r["kind"], r["topic"], r["subtopic"]))
-    kv = []
-    for term in sorted(by_term):
-        kv.append(F.lit(term))
-        kv.append(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("topic"), F.lit(s).alias("subtopic"))
-                            for k, t, s in by_term[term]]))
-    kinds = sorted({r["kind"] for r in rules})
-    return literal_array(by_term), F.create_map(*kv), kinds
-
-
-def _of_kind(k: str):
-    return lambda h: h["kind"] == F.lit(k)
-
-
 def label_posts(posts: DataFrame, rules: DataFrame, text_col: str = "tweetText",
                 keep: list[str] | None = None) -> DataFrame:
-    """Rows (keep..., kind, topic, subtopic): one per post and kind with a hit.
-
-    Small rule table (size-checked): map-side expressions, no shuffle.  The
-    whole text is tokenised once, in its own projection; later steps work
-    on the few matched terms.  ``inline_outer`` + a filter on its output keeps
-    Catalyst from inferring a filter on the text and pushing the tokenising
-    below an upstream aggregate.  Large table: the distinct tokens of each
-    post are exploded and joined with the rules, and the hits grouped back
-    per (post, kind).
+    """Rows (keep..., kind, topic, subtopic): one per row of ``posts`` and kind with a hit.
+
+    The distinct tokens of each row are exploded with a row id and ``keep`` (so
+    keep it narrow: whole texts are joined back later, by id), joined with the
+    rules, and the hits grouped back per row and kind.  Repeated rows stay
+    apart; lists are sorted and distinct, null topics and subtopics included (last).
     """
     keep = keep or ["post_id"]
-    rows = small_rows(rules.select("term", "kind", "topic", "subtopic"))
-    if rows is not None:
-        terms, rule_map, kinds = _rule_lookup(rows)
-        m = posts.select(*keep, F.array_intersect(tokens(F.col(text_col)), terms).alias("_m"))
-        h = m.select(*keep, F.flatten(F.transform("_m", lambda t: F.element_at(rule_map, t))).alias("_h"))
-        per_kind = []
-        for k in kinds:
-            mine = F.filter(F.col("_h"), _of_kind(k))
-            per_kind.append(F.struct(
-                F.lit(k).alias("kind"),
-                F.array_sort(F.array_distinct(F.transform(mine, lambda x: x["topic"]))).alias("topic"),
-                F.array_sort(F.array_distinct(F.transform(mine, lambda x: x["subtopic"]))).alias("subtopic"),
-            ))
-        lab = h.select(*keep, F.filter(F.array(*per_kind), lambda s: F.size(s["topic"]) > 0).alias("_labels"))
-        return lab.select(*keep, F.inline_outer("_labels")).filter(F.col("kind").isNotNull())
-    toks = posts.select(*keep, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
-    hits = toks.join(rules, "term", "inner")
-    return hits.groupBy(*keep, "kind").agg(
-        F.array_sort(F.collect_set("topic")).alias("topic"),
-        F.array_sort(F.collect_set("subtopic")).alias("subtopic"))
+    toks = posts.select(*keep, F.monotonically_increasing_id().alias(ROW_ID),
+                        F.array_distinct(tokens(F.col(text_col))).alias("_t"))
+    toks = toks.select(*keep, ROW_ID, F.explode("_t").alias("term"))
+    hits = toks.join(rules.select("term", "kind", "topic", "subtopic"), "term", "inner")
+
+    def values(c: str) -> Column:
+        return F.transform(F.array_sort(F.collect_set(F.struct(c))), lambda x: x[c]).alias(c)
+
+    return hits.groupBy(ROW_ID, *keep, "kind").agg(values("topic"), values("subtopic")).drop(ROW_ID)
 
 
 # --- G2 + F11: batches and prompts ---------------------------------------------------------------
@@ -107,10 +75,22 @@ def batch_posts(clean: DataFrame, size: int = JOB_BATCH_SIZE) -> DataFrame:
     return assign_batches(clean, batch_order(), size)
 
 
-def prompt_batches(batched: DataFrame) -> DataFrame:
+def vocabulary_text(vocab: DataFrame) -> Column:
+    """The known terms (kind, level, term) as prompt lines '<kind> <level>: a, b', a scalar of the plan.
+
+    It is part of every prompt, so its size is what the model's prompt can hold.
+    """
+    lines = (vocab.groupBy("kind", "level").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+             .select(F.concat_ws(": ", F.concat_ws(" ", "kind", "level"), F.array_join("terms", ", ")).alias("line")))
+    return F.coalesce(lines.select(F.array_join(F.array_sort(F.collect_list("line")), "\n")).scalar(), F.lit(""))
+
+
+def prompt_batches(batched: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """one prompt per batch, lines '<index>: <text>' in batch order.
 
     A batch holds at most ``size`` rows, so the grouped lists are bounded.
+    ``vocab`` (kind, level, term): the terms known before this run, shown in a
+    column of their own (G3: a stream passes what is stored so far).
     """
     g = batched.groupBy("batch_id").agg(
         F.array_sort(F.collect_list(F.struct("rn", "index", "tweetText"))).alias("_rows"))
@@ -121,41 +101,11 @@ def prompt_batches(batched: DataFrame) -> DataFrame:
                                                              r["tweetText"])), "\n").alias("prompt"),
         F.transform("_rows", lambda r: r["index"]).alias("indexes"),
         F.transform("_rows", lambda r: r["tweetText"]).alias("texts"),
+        *([] if vocab is None else [vocabulary_text(vocab).alias("vocabulary")]),
     )
 
 
-# --- L1: the rule model as a Spark job ----------------------------------------------------------
-
-def rule_responses(batched: DataFrame, rules: DataFrame, double_braces_every: int = 0) -> DataFrame:
-    """Response text per batch: free text, the JSON answer, free text.
-
-    ``double_braces_every=k`` writes every k-th batch's JSON with doubled
-    braces, as a model sometimes does; the parser must undo it.
-    """
-    lab = label_posts(batched, rules, keep=["batch_id", "rn", "index", "tweetText"])
-
-    def items(kind: str) -> Column:
-        it = F.when(F.col("kind") == kind, F.struct(
-            F.col("rn"), F.struct(F.col("index").alias("index"), F.col("tweetText").alias("text"),
-                                  F.col("topic").alias("topic"), F.col("subtopic").alias("subtopic")).alias("item")))
-        return F.transform(F.array_sort(F.collect_list(it)), lambda x: x["item"]).alias(kind)
-
-    # Batches whose posts have no hit still get an answer with empty lists.
-    all_batches = batched.select("batch_id").distinct()
-    answered = lab.groupBy("batch_id").agg(items("issue"), items("faq"))
-    body = all_batches.join(answered, "batch_id", "left").select(
-        "batch_id",
-        F.to_json(F.struct(
-            F.coalesce(F.col("issue"), F.array().cast(RESPONSE["issue"].dataType)).alias("issue"),
-            F.coalesce(F.col("faq"), F.array().cast(RESPONSE["faq"].dataType)).alias("faq"),
-        )).alias("_json"))
-    j = F.col("_json")
-    if double_braces_every:
-        dbl = F.replace(F.replace(j, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
-        j = F.when(F.col("batch_id") % double_braces_every == 0, dbl).otherwise(j)
-    return body.select("batch_id", F.concat(F.lit(RESPONSE_HEAD + "\n"), j, F.lit("\n" + RESPONSE_TAIL))
-                       .alias("response"))
-
+# --- L1: the model hook ---------------------------------------------------------------------------
 
 def model_responses(prompts: DataFrame, model: ModelFn) -> DataFrame:
     """L1 hook: ``model`` maps pandas batches of prompts to (batch_id, response).
@@ -209,47 +159,73 @@ def running_vocab(parsed: DataFrame) -> DataFrame:
     return allp.groupBy("kind", "level", "term").agg(F.min("batch_id").alias("first_batch"))
 
 
-# --- D7 with a size check --------------------------------------------------------------------------
+def quarantine(responses: DataFrame) -> DataFrame:
+    """Answers that hold no usable JSON object: (batch_id, response, reason)."""
+    bad = parse_responses(responses).filter(~F.col("ok")).select("batch_id")
+    return (responses.join(bad, "batch_id", "left_semi")
+            .withColumn("reason", F.when(json_span("response") == "", "no JSON object").otherwise("unreadable JSON")))
+
 
-def remove_stop_words(df: DataFrame, words: DataFrame, columns: list[str], id_col: str) -> DataFrame:
+# --- D7, D8: stop words -----------------------------------------------------------------------------
+
+def remove_stop_words(df: DataFrame, words: DataFrame, columns: list[str]) -> DataFrame:
     """Drop stop words from list columns, keeping order and repeats.
 
-    Small word set (size-checked): an array literal inside the plan.  Larger:
-    positions are exploded, anti-joined with the words and regrouped per row.
+    Entries are exploded with a row id only, anti-joined with the words and
+    grouped back.  Null lists stay null, null entries stay in place, and
+    repeated rows stay apart.
+    """
+    rows = with_row_ids(df, "stop-words")
+    entries = None
+    for i, c in enumerate(columns):
+        e = rows.select(ROW_ID, F.lit(i).alias("_c"), F.posexplode(c).alias("_pos", "word"))
+        entries = e if entries is None else entries.unionByName(e)
+    kept = entries.join(words.select("word").distinct(), "word", "left_anti")
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("_c") == i, F.struct("_pos", "word")))),
+                         lambda x: x["word"]).alias(f"_kept_{c}") for i, c in enumerate(columns)]
+    out = rows.join(kept.groupBy(ROW_ID).agg(*lists), ROW_ID, "left")
+    empty = F.array().cast("array<string>")
+    return out.select(*[F.when(F.col(c).isNotNull(), F.coalesce(F.col(f"_kept_{c}"), empty)).alias(c) if c in columns else F.col(c)
+                        for c in df.columns])
+
+
+def remove_stop_words_text(df: DataFrame, words: DataFrame, text_col: str) -> DataFrame:
+    """The text's words without stop words, joined by one space (null stays null).
+
+    The distinct words of each text are joined with the stop words; only the
+    few that a text holds come back to it.
     """
-    vals = small_values(words, "word")
-    if vals is not None:
-        stop = literal_array(vals)
-        return df.withColumns({c: drop_stop_words(c, stop) for c in columns})
-    out = df
-    w = words.select(F.col("word").alias("_w"))
-    for c in columns:
-        ex = df.select(id_col, F.posexplode(c).alias("_pos", "_w"))
-        kept = ex.join(w, "_w", "left_anti")
-        back = kept.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_pos", "_w"))).alias("_l"))
-        back = back.select(id_col, F.transform("_l", lambda x: x["_w"]).alias(c))
-        out = out.drop(c).join(back, id_col, "left").withColumn(
-            c, F.coalesce(F.col(c), F.array().cast("array<string>")))
-    return out.select(*df.columns)
+    rows = with_row_ids(df, "stop-text")
+    parts = F.filter(F.split(strip_space(text_col), ANY_SPACE), lambda x: F.length(x) > 0)
+    found = (rows.select(ROW_ID, F.explode(F.array_distinct(parts)).alias("word"))
+             .join(words.select("word").distinct(), "word").groupBy(ROW_ID).agg(F.collect_list("word").alias("_stop")))
+    left = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col("_stop"), x), F.lit(False)))
+    return rows.join(found, ROW_ID, "left").select(
+        *[F.array_join(left, " ").alias(c) if c == text_col else F.col(c) for c in df.columns])
 
 
 # --- L3: the labelling job ----------------------------------------------------------------------
 
+def model_faq(posts: DataFrame, model: ModelFn, batch_size: int, dedup: bool,
+              vocab: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clean -> batch -> prompt -> model: (batched posts, FAQ rows, rejected answers)."""
+    batched = batch_posts(clean_posts(posts, dedup=dedup), batch_size)
+    # Answers are kept: the model must not be asked twice for the rows and the rejects.
+    responses = work_table(model_responses(prompt_batches(batched, vocab), model), "answers")
+    return batched, explode_kind(parse_responses(responses), "faq"), quarantine(responses)
+
+
 def classify(posts: DataFrame, rules: DataFrame | None = None, model: ModelFn | None = None,
-             batch_size: int = JOB_BATCH_SIZE, dedup: bool = True) -> DataFrame:
+             batch_size: int = JOB_BATCH_SIZE, dedup: bool = True, vocab: DataFrame | None = None) -> DataFrame:
     """Clean -> batch -> prompt -> model -> parse -> FAQ rows -> enrich -> stop words.
 
     Returns the topics table: post_id, tweetText, topic, subtopic, tag,
-    username, postTimeRaw, year, month, day.
+    username, postTimeRaw, year, month, day.  Without a model the rule
+    labeller gives the same table directly (no batches, no answers to parse).
     """
-    clean = clean_posts(posts, dedup=dedup)
-    # Numbering checkpoints the cleaned posts; every later use reads that copy.
-    batched = batch_posts(clean, batch_size)
     if model is None:
-        responses = rule_responses(batched, rules)
-    else:
-        responses = model_responses(prompt_batches(batched), model)
-    faq = explode_kind(parse_responses(responses), "faq")
+        return topics_direct(posts, rules, clean=None if dedup else work_table(clean_posts(posts, dedup=False), "cleaned"))
+    batched, faq, _ = model_faq(posts, model, batch_size, dedup, vocab)
     return enrich(faq, batched)
 
 
@@ -257,22 +233,12 @@ def label_endpoint(posts: DataFrame, rules: DataFrame | None = None, model: Mode
                    level: str = "subtopic", batch_size: int = ENDPOINT_BATCH_SIZE) -> DataFrame:
     """F5 as the label endpoint computes it: no dedup, batches of 50, counts of
     FAQ terms at ``level`` without the tag pieces of the input (term, count)."""
-    from postlens.operators.sizing import small_values
-
-    clean = clean_posts(posts, dedup=False)
-    batched = batch_posts(clean, batch_size)
     if model is None:
-        responses = rule_responses(batched, rules)
+        faq = label_posts(clean_posts(posts, dedup=False), rules, keep=["post_id"]).filter(F.col("kind") == "faq")
     else:
-        responses = model_responses(prompt_batches(batched), model)
-    faq = explode_kind(parse_responses(responses), "faq")
-    words = stop_words(batched)
+        _, faq, _ = model_faq(posts, model, batch_size, dedup=False)
     t = faq.select(F.explode(level).alias("term")).filter(F.col("term").isNotNull())
-    vals = small_values(words, "word")
-    if vals is not None:
-        t = t.filter(~F.col("term").isin(vals)) if vals else t
-    else:
-        t = t.join(words.select(F.col("word").alias("term")), "term", "left_anti")
+    t = t.join(stop_words(posts).select(F.col("word").alias("term")), "term", "left_anti")
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -281,34 +247,28 @@ def enrich(faq: DataFrame, clean: DataFrame) -> DataFrame:
     nulls), drop tag pieces from the lists, rename text to tweetText."""
     look = clean.select("index", "post_id", "tag", "username", "postTimeRaw", "year", "month", "day")
     j = faq.join(look, "index", "left")
-    j = remove_stop_words(j, stop_words(clean), ["topic", "subtopic"], "index")
+    j = remove_stop_words(j, stop_words(clean), ["topic", "subtopic"])
     return j.select("post_id", F.col("text").alias("tweetText"), "topic", "subtopic", "tag", "username",
                     "postTimeRaw", "year", "month", "day")
 
 
-def checkpointed_clean(posts: DataFrame) -> DataFrame:
-    """Cleaned posts written once to the shared checkpoint folder.
-
-    The stop-word probe and the main plan both read it; without the cut the
-    cleaning (whole texts, one shuffle) would run twice.
-    """
-    from postlens.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(posts.sparkSession)
-    return clean_posts(posts).checkpoint(eager=True)
+def stored_clean(posts: DataFrame) -> DataFrame:
+    """Cleaned posts as a work table: the stop words, the labeller and the final
+    join each read only the columns they need of it."""
+    return work_table(clean_posts(posts), "cleaned")
 
 
 def topics_direct(posts: DataFrame, rules: DataFrame, clean: DataFrame | None = None) -> DataFrame:
     """The topics table straight from the rule labeller (no response text).
 
-    Equal to ``classify(posts, rules)`` for the rule model; it skips the
-    numbering pass and the JSON round trip.  ``clean`` may be given when the
-    caller already holds the cleaned posts.
+    Equal to ``classify`` with a model that answers by the rules.  Only ids and
+    terms are shuffled for the labelling; texts join last, by row id.
+    ``clean``: the cleaned posts, if the caller holds them as a work table.
     """
     if clean is None:
-        clean = checkpointed_clean(posts)
-    lab = label_posts(clean, rules, keep=["post_id", "tweetText", "tag", "username", "postTimeRaw",
-                                          "year", "month", "day"]).filter(F.col("kind") == "faq")
-    lab = remove_stop_words(lab, stop_words(clean), ["topic", "subtopic"], "post_id")
-    return lab.select("post_id", "tweetText", "topic", "subtopic", "tag", "username", "postTimeRaw",
-                      "year", "month", "day")
+        clean = stored_clean(posts)
+    rows = with_row_ids(clean, "to-label")
+    lab = label_posts(rows.withColumnRenamed(ROW_ID, "_row"), rules, keep=["_row"]).filter(F.col("kind") == "faq")
+    lab = remove_stop_words(lab, stop_words(clean), ["topic", "subtopic"]).withColumnRenamed("_row", ROW_ID)
+    return lab.join(rows, ROW_ID).select("post_id", "tweetText", "topic", "subtopic", "tag", "username",
+                                         "postTimeRaw", "year", "month", "day")

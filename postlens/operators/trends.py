@@ -51,7 +51,7 @@ def slice_posts(df: DataFrame, tags: Sequence[str] | None, start: dt.datetime |
 slice_topics = slice_posts
 
 
-def tag_trend(sliced: DataFrame, freq: str = "12H") -> DataFrame:
+def tag_trend(sliced: DataFrame, freq: str = "12H", origin: dt.datetime | None = None) -> DataFrame:
     """count per (time bin, tag); only occupied pairs appear.
 
     Bins start at midnight of the first day in the slice.  For sizes that
@@ -59,7 +59,9 @@ def tag_trend(sliced: DataFrame, freq: str = "12H") -> DataFrame:
     planned for multi-day sizes.
     """
     minutes = BIN_MINUTES[freq]
-    if 1440 % minutes == 0:
+    if origin is not None:
+        origin = ntz(origin)
+    elif 1440 % minutes == 0:
         origin = ntz(EPOCH)
     else:
         origin = sliced.select(F.min(F.to_date("postTimeRaw")).cast("timestamp_ntz")).scalar()

@@ -119,6 +119,14 @@ def quality_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(fixtures.posts_new(spark, sf_dir), "incremental")
 
 
+@query("untyped_columns", with_views("""
+SELECT 'untyped_columns' AS "check", CAST(2 AS BIGINT) AS value, false AS passed""", "posts"))
+def untyped_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 on a table that fails it: a binary and a void column beside the posts'."""
+    p = fixtures.posts(spark, sf_dir).withColumns({"raw": F.col("tweetText").cast("binary"), "nothing": F.lit(None)})
+    return quality.quality_report(p, "full").filter("check = 'untyped_columns'")
+
+
 @query("quality_verdict", with_views(f"""
 SELECT invalid_rows, failed_checks, (invalid_rows = 0 AND failed_checks = 0) AS valid FROM (
   SELECT CAST((SELECT count(*) FROM posts_dirty WHERE len({_VIOLATIONS_SQL}) > 0) AS BIGINT) AS invalid_rows,
@@ -128,18 +136,20 @@ def quality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdict(fixtures.posts_dirty(spark, sf_dir), AS_OF, "full")
 
 
-@query("parse_time", with_views("""
-SELECT post_id, raw, try_strptime(raw, '%Y-%m-%dT%H:%M:%S.%gZ') AS parsed FROM (
-  SELECT post_id,
-    CASE WHEN tag = '#error' THEN replace(strftime(postTimeRaw, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', 'T', ' ')
-         ELSE strftime(postTimeRaw, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END AS raw
+_RAW_TIME_SQL = """strftime(postTimeRaw, '%Y-%m-%dT%H:%M:%S.') || substr('120456', 1, CAST(post_id % 7 AS INT)) || 'Z'"""
+
+
+@query("parse_time", with_views(f"""
+SELECT post_id, raw, CASE WHEN raw LIKE '%T%.%Z' AND raw NOT LIKE '%.Z' THEN CAST(rtrim(raw, 'Z') AS TIMESTAMP) END AS parsed FROM (
+  SELECT post_id, CASE WHEN tag = '#error' THEN replace({_RAW_TIME_SQL}, 'T', ' ') ELSE {_RAW_TIME_SQL} END AS raw
   FROM posts)""", "posts"))
 def parse_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractions of 1 to 6 digits are read; none at all (post_id % 7 = 0) or a blank for the T is bad text."""
     p = fixtures.posts(spark, sf_dir)
-    text = F.date_format("postTimeRaw", tm.POST_TIME_FORMAT)
+    digits = F.substr(F.lit("120456"), F.lit(1), (F.col("post_id") % 7).cast("int"))
+    text = F.concat(F.date_format("postTimeRaw", "yyyy-MM-dd'T'HH:mm:ss."), digits, F.lit("Z"))
     raw = F.when(F.col("tag") == "#error", F.replace(text, F.lit("T"), F.lit(" "))).otherwise(text)
-    r = p.select("post_id", raw.alias("raw"))
-    return r.withColumn("parsed", tm.parse_post_time("raw"))
+    return p.select("post_id", raw.alias("raw")).withColumn("parsed", tm.parse_post_time("raw"))
 
 
 @query("stamp_capture", with_views(

@@ -18,7 +18,7 @@ from postlens.sources import fixtures
 DASH_TAGS = ["#click", "#purchase", "#signup", "#view"]
 DASH_START = combine(dt.date(2024, 1, 1), dt.time(0, 0))
 DASH_END = combine(dt.date(2024, 1, 30), dt.time(23, 59))
-DEFAULT_BIN = "12H"
+DEFAULT_BIN = "6H"
 
 _TAGS_SQL = ", ".join(f"'{t}'" for t in DASH_TAGS)
 _SLICE_SQL = (f"tag IN ({_TAGS_SQL}) AND postTimeRaw BETWEEN TIMESTAMP '{DASH_START:%Y-%m-%d %H:%M:%S}' "

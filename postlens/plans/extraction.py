@@ -10,6 +10,7 @@ from postlens.plans.oracle import with_views
 from postlens.plans.registry import query
 from postlens.sources import fixtures
 from postlens.sources.tables import read_table
+from postlens.sources.work import work_table
 
 _UNESCAPE = "replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 
@@ -20,8 +21,8 @@ def _text_of(x: str) -> str:
 
 
 _ARTICLES_CTE = ("a", """
-SELECT page_id, url, html, unnest(arts) AS article, generate_subscripts(arts, 1) - 1 AS article_no
-FROM (SELECT page_id, url, html,
+SELECT page_id, url, unnest(arts) AS article, generate_subscripts(arts, 1) - 1 AS article_no
+FROM (SELECT page_id, url,
              regexp_extract_all(html, '(?s)<article[^>]*>(.*?)(?:</article>|\\z)', 1) AS arts FROM pages)""")
 
 _FIELDS_CTE = ("f", f"""
@@ -34,11 +35,12 @@ SELECT page_id, url, article_no,
     CASE WHEN starts_with(links[3], '/')
          THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) || links[3]
          ELSE links[3] END END AS link
-FROM (SELECT *, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS links FROM a)""")
+FROM (SELECT *, regexp_extract_all(article, '<a\\s[^>]*?href="([^"]*)"', 1) AS links FROM a)""")
 
-_REASON_CTE = ("r", """
+def _reason_cte(min_links: int) -> tuple[str, str]:
+    return ("r", f"""
 SELECT *, CASE WHEN NOT has_title THEN 'no title node'
-               WHEN n_links <= 2 THEN 'too few links'
+               WHEN n_links < {min_links} THEN 'too few links'
                WHEN length(title) = 0 THEN 'empty title'
                WHEN length(text) = 0 THEN 'empty text' END AS reason
 FROM f""")
@@ -46,15 +48,15 @@ FROM f""")
 
 @query("extract_articles", with_views(
     "SELECT page_id, article_no, title, text, link FROM r WHERE reason IS NULL",
-    ctes=[_ARTICLES_CTE, _FIELDS_CTE, _REASON_CTE]))
+    ctes=[_ARTICLES_CTE, _FIELDS_CTE, _reason_cte(0)]))
 def extract_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, _ = extract.extract_articles(read_table(spark, sf_dir, "pages"))
+    kept, _ = extract.extract_articles(read_table(spark, sf_dir, "pages"), min_links=0)
     return kept
 
 
 @query("extract_filter", with_views(
     "SELECT page_id, article_no, reason FROM r WHERE reason IS NOT NULL",
-    ctes=[_ARTICLES_CTE, _FIELDS_CTE, _REASON_CTE]))
+    ctes=[_ARTICLES_CTE, _FIELDS_CTE, _reason_cte(3)]))
 def extract_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rejected = extract.extract_articles(read_table(spark, sf_dir, "pages"))
     return rejected
@@ -76,18 +78,31 @@ def extract_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.filter((F.length("title") > 0) & (F.length("text") > 0)).select("page_id", "article_no", "title", "text")
 
 
-@query("extract_posts", with_views("""
-SELECT page_id, article_no, CAST(NULL AS VARCHAR) AS username, CAST(NULL AS VARCHAR) AS tweetText,
-       CAST(NULL AS TIMESTAMP) AS postTimeRaw, CAST(NULL AS VARCHAR) AS tweet_link, 'no name node' AS reason
-FROM a""", ctes=[_ARTICLES_CTE]))
+_REASON_SQL = "CASE post_id % 11 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in fixtures.ARTICLE_DEFECTS.items()) + " END"
+_WHOLE = "post_id % 11 < 5"
+_READ = "(post_id % 11 < 5 OR post_id % 11 = 9)"
+
+
+@query("extract_posts", with_views(f"""
+SELECT post_id // 2 AS page_id, row_number() OVER (PARTITION BY post_id // 2 ORDER BY post_id) - 1 AS article_no,
+       CASE WHEN {_READ} THEN username END AS username,
+       CASE WHEN {_READ} THEN regexp_replace(tweetText, '^\\s+|\\s+$', '', 'g') END AS tweetText,
+       CASE WHEN {_WHOLE} THEN CAST(strftime(postTimeRaw, '%Y-%m-%d %H:%M:%S.') || substr('120450', 1, CAST(post_id % 6 + 1 AS INT)) AS TIMESTAMP)
+       END AS postTimeRaw,
+       CASE WHEN {_READ} THEN tweet_link END AS tweet_link, {_REASON_SQL} AS reason
+FROM posts""", "posts"))
 def extract_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B2/B3/B5 with the capture's rules over every saved article (parsed per Arrow batch).
+    """B2/B3/B5/B6 with the capture's rules over post-shaped pages of every post, two articles a page,
+    whole ones and every kind of reject; the oracle is the posts themselves."""
+    arts = extract.articles(fixtures.post_pages(spark, sf_dir)).select("page_id", "article_no", "article")
+    return extract.extract_posts(arts)
 
-    The saved pages carry no post markup (no name node), so every article is
-    a reject with that reason; post-shaped HTML is covered by the edge tests.
-    """
+
+@query("extract_page_rejects", with_views("SELECT page_id, article_no, 'no name node' AS reason FROM a", ctes=[_ARTICLES_CTE]))
+def extract_page_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saved pages hold no post markup: each of their articles is quarantined with its reason."""
     arts = extract.articles(read_table(spark, sf_dir, "pages")).select("page_id", "article_no", "article")
-    return extract.extract_posts(arts)
+    return extract.extract_posts(arts).filter(F.col("reason").isNotNull()).select("page_id", "article_no", "reason")
 
 
 @query("dedup_first_seen", with_views("""
@@ -104,7 +119,8 @@ CATEGORIES = ["engagement", "incident", "conversion"]
 @query("flatten_results", with_views("SELECT * FROM posts", "posts"))
 def flatten_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B8 + I1: per-category results merged by name (union all)."""
-    p = fixtures.posts(spark, sf_dir)
+    # Read once: the branches filter a work table, not three copies of the view.
+    p = work_table(fixtures.posts(spark, sf_dir), "per-category")
     parts = [p.filter(F.col("category") == c) for c in CATEGORIES]
     out = parts[0]
     for part in parts[1:]:
@@ -117,5 +133,6 @@ SELECT DISTINCT r.r_name AS category, '#' || n.n_name AS tag,
        'https://x.com/search?q=' || url_encode('#' || n.n_name) || '&src=typed_query&f=live' AS url
 FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey""")
 def tag_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cat = fixtures.tag_catalog(spark, sf_dir)
+    # The catalog in its map form: category -> list of tags.
+    cat = fixtures.tag_catalog(spark, sf_dir).groupBy("category").agg(F.collect_list("tag").alias("tags"))
     return extract.tag_targets(cat)

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.functions import text as tx
 from postlens.operators import clean, ingest, terms, topics, trends
 from postlens.plans import dashboard
 from postlens.plans.oracle import topic_views, with_views
@@ -17,6 +12,7 @@ from postlens.plans.registry import query
 from postlens.schemas import TOPICS
 from postlens.session import work_dir
 from postlens.sources import fixtures, store
+from postlens.sources.work import work_table
 
 # Fixed parameter: the term clicked in the word cloud for the drill-down.
 DRILL_TERM = "documents"
@@ -57,8 +53,9 @@ def prompt_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batched = topics.batch_posts(_clean(spark, sf_dir))
-    return topics.rule_responses(batched, fixtures.topic_rules(spark), double_braces_every=7)
+    """Answers of the stand-in model (fixtures) to every batch of cleaned posts."""
+    prompts = topics.prompt_batches(topics.batch_posts(_clean(spark, sf_dir)))
+    return work_table(topics.model_responses(prompts, fixtures.rule_model(double_braces_every=7)), "answers")
 
 
 _ITEMS_SQL = """
@@ -119,41 +116,19 @@ def classify_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.classify(fixtures.posts(spark, sf_dir), fixtures.topic_rules(spark))
 
 
-def rule_model(rules: list[tuple[str, str, str, str]]):
-    """A deterministic stand-in for the remote model, run inside the tasks.
-
-    It answers each prompt batch with the rule table, in the same response
-    shape a model gives: free text around one JSON object.
-    """
-    import regex
-
-    letters = regex.compile(r"\p{L}+")
-    by_term: dict[str, list[tuple[str, str, str]]] = {}
-    for term, kind, topic, sub in rules:
-        by_term.setdefault(term, []).append((kind, topic, sub))
-
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for bid, idxs, texts in zip(pdf["batch_id"], pdf["indexes"], pdf["texts"]):
-                ans = {"issue": [], "faq": []}
-                for i, t in zip(idxs, texts):
-                    hits = [h for w in set(letters.findall(t.lower())) for h in by_term.get(w, [])]
-                    for kind in ("issue", "faq"):
-                        mine = [h for h in hits if h[0] == kind]
-                        if mine:
-                            ans[kind].append({"index": int(i), "text": t,
-                                              "topic": sorted({h[1] for h in mine}),
-                                              "subtopic": sorted({h[2] for h in mine})})
-                out.append((int(bid), f"{topics.RESPONSE_HEAD}\n{json.dumps(ans)}\n{topics.RESPONSE_TAIL}"))
-            yield pd.DataFrame(out, columns=["batch_id", "response"])
-
-    return fn
-
-
 @query("classify_hook", with_views("SELECT * FROM topics", "topics"))
 def classify_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.classify(fixtures.posts(spark, sf_dir), model=rule_model(fixtures.TOPIC_RULES))
+    return topics.classify(fixtures.posts(spark, sf_dir), model=fixtures.rule_model())
+
+
+@query("quarantine_answers", with_views(f"""
+SELECT DISTINCT batch_id, '{fixtures.RESPONSE_HEAD}' AS response, 'no JSON object' AS reason
+FROM batches WHERE batch_id % 11 = 0""", "batches"))
+def quarantine_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3's rejects: answers that break off before their JSON are kept aside, with a reason."""
+    _, _, rejected = topics.model_faq(fixtures.posts(spark, sf_dir), fixtures.rule_model(broken_every=11),
+                                      topics.JOB_BATCH_SIZE, dedup=True)
+    return rejected
 
 
 @query("strip_stop_words", with_views("""
@@ -164,8 +139,7 @@ FROM post_topics t JOIN (SELECT list(word) AS sw FROM stop) s ON true""", "post_
 def strip_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _clean(spark, sf_dir)
     lab = topics.label_posts(c, fixtures.topic_rules(spark))
-    return topics.remove_stop_words(lab.withColumn("_id", F.concat_ws("|", F.col("post_id").cast("string"), "kind")),
-                                    topics.stop_words(c), ["topic", "subtopic"], "_id").drop("_id")
+    return topics.remove_stop_words(lab, topics.stop_words(c), ["topic", "subtopic"])
 
 
 @query("strip_stop_text", with_views("""
@@ -175,11 +149,8 @@ SELECT c.post_id, array_to_string(list_filter(
   lambda x: NOT list_contains(s.sw, x)), ' ') AS text
 FROM posts_clean c JOIN (SELECT list(word) AS sw FROM stop) s ON true""", "posts_clean", "stop"))
 def strip_stop_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _clean(spark, sf_dir)
-    from postlens.operators.sizing import small_values
-
-    vals = small_values(topics.stop_words(c), "word")
-    return c.select("post_id", tx.drop_stop_words_text("tweetText", tx.literal_array(vals or [])).alias("text"))
+    c = topics.stored_clean(fixtures.posts(spark, sf_dir))
+    return topics.remove_stop_words_text(c.select("post_id", F.col("tweetText").alias("text")), topics.stop_words(c), "text")
 
 
 # --- topics store and dashboard ------------------------------------------------------------------
@@ -220,9 +191,21 @@ def new_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.new_rows(batch, stored, ingest.TOPIC_KEYS)
 
 
-def sliced_topics(spark: SparkSession, sf_dir: str, clean_posts: DataFrame | None = None) -> DataFrame:
-    t = topics.topics_direct(fixtures.posts(spark, sf_dir), fixtures.topic_rules(spark), clean=clean_posts)
-    return trends.slice_topics(t, dashboard.DASH_TAGS, dashboard.DASH_START, dashboard.DASH_END)
+def posts_store_path(spark: SparkSession, sf_dir: str) -> str:
+    """The cleaned posts as the ingest stores them, written once per application and data folder."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#posts")
+    path = _written.get(key)
+    if path is None or not store.store_exists(spark, path):
+        path = work_dir(spark, "clean-posts-store")
+        store.write_partitioned(_clean(spark, sf_dir), path)
+        _written[key] = path
+    return path
+
+
+def sliced_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: the dashboard's slice of the topics store; days are pruned by the partition columns."""
+    t = store.read_topics(spark, topics_store_path(spark, sf_dir))
+    return trends.slice_topics(t, dashboard.DASH_TAGS, dashboard.DASH_START, dashboard.DASH_END, prune_days=True)
 
 
 @query("slice_topics", with_views(f"SELECT * FROM topics WHERE {_SLICE}", "topics"))
@@ -256,12 +239,12 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("topic_counts", _counts_sql("topic", "true"))
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.term_counts(topics_table(spark, sf_dir), "topic")
+    return terms.term_counts(store.read_topics(spark, topics_store_path(spark, sf_dir)), "topic")
 
 
 @query("subtopic_counts", _counts_sql("subtopic", "true"))
 def subtopic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.term_counts(topics_table(spark, sf_dir), "subtopic")
+    return terms.term_counts(store.read_topics(spark, topics_store_path(spark, sf_dir)), "subtopic")
 
 
 @query("drill_down", with_views(f"""
@@ -271,9 +254,9 @@ LEFT JOIN (SELECT tweetText, tag, postTimeRaw, tweet_link FROM posts_clean WHERE
   ON h.tweetText IS NOT DISTINCT FROM p.tweetText AND h.tag IS NOT DISTINCT FROM p.tag
  AND h.postTimeRaw IS NOT DISTINCT FROM p.postTimeRaw""", "topics", "posts_clean"))
 def drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = topics.checkpointed_clean(fixtures.posts(spark, sf_dir))
-    posts = trends.slice_posts(cleaned, dashboard.DASH_TAGS, dashboard.DASH_START, dashboard.DASH_END)
-    return terms.drill_down(sliced_topics(spark, sf_dir, cleaned), posts, DRILL_TERM)
+    stored = store.read_store(spark, posts_store_path(spark, sf_dir))
+    posts = trends.slice_posts(stored, dashboard.DASH_TAGS, dashboard.DASH_START, dashboard.DASH_END, prune_days=True)
+    return terms.drill_down(sliced_topics(spark, sf_dir), posts, DRILL_TERM)
 
 
 @query("endpoint_counts", with_views("""

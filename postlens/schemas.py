@@ -33,6 +33,26 @@ POSTS = T.StructType([
     T.StructField("day", T.IntegerType()),
 ])
 
+# What the posts store holds: typed posts and their ``index``.
+STORED_POSTS = T.StructType(POSTS.fields[:-3] + [T.StructField("index", T.LongType())] + POSTS.fields[-3:])
+
+# The exported snapshot as published: names and types, in order.
+EXPORT = T.StructType([
+    T.StructField("post_id", T.LongType()),
+    T.StructField("category", S),
+    T.StructField("tag", S),
+    T.StructField("username", S),
+    T.StructField("tweetText", S),
+    T.StructField("timestamp", T.TimestampType()),
+    T.StructField("scrapeTime", NTZ),
+    T.StructField("tweet_link", S),
+    T.StructField("index", T.LongType()),
+    T.StructField("year", T.IntegerType()),
+    T.StructField("month", T.IntegerType()),
+    T.StructField("day", T.IntegerType()),
+])
+
+STORED_COLUMNS = [f.name for f in STORED_POSTS.fields]
 POST_COLUMNS = [f.name for f in POSTS.fields]
 PARTITION_COLUMNS = ["year", "month", "day"]
 

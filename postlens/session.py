@@ -13,8 +13,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Session settings we rely on.  UTC keeps casts between timestamp_ntz (at rest)
-# and timestamp (watermarks) exact.
+# Settings of sessions that we create; a caller's own session is left as it is.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -26,14 +25,15 @@ DEFAULT_CONF = {
 }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "postlens") -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shuffle_partitions is not None:  # else the cluster's own value holds
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("POSTLENS_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -50,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
+    elif not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     else:
         # Local runs and tests only: the cluster always names a shared folder.
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="postlens-ckpt-", dir="/tmp"))
@@ -62,8 +64,3 @@ def work_dir(spark: SparkSession, name: str) -> str:
     root = root.rstrip("/")
     return f"{root}/postlens-work/{name}-{uuid.uuid4().hex[:12]}"
 
-
-def set_utc(spark: SparkSession) -> None:
-    """Streams cast timestamp_ntz to timestamp; UTC makes the cast exact."""
-    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")

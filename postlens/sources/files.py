@@ -15,6 +15,11 @@ CSV_OPTIONS = {
     "multiLine": "true",
     "timestampNTZFormat": _CSV_TIME,
     "mode": "FAILFAST",
+    # Null is a mark of its own, the empty string is written as "", and outer blanks stay.
+    "nullValue": "\\N",
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
 }
 
 

@@ -7,9 +7,14 @@ tables and whole texts; the work grows with the tables.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlens.schemas import STORED_COLUMNS
 from postlens.sources.tables import read_table
 
 
@@ -103,11 +108,13 @@ TOPIC_RULES = [
 
 
 def topic_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TOPIC_RULES, "term string, kind string, topic string, subtopic string")
+    """The rules as an inline table, whose size Spark knows (as it knows a file's)."""
+    rows = ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in TOPIC_RULES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(term, kind, topic, subtopic)")
 
 
 def tag_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category -> list of tags, as a map column (one row): region -> '#'+nation."""
+    """(category, tag) pairs of the tag catalog: region, '#' + nation."""
     region = read_table(spark, sf_dir, "region")
     nation = read_table(spark, sf_dir, "nation")
     pairs = region.join(nation, region["r_regionkey"] == nation["n_regionkey"], "inner").select(
@@ -123,3 +130,90 @@ def posts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("scrapeTime", "yyyy-MM-dd'T'HH:mm:ss").alias("scrapeTime"),
         "tweet_link", "post_id",
     )
+
+
+def _escaped(c: Column) -> Column:
+    for ch, ent in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(ch), F.lit(ent))
+    return c
+
+
+# What is wrong with a post's article, by post_id % 11 (0 to 4: nothing).
+ARTICLE_DEFECTS = {5: "no name node", 6: "too few links", 7: "unexpected structure", 8: "empty field", 9: "bad time", 10: "unexpected structure"}
+
+
+def post_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved pages of two post-shaped articles each, from every post.
+
+    Texts are escaped and nested in markup; user names stand in the third of four
+    spans or the fourth of five; times have 1 to 6 fraction digits; ``ARTICLE_DEFECTS``
+    of all kinds are mixed in.
+    """
+    p = posts(spark, sf_dir)
+    k = F.col("post_id") % 11
+    digits = F.substr(F.lit("120450"), F.lit(1), (F.col("post_id") % 6 + 1).cast("int"))
+    time = F.concat(F.date_format("postTimeRaw", "yyyy-MM-dd'T'HH:mm:ss."), digits, F.lit("Z"))
+    time = F.when(k == 9, F.replace(time, F.lit("T"), F.lit(" "))).otherwise(time)
+    user = F.when(k == 8, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.col("username"), F.lit(" ")))
+    spans = F.when(F.col("post_id") % 2 == 0, F.concat(F.lit("<span>a</span><span>b</span><span>"), user, F.lit("</span><span>.</span>"))).otherwise(
+        F.concat(F.lit("<span>a</span><span>b</span><span>c</span><span>"), user, F.lit("</span><span>.</span>")))
+    spans = F.when(k == 7, F.lit("<span>a</span>")).otherwise(spans)
+    path = F.substr(F.col("tweet_link"), F.lit(len("https://x.com") + 1))
+    article = F.concat(
+        F.lit("<article><div"), F.when(k == 5, F.lit("")).otherwise(F.lit(' data-testid="User-Name"')), F.lit('><a href="/u">U</a>'),
+        F.when(k == 6, F.lit("")).otherwise(F.lit('<a href="/v">V</a>')), F.lit('<a href="'), path, F.lit('"><time datetime="'), time,
+        F.lit('">t</time></a>'), spans, F.lit('</div><div'), F.when(k == 10, F.lit("")).otherwise(F.lit(' data-testid="tweetText"')),
+        F.lit('> <p>'), _escaped(F.col("tweetText")), F.lit("</p> </div></article>"))
+    return (p.select(F.floor(F.col("post_id") / 2).cast("long").alias("page_id"), F.struct("post_id", article.alias("a")).alias("x"))
+            .groupBy("page_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+            .select("page_id", F.lit("https://x.com/search").alias("url"),
+                    F.concat(F.lit("<html><body>"), F.array_join(F.transform("xs", lambda x: x["a"]), "\n"), F.lit("</body></html>")).alias("html")))
+
+
+def stored(p: DataFrame) -> DataFrame:
+    """A posts view in the form of the posts store (with ``index``)."""
+    return p.withColumn("index", (F.col("post_id") + 1).cast("long")).select(*STORED_COLUMNS)
+
+
+# --- a stand-in for the remote model: test data, not part of the engine ---------------------------
+
+# Free text around the JSON answer.
+RESPONSE_HEAD = "Here are the groups for these messages:"
+RESPONSE_TAIL = "Let me know if you need anything else."
+
+
+def rule_model(rules=TOPIC_RULES, double_braces_every: int = 0, broken_every: int = 0):
+    """A deterministic model for the hook: answers each prompt batch by the rules.
+
+    Every ``double_braces_every``-th batch's JSON has doubled braces, and of every
+    ``broken_every``-th batch the answer breaks off, as a model's sometimes do.
+    """
+    by_term: dict[str, list[tuple[str, str, str]]] = {}
+    for term, kind, topic, sub in rules:
+        by_term.setdefault(term, []).append((kind, topic, sub))
+
+    def words(text: str) -> set[str]:
+        return set("".join(c if c.isalpha() else " " for c in text.lower()).split())
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for bid, idxs, texts in zip(pdf["batch_id"], pdf["indexes"], pdf["texts"]):
+                ans = {"issue": [], "faq": []}
+                for i, t in zip(idxs, texts):
+                    hits = [h for w in words(t) for h in by_term.get(w, [])]
+                    for kind in ("issue", "faq"):
+                        mine = [h for h in hits if h[0] == kind]
+                        if mine:
+                            ans[kind].append({"index": int(i), "text": t, "topic": sorted({h[1] for h in mine}),
+                                              "subtopic": sorted({h[2] for h in mine})})
+                body = json.dumps(ans)
+                if double_braces_every and bid % double_braces_every == 0:
+                    body = body.replace("{", "{{").replace("}", "}}")
+                answer = f"{RESPONSE_HEAD}\n{body}\n{RESPONSE_TAIL}"
+                if broken_every and bid % broken_every == 0:
+                    answer = RESPONSE_HEAD
+                out.append((int(bid), answer))
+            yield pd.DataFrame(out, columns=["batch_id", "response"])
+
+    return fn

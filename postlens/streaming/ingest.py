@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from postlens.operators import ingest, quality, topics
-from postlens.schemas import POST_COLUMNS, TOPICS
-from postlens.streaming.sources import with_event_time
+from postlens.schemas import POST_COLUMNS, STORED_COLUMNS, TOPICS
+from postlens.sources import store
+from postlens.sources.work import work_table
 
 
 class BatchRejected(RuntimeError):
@@ -53,9 +54,9 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, batch_id: int, cfg: Inge
         report["valid"] = valid
         if not valid and cfg.on_fail == "stop":
             raise BatchRejected(f"batch {batch_id} failed validation: {[r.asDict() for r in checks]}")
-        # Cleaned once (checkpointed): both appends and the labeller read it.
-        cleaned = topics.checkpointed_clean(batch)
-        report["posts_added"] = ingest.append_new(spark, cleaned.select(*POST_COLUMNS), cfg.posts_path,
+        # Cleaned once (a work table): both appends and the labeller read it.
+        cleaned = topics.stored_clean(batch)
+        report["posts_added"] = ingest.append_new(spark, cleaned.select(*STORED_COLUMNS), cfg.posts_path,
                                                   ingest.POST_KEYS)
         labelled = topics.topics_direct(batch, cfg.rules, clean=cleaned).select(*[f.name for f in TOPICS.fields])
         report["topics_added"] = ingest.append_new(spark, labelled, cfg.topics_path, ingest.TOPIC_KEYS, TOPICS)
@@ -79,11 +80,25 @@ def start_ingest(spark: SparkSession, posts_stream: DataFrame, cfg: IngestConfig
             .trigger(**trigger).start())
 
 
-def dedup_stream(posts_stream: DataFrame, keys: list[str], watermark: str = "1 day") -> DataFrame:
-    """K3 (bounded state): drop repeats of ``keys`` arriving within the watermark.
+def dedup_batch(spark: SparkSession, batch: DataFrame, batch_id: int, path: str, keys: list[str]) -> None:
+    """K3 for one batch: its rows whose ``keys`` (nulls equal) no earlier batch stored, each once.
 
-    State per key is dropped once the watermark passes it, so memory stays
-    bounded; the exact, unbounded form is the anti-join in ``ingest_batch``.
+    Exact for rows of any age and order.  The batch owns the folder ``_batch=<id>``:
+    a replay compares with the other batches only and replaces its own rows.
     """
-    s = with_event_time(posts_stream).withWatermark("event_time", watermark)
-    return s.dropDuplicatesWithinWatermark(keys).drop("event_time")
+    digest = ingest.row_digest(keys)
+    fresh = batch.dropDuplicates(keys).withColumn("_digest", digest)
+    if store.store_exists(spark, path):
+        known = spark.read.parquet(path).filter(f"_batch <> {int(batch_id)}").select("_digest").distinct()
+        fresh = fresh.join(known, "_digest", "left_anti")
+    work_table(fresh, "fresh").write.mode("overwrite").parquet(f"{path}/_batch={int(batch_id)}")
+
+
+def start_dedup(spark: SparkSession, posts_stream: DataFrame, path: str, keys: list[str], checkpoint: str,
+                trigger: dict | None = None) -> StreamingQuery:
+    """K3: repeat removal against everything stored, batch by batch."""
+    def fn(df: DataFrame, epoch_id: int) -> None:
+        dedup_batch(spark, df, epoch_id, path, keys)
+
+    return (posts_stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "15 minutes"})).start())

@@ -1,69 +1,58 @@
-"""K4 live tag counts and K5 vocabulary, as update-mode streaming aggregates.
+"""K4 live tag counts and K5 vocabulary as increments that are added up on read.
 
-Both write each micro-batch's updated groups to an append-only table with
-the batch id; the current value of a group is its row from the latest batch
-(``latest``).  State is bounded: trend bins close behind the watermark, and
-the vocabulary holds one row per distinct (kind, level, term).
+Every micro-batch is aggregated on its own and written to its own folder
+(``_batch=<id>``), overwritten if the batch is replayed.  The current value of
+a group is the sum (or the minimum) over its increments.  A post counts when it
+arrives, however old it is: there is no watermark and no late row, and no state
+is held between batches.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from postlens.operators import topics
 from postlens.functions.text import clean_text
-from postlens.streaming.sources import with_event_time
+from postlens.operators import topics, trends
+from postlens.schemas import NTZ, S
 
+BATCH = "_batch"
+TREND = T.StructType([T.StructField("postTimeRaw", NTZ), T.StructField("tag", S), T.StructField("count", T.LongType())])
+VOCAB = T.StructType([T.StructField("kind", S), T.StructField("level", S), T.StructField("term", S),
+                      T.StructField("first_seen", NTZ), T.StructField("n_posts", T.LongType())])
 
-def trend_stream(posts_stream: DataFrame, size: str = "12 hours", watermark: str = "1 day",
-                 origin: dt.datetime | None = None, size_minutes: int | None = None) -> DataFrame:
-    """Counts per (tumbling window, tag).
 
-    Windows are epoch-aligned unless ``origin`` is given.  A stream cannot know
-    the first day of its data, so multi-day bins laid from that day (the
-    batch trend's 3-day bins) need the origin passed in; it becomes the
-    window's start offset (``size_minutes`` is the window size in minutes).
-    """
-    s = with_event_time(posts_stream).withWatermark("event_time", watermark)
-    if origin is not None:
-        minutes = int((origin - dt.datetime(1970, 1, 1)).total_seconds() // 60) % int(size_minutes)
-        win = F.window("event_time", size, size, f"{minutes} minutes")
-    else:
-        win = F.window("event_time", size)
-    g = s.groupBy(win.alias("w"), "tag").agg(F.count(F.lit(1)).alias("count"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("postTimeRaw"), "tag", "count")
+def trend_increments(posts: DataFrame, freq: str = "12H", origin: dt.datetime | None = None) -> DataFrame:
+    """Counts per (bin, tag) of one batch.  Multi-day bins need the origin: a
+    batch does not know the first day of all data."""
+    return trends.tag_trend(posts, freq, origin or trends.EPOCH)
 
 
-def vocab_stream(posts_stream: DataFrame, rules: DataFrame) -> DataFrame:
-    """First time each (kind, level, term) was answered, and how many posts had it."""
-    p = posts_stream.withColumn("tweetText", clean_text("tweetText"))
-    lab = topics.label_posts(p, rules, keep=["post_id", "postTimeRaw"])
-    parts = []
-    for level in ("topic", "subtopic"):
-        parts.append(lab.select("kind", F.lit(level).alias("level"), F.explode(level).alias("term"), "postTimeRaw"))
-    terms = parts[0].unionByName(parts[1])
-    return terms.groupBy("kind", "level", "term").agg(
+def vocab_increments(posts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Per (kind, level, term) of one batch: the first time it was answered and how many posts had it."""
+    lab = topics.label_posts(posts.withColumn("tweetText", clean_text("tweetText")), rules, keep=["post_id", "postTimeRaw"])
+    parts = [lab.select("kind", F.lit(level).alias("level"), F.explode(level).alias("term"), "postTimeRaw") for level in ("topic", "subtopic")]
+    return parts[0].unionByName(parts[1]).groupBy("kind", "level", "term").agg(
         F.min("postTimeRaw").alias("first_seen"), F.count(F.lit(1)).alias("n_posts"))
 
 
-def start_updates(agg: DataFrame, table_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append each batch's updated groups (update mode) with the batch id."""
-    trigger = trigger or {"processingTime": "15 minutes"}
-
+def start_increments(stream: DataFrame, of_batch: Callable[[DataFrame], DataFrame], table_path: str, checkpoint: str,
+                     trigger: dict | None = None) -> StreamingQuery:
+    """Write ``of_batch`` of every micro-batch; a replayed batch replaces its own increments."""
     def fn(df: DataFrame, epoch_id: int) -> None:
-        df.withColumn("_batch", F.lit(epoch_id).cast("long")).write.mode("append").parquet(table_path)
+        of_batch(df).write.mode("overwrite").parquet(f"{table_path}/{BATCH}={epoch_id}")
 
-    return (agg.writeStream.outputMode("update").foreachBatch(fn)
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
+    return (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "15 minutes"})).start())
 
 
-def latest(spark: SparkSession, table_path: str, keys: list[str]) -> DataFrame:
-    """Current value per group: the row of the latest batch (an aggregate, map-side combined)."""
-    t = spark.read.parquet(table_path)
-    vals = [c for c in t.columns if c not in keys and c != "_batch"]
-    g = t.groupBy(*keys).agg(F.max_by(F.struct(*vals), "_batch").alias("_v"))
-    return g.select(*keys, "_v.*")
+def totals(spark: SparkSession, table_path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """The current value per group: counts summed, times at their minimum."""
+    added = spark.read.schema(schema).parquet(table_path)
+    values = [f for f in schema.fields if f.name not in keys]
+    return added.groupBy(*keys).agg(*[(F.min if f.dataType == NTZ else F.sum)(f.name).alias(f.name) for f in values])

@@ -115,28 +115,43 @@ def test_drop_stop_words_text(spark):
     assert got == "the button"
 
 
-def test_remove_stop_words_join_path_equals_literal_path(spark, monkeypatch):
-    df = spark.createDataFrame([(1, ["a", "b", "a", "c"], ["b"]), (2, [], ["c", "c"])],
-                               "id long, topic array<string>, subtopic array<string>")
-    words = spark.createDataFrame([("a",), ("c",)], "word string")
-    lit = topics.remove_stop_words(df, words, ["topic", "subtopic"], "id").orderBy("id").collect()
-    monkeypatch.setattr(topics, "small_values", lambda *a, **k: None)
-    joined = topics.remove_stop_words(df, words, ["topic", "subtopic"], "id").orderBy("id").collect()
-    assert lit == joined
-    assert [r.topic for r in lit] == [["b"], []]
-
-
-def test_label_join_path_equals_expression_path(spark, monkeypatch):
-    posts = spark.createDataFrame([(1, "That was it, QUE der"), (2, "nothing"), (3, "eriner anea that")],
+@pytest.mark.parametrize("n", [3, 9_999, 10_001])
+def test_remove_stop_words_any_number_of_words(spark, n):
+    """Order, repeats, null lists and null entries stay; repeated and null ids are rows of their own."""
+    rows = [(1, ["a", "w1", "b", "a"], ["b"]), (1, ["c"], None), (None, ["d", None, "w2"], ["w0", "w0"]), (None, [], ["x"])]
+    df = spark.createDataFrame(rows, "id long, topic array<string>, subtopic array<string>")
+    words = spark.createDataFrame([(f"w{i}",) for i in range(n)], "word string")
+    got = topics.remove_stop_words(df, words, ["topic", "subtopic"]).collect()
+    key = lambda r: str(r)
+    want = [(1, ["a", "b", "a"], ["b"]), (1, ["c"], None), (None, ["d", None], []), (None, [], ["x"])]
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("n", [0, 9_992, 9_995])
+def test_label_posts_any_number_of_rules(spark, n):
+    """The answer and the time to build the plan do not depend on the number of rules."""
+    import time
+
+    from postlens.sources.fixtures import TOPIC_RULES
+
+    rules = spark.createDataFrame(TOPIC_RULES + [(f"zz{i}", "faq", "none", "none") for i in range(n)] + [("lost", "faq", None, "s")],
+                                  "term string, kind string, topic string, subtopic string")
+    posts = spark.createDataFrame([(1, "That was it, QUE der"), (1, "That again"), (2, "nothing"), (3, "eriner anea that"), (4, "lost")],
                                   "post_id long, tweetText string")
-    from postlens.sources.fixtures import topic_rules
+    t0 = time.perf_counter()
+    plan = topics.label_posts(posts, rules)
+    assert time.perf_counter() - t0 < 3
+    got = sorted((r.post_id, r.kind, r.topic) for r in plan.collect())
+    assert got == [(1, "faq", ["admissions"]), (1, "faq", ["admissions", "general", "housing"]), (3, "faq", ["admissions"]),
+                   (3, "issue", ["registration"]), (4, "faq", [None])]
 
-    fast = topics.label_posts(posts, topic_rules(spark)).orderBy("post_id", "kind").collect()
-    monkeypatch.setattr(topics, "small_rows", lambda *a, **k: None)
-    slow = topics.label_posts(posts, topic_rules(spark)).orderBy("post_id", "kind").collect()
-    assert fast == slow
-    assert [(r.post_id, r.kind, r.topic) for r in fast] == [
-        (1, "faq", ["admissions", "general", "housing"]), (3, "faq", ["admissions"]), (3, "issue", ["registration"])]
+
+@pytest.mark.parametrize("n", [2, 10_001])
+def test_stop_words_in_text_any_number_of_words(spark, n):
+    df = spark.createDataFrame([(1, "  w1  the\tbutton w0\n"), (2, None), (3, "w1")], "id long, t string")
+    words = spark.createDataFrame([(f"w{i}",) for i in range(n)], "word string")
+    got = {r.id: r.t for r in topics.remove_stop_words_text(df, words, "t").collect()}
+    assert got == {1: "the button", 2: None, 3: ""}
 
 
 def _responses(spark, texts):
@@ -252,6 +267,97 @@ def test_parse_post_article_four_spans_picks_third():
     assert extract.parse_post_article(html)[0] == "user1"
 
 
+def test_post_parser_deep_and_broken_markup(spark):
+    """Depth has no limit; whatever cannot be parsed is a reject, not a failed job."""
+    deep = POST_HTML.replace("hello", "<p>" * 3000 + "hello")
+    arts = spark.createDataFrame([("a", deep), ("b", None), ("c", "<![if"), ("d", "<a <b <c")], "seen string, article string")
+    got = {r.seen: (r.reason, r.tweetText) for r in extract.extract_posts(arts).collect()}
+    assert got["a"] == (None, "hello world & more")
+    assert all(got[k][0] for k in "bcd")
+
+
+def test_two_articles_of_a_page_have_their_own_links(spark):
+    art = "<article><h1>t</h1><a href='x'></a><a href=\"/1\">1</a><a href=\"/2\">2</a><a href=\"/{}\">3</a>text</article>"
+    page = spark.createDataFrame([(1, "https://h.example/p", art.format("a3") + art.format("b3"))], "page_id long, url string, html string")
+    kept, rejected = extract.extract_articles(page)
+    assert sorted(r.link for r in kept.collect()) == ["https://h.example/a3", "https://h.example/b3"] and rejected.count() == 0
+
+
+@pytest.mark.parametrize("text,want", [
+    ("2024-01-05T10:00:00.1Z", dt.datetime(2024, 1, 5, 10, 0, 0, 100000)), ("2024-01-05T10:00:00.123456Z", dt.datetime(2024, 1, 5, 10, 0, 0, 123456)),
+    ("2024-01-05T10:00:00.1234567Z", None), ("2024-01-05T10:00:00Z", None), ("2024-01-05T10:00:00.1", None), ("2024-13-05T10:00:00.1Z", None), (None, None)])
+def test_post_time_fraction_digits(spark, text, want):
+    from postlens.functions.time import parse_post_time
+
+    assert spark.createDataFrame([(text,)], "t string").select(parse_post_time("t").alias("p")).first().p == want
+
+
+def test_fingerprint_tells_null_from_shifted_values(spark):
+    def fp(*rows):
+        return ingest.fingerprint(_posts(spark, [_post(1, t, user=u) for u, t in rows])).first()
+
+    assert fp(("u", None)) != fp((None, "u"))
+    assert fp(("a_b", "c")) != fp(("a", "b_c"))
+
+
+def test_csv_keeps_empty_null_and_blanks(spark, tmp_dir):
+    from postlens.sources import files
+
+    texts = ["", None, ' "q" ', "  x  ", "a\nb", '"', "\\", ",", "#only"]
+    df = _posts(spark, [_post(i, t) for i, t in enumerate(texts)])
+    files.write_csv(df, f"{tmp_dir}/csv")
+    got = {r.post_id: r.tweetText for r in files.read_csv(spark, f"{tmp_dir}/csv", POSTS).collect()}
+    assert [got[i] for i in range(len(texts))] == texts
+
+
+def test_hot_key_on_the_store_side(spark):
+    """A stored key repeated very often is one row of the anti-join."""
+    stored = _posts(spark, [_post(i, "hot") for i in range(300)] + [_post(1000 + i, f"t{i}") for i in range(300)])
+    batch = _posts(spark, [_post(1, "hot"), _post(2, "new"), _post(3, "t5"), _post(4, None, None, None), _post(4, None, None, None)])
+    plan = ingest.new_rows(batch, stored)
+    assert sorted(str(r.tweetText) for r in plan.collect()) == ["None", "None", "new"]
+    assert "HashAggregate" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_export_time_does_not_depend_on_the_session_zone(spark):
+    df = _posts(spark, [_post(1, "x")])
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        seconds = []
+        for zone in ("UTC", "Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            seconds.append(clean.export_form(df).select(F.col("timestamp").cast("long").alias("s")).first().s)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert set(seconds) == {int(T0.replace(tzinfo=dt.timezone.utc).timestamp())}
+
+
+def test_one_day_is_written_by_many_tasks(spark, tmp_dir):
+    from postlens.sources import fixtures, store
+
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        noise = F.concat(*[F.sha2(F.concat(F.lit(i), F.col("id")).cast("binary"), 512) for i in range(10)])  # does not compress away
+        df = spark.range(4000).select(F.col("id").alias("post_id"), noise.alias("tweetText"),
+                                      F.lit(2024).alias("year"), F.lit(1).alias("month"), F.lit(1).alias("day"))
+        store.write_partitioned(df.repartition(8), f"{tmp_dir}/day")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    back = spark.read.parquet(f"{tmp_dir}/day")
+    assert back.count() == 4000 and len(back.inputFiles()) > 4
+    assert fixtures.STORED_COLUMNS[-4:] == ["index", "year", "month", "day"]
+
+
+def test_prompt_shows_the_vocabulary_known_so_far(spark):
+    rows = [_post(i, f"t{i}", T0 + dt.timedelta(minutes=i)) for i in range(3)]
+    batched = topics.batch_posts(clean.clean_posts(_posts(spark, rows)), 2)
+    vocab = spark.createDataFrame([("faq", "topic", "b"), ("faq", "topic", "a"), ("issue", "topic", "c")], "kind string, level string, term string")
+    got = topics.prompt_batches(batched, vocab).select("vocabulary").distinct().collect()
+    assert [r.vocabulary for r in got] == ["faq topic: a, b\nissue topic: c"]
+    assert topics.prompt_batches(batched, vocab.limit(0)).first().vocabulary == ""
+
+
 def test_extract_posts_bad_time_rejected(spark):
     bad = POST_HTML.replace("2024-01-05T10:00:00.123Z", "2024-01-05 10:00")
     arts = spark.createDataFrame([("c", "#a", 1, POST_HTML), ("c", "#a", 2, bad)],
@@ -299,8 +405,8 @@ def test_drill_down_post_id_join_equals_keys_join(spark):
     from postlens.plans import labelling
     from postlens.sources import fixtures
 
-    cleaned = topics.checkpointed_clean(fixtures.posts(spark, SF_SMALL))
-    tp = labelling.sliced_topics(spark, SF_SMALL, cleaned)
+    cleaned = topics.stored_clean(fixtures.posts(spark, SF_SMALL))
+    tp = labelling.sliced_topics(spark, SF_SMALL)
     by_keys = sorted(terms.drill_down(tp, cleaned, "documents", join_on="keys").collect())
     by_id = sorted(terms.drill_down(tp, cleaned, "documents", join_on="post_id").collect())
     assert by_keys == by_id and len(by_keys) > 0

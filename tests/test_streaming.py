@@ -27,10 +27,9 @@ def _split_events(spark, tmp_dir):
 def test_stream_trend_equals_batch(spark, tmp_dir):
     src = _split_events(spark, tmp_dir)
     s = post_stream(spark, SF_SMALL, events_path=src, glob=None, max_files_per_trigger=1)
-    q = live.start_updates(live.trend_stream(s, "12 hours", "1 day"), f"{tmp_dir}/out", f"{tmp_dir}/ck",
-                           {"availableNow": True})
+    q = live.start_increments(s, live.trend_increments, f"{tmp_dir}/out", f"{tmp_dir}/ck", {"availableNow": True})
     q.awaitTermination()
-    got = live.latest(spark, f"{tmp_dir}/out", ["postTimeRaw", "tag"])
+    got = live.totals(spark, f"{tmp_dir}/out", live.TREND, ["postTimeRaw", "tag"])
     want = trends.tag_trend(fixtures.posts(spark, SF_SMALL), "12H")
     assert sorted(got.collect()) == sorted(want.collect())
     assert spark.read.parquet(f"{tmp_dir}/out").select("_batch").distinct().count() == 3
@@ -63,10 +62,9 @@ def test_stream_trend_3d_with_origin_equals_batch(spark, tmp_dir):
     first_day = read_table(spark, SF_SMALL, "events").agg(F.min(F.to_date("ts"))).first()[0]
     origin = dt.datetime.combine(first_day, dt.time(0))
     s = post_stream(spark, SF_SMALL, events_path=src, glob=None, max_files_per_trigger=1)
-    agg = live.trend_stream(s, "3 days", "4 days", origin=origin, size_minutes=3 * 1440)
-    q = live.start_updates(agg, f"{tmp_dir}/out3d", f"{tmp_dir}/ck3d", {"availableNow": True})
+    q = live.start_increments(s, lambda df: live.trend_increments(df, "3D", origin), f"{tmp_dir}/out3d", f"{tmp_dir}/ck3d", {"availableNow": True})
     q.awaitTermination()
-    got = live.latest(spark, f"{tmp_dir}/out3d", ["postTimeRaw", "tag"])
+    got = live.totals(spark, f"{tmp_dir}/out3d", live.TREND, ["postTimeRaw", "tag"])
     want = trends.tag_trend(fixtures.posts(spark, SF_SMALL), "3D")
     assert sorted(got.collect()) == sorted(want.collect())
 
@@ -86,3 +84,23 @@ def test_ingest_batch_stop_mode_commits_nothing(spark, tmp_dir):
     assert rep["changed"] is True and rep["valid"] is False and rep["posts_added"] > 0
     again = sing.ingest_batch(spark, dirty, 2, cfg)
     assert again["changed"] is False
+
+
+def test_late_files_count_and_replays_do_not(spark, tmp_dir):
+    """Newest first, then old files, then a replay of a batch: counts are those of all posts."""
+    p = fixtures.posts(spark, SF_SMALL)
+    for epoch, cond in ((0, "day > 20"), (1, "day <= 10"), (2, "day between 11 and 20"), (1, "day <= 10")):
+        live.trend_increments(p.filter(cond)).write.mode("overwrite").parquet(f"{tmp_dir}/t/_batch={epoch}")
+    got = live.totals(spark, f"{tmp_dir}/t", live.TREND, ["postTimeRaw", "tag"])
+    assert sorted(got.collect()) == sorted(trends.tag_trend(p, "12H").collect())
+
+
+def test_dedup_over_batches_is_exact_and_replayable(spark, tmp_dir):
+    keys = ["post_id", "postTimeRaw", "username", "tweetText"]
+    p = fixtures.posts_dirty(spark, SF_SMALL)  # old times, null users, repeats
+    parts = [p.filter("post_id % 3 = 2"), p.filter("post_id % 3 = 0 or post_id % 50 = 0"), p.filter("post_id % 3 = 1")]
+    for epoch in (0, 1, 2, 1):
+        sing.dedup_batch(spark, parts[epoch], epoch, f"{tmp_dir}/d", keys)
+    got = spark.read.parquet(f"{tmp_dir}/d")
+    want = p.dropDuplicates(keys)
+    assert got.count() == want.count() == got.select(*keys).distinct().count()
