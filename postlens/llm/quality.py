@@ -248,16 +248,16 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     # The first pass needs the texts and the site columns only.
     narrow = docs.select("text", F.col(host).alias("site_host"), F.col(path).alias("site_path"))
     sites, prior = site_posteriors(_scored(narrow, models, prefix).select("site_host", "site_path", *[p.alias(k) for k, p in odds.items()]), names)
-    sites = stored(sites.withColumnsRenamed({"site_host": f"{prefix}host", "site_path": f"{prefix}path"}), "sites")
+    sites = stored(sites.select(*[F.col(c).alias(f"{prefix}{c}") for c in sites.columns]), "sites")
     if sites.count() <= BROADCAST_SITES:
         sites = F.broadcast(sites)
     both = _scored(docs, models, prefix).join(
-        sites, F.col(host).eqNullSafe(F.col(f"{prefix}host")) & F.col(path).eqNullSafe(F.col(f"{prefix}path")), "left")
+        sites, F.col(host).eqNullSafe(F.col(f"{prefix}site_host")) & F.col(path).eqNullSafe(F.col(f"{prefix}site_path")), "left")
     out = [F.col(c) for c in docs.columns]
     for k in names:
-        shift = _logit(F.col(f"path_{k}")) - _logit(F.lit(prior[k]))
+        shift = _logit(F.col(f"{prefix}path_{k}")) - _logit(F.lit(prior[k]))
         out += [(1 / (1 + F.exp(-(F.col(f"{prefix}{k}") + shift)))).alias(f"{prefix}{k}"), odds[k].alias(f"{prefix}doc_{k}"),
-                F.col(f"path_{k}").alias(f"{prefix}site_{k}")]
+                F.col(f"{prefix}path_{k}").alias(f"{prefix}site_{k}")]
     return both.select(*out)
 
 
@@ -265,7 +265,8 @@ def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prefix: s
     """The rows of ``docs`` that are judged good and not toxic, with their own columns only.
 
     See ``judge`` for the cases.  A document goes if its posterior of being good
-    is under ``threshold`` or that of being toxic is at least ``threshold``.
+    is under ``threshold`` or that of being toxic is over it.  A target without
+    labelled rows of both classes rejects nothing.
     """
     judged = judge(docs, labels, prefix=prefix, **options)
-    return judged.filter((F.col(f"{prefix}good") >= threshold) & (F.col(f"{prefix}toxic") < threshold)).select(*docs.columns)
+    return judged.filter((F.col(f"{prefix}good") >= threshold) & (F.col(f"{prefix}toxic") <= threshold)).select(*docs.columns)

@@ -108,7 +108,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", F.col("_q_good").alias("p_good"), F.col("_q_toxic").alias("p_toxic"),
                          F.col("_q_site_good").alias("p_site_good"),
-                         ((F.col("_q_good") >= 0.5) & (F.col("_q_toxic") < 0.5)).alias("kept"))
+                         ((F.col("_q_good") >= 0.5) & (F.col("_q_toxic") <= 0.5)).alias("kept"))
 
 
 @query("op9_nearest_neighbours")
