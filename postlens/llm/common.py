@@ -70,13 +70,20 @@ def chunks(batches: Iterable[pa.RecordBatch], max_bytes: int = CHUNK_BYTES,
             lo = hi
 
 
+def whole(texts: pa.Array) -> pa.Array:
+    """Texts as an array of its own: casting a slice of a larger one reads from the wrong place."""
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    return texts.cast(pa.large_string())
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Lower-cased (A-Z only) words ``[^\\x20\\x09-\\x0D]+`` of each text.
 
     Returns the word codes of all texts in order, the number of words of each
     text, and the distinct words that the codes point into.
     """
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(whole(texts)))
     flat = parts.flatten()
     keep = pc.greater(pc.binary_length(flat), 0)
     sums = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import CHUNK_BYTES, doc_of, stored
+from postlens.llm.common import CHUNK_BYTES, doc_of, stored, whole
 
 TRAIN_ROWS = 8_000
 WIDTH = 1 << 16
@@ -58,8 +58,8 @@ def _word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, hashed word) pairs, each once, and a dense row for each text."""
-    n = len(texts)
-    parts = pc.utf8_split_whitespace(texts.cast(pa.large_string()))
+    n, texts = len(texts), whole(texts)
+    parts = pc.utf8_split_whitespace(texts)
     flat = parts.flatten()
     keep = pc.greater(pc.binary_length(flat), 0)
     sums = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])
