@@ -10,9 +10,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+_scratch: ContextVar[str | None] = ContextVar("postlens_scratch", default=None)
+
 # Settings of sessions that we create; a caller's own session is left as it is.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -59,8 +64,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run's tables, inside the shared checkpoint folder."""
-    root = ensure_checkpoint_dir(spark)
-    root = root.rstrip("/")
-    return f"{root}/postlens-work/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder for one run's tables, inside the shared checkpoint folder
+    (or inside the open ``scratch`` folder)."""
+    root = _scratch.get() or f"{ensure_checkpoint_dir(spark).rstrip('/')}/postlens-work"
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """Work tables made inside the block lie in one folder, removed at its end.
 
+    For jobs whose results are written elsewhere by then, such as a micro-batch;
+    a frame that still reads a work table must not leave the block.
+    """
+    root = work_dir(spark, name)
+    token = _scratch.set(root)
+    try:
+        yield root
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

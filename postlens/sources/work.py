@@ -1,8 +1,8 @@
 """Work tables: Parquet in the shared folder that cuts lineage and can be pruned.
 
 Unlike a row checkpoint, a later read takes only the columns it needs, and
-the files outlive the executors that wrote them.  ``drop`` removes a finished
-run's folder through the Hadoop file system of the path.
+the files outlive the executors that wrote them.  ``session.scratch`` removes
+those of a finished job.
 """
 
 from __future__ import annotations

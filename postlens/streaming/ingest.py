@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postlens.operators import ingest, quality, topics
 from postlens.schemas import POST_COLUMNS, STORED_COLUMNS, TOPICS
+from postlens.session import scratch
 from postlens.sources import store
 from postlens.sources.work import work_table
 
@@ -73,7 +74,8 @@ def start_ingest(spark: SparkSession, posts_stream: DataFrame, cfg: IngestConfig
     trigger = trigger or {"processingTime": "15 minutes"}
 
     def fn(df: DataFrame, epoch_id: int) -> None:
-        ingest_batch(spark, df, epoch_id, cfg)
+        with scratch(spark, "ingest"):
+            ingest_batch(spark, df, epoch_id, cfg)
 
     return (posts_stream.writeStream.foreachBatch(fn)
             .option("checkpointLocation", checkpoint)
@@ -98,7 +100,8 @@ def start_dedup(spark: SparkSession, posts_stream: DataFrame, path: str, keys: l
                 trigger: dict | None = None) -> StreamingQuery:
     """K3: repeat removal against everything stored, batch by batch."""
     def fn(df: DataFrame, epoch_id: int) -> None:
-        dedup_batch(spark, df, epoch_id, path, keys)
+        with scratch(spark, "dedup"):
+            dedup_batch(spark, df, epoch_id, path, keys)
 
     return (posts_stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "15 minutes"})).start())

@@ -55,6 +55,19 @@ def test_stream_ingest_is_idempotent_across_replays(spark, tmp_dir):
     assert reports[5]["changed"] is False or reports[5].get("posts_added", 0) == 0
 
 
+def test_scratch_folder_is_removed(spark):
+    import os
+
+    from postlens.session import scratch
+    from postlens.sources.work import with_row_ids
+
+    with scratch(spark, "test") as root:
+        assert with_row_ids(spark.range(5).toDF("x"), "t").count() == 5
+        here = root.removeprefix("file:")
+        assert os.path.isdir(here) and os.listdir(here)
+    assert not os.path.exists(here)
+
+
 def test_stream_trend_3d_with_origin_equals_batch(spark, tmp_dir):
     import datetime as dt
 
