@@ -24,7 +24,6 @@ NO_RANK = np.int32(2**31 - 1)
 # White space runs begin here; Python's \s holds every space of the tokenizer.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 RUN = re.compile(r"\s\s")
-NEWLINE = "\u010a"  # a newline in the byte-level alphabet
 
 
 class RankMerger:
@@ -102,75 +101,100 @@ class RankMerger:
         return out
 
 
+class Known(dict):
+    """Counts of text parts; what is not there yet counts 0 and is noted in ``missed``."""
+
+    def __init__(self):
+        super().__init__({"": 0})
+        self.missed: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self.missed.append(part)
+        return 0
+
+
 class TokenCounter:
     """Token counts of texts; remembers the counts of up to ``keep`` text parts and pre-tokens."""
 
     def __init__(self, path: str, keep: int = 1_000_000, batch_chars: int = 4_000_000):
         self.merger, self.keep, self.batch_chars = RankMerger(path), keep, batch_chars
-        self.known: dict[str, int] = {"": 0}
+        # Parts with a space before them are kept without it.
+        self.plain, self.spaced = Known(), Known()
         self.pieces: dict[str, int] = {}
+        self.letters: dict[str, str] = {}
+        self.space = self._pre(" a")[0][:-1]
+
+    def _pre(self, text: str) -> list[str]:
+        return [p for p, _ in self.merger.pre.pre_tokenize_str(text)]
 
-    def _parts(self, text: str) -> list[str]:
-        """Parts that hold whole pre-tokens: cut where a run of white space begins.
+    def _add(self, text: str) -> int:
+        """Known tokens of a text without special strings; unknown parts are noted.
 
+        A part holds whole pre-tokens: it ends where a run of white space begins.
         A single space goes with what follows; a newline between two other
         characters is a pre-token of its own.
         """
+        plain, spaced = self.plain, self.spaced
         if RUN.search(text):
-            return CUT.split(text)
-        out = []
+            return sum(map(plain.__getitem__, CUT.split(text)))
+        n = 0
         for i, line in enumerate(text.split("\n")):
             if i:
-                out.append("\n")
-            head, *rest = line.split(" ")
-            out.append(head)
-            out += [" " + x for x in rest]
-        return out
-
-    def _split(self, parts: list[str]) -> Iterator[tuple[str, list[str]]]:
-        """Each part with its pre-tokens; many parts to a call, a newline between them.
-
-        A newline is a pre-token of its own only between other characters or
-        before a single space, so other parts get a call each.
-        """
-        pre = self.merger.pre.pre_tokenize_str
-        joined, alone = [], []
-        for x in parts:
-            inner = x[1:] if x[0] == " " else x
-            (alone if not inner or inner[0].isspace() or inner[-1].isspace() or "\n" in inner else joined).append(x)
-        for x in alone:
-            yield x, [p for p, _ in pre(x)]
-        for lo in range(0, len(joined), 500):
-            some, own, i = joined[lo:lo + 500], [], 0
-            for p, _ in pre("\n".join(some)):
-                if p == NEWLINE:
-                    yield some[i], own
-                    own, i = [], i + 1
-                else:
-                    own.append(p)
-            yield some[i], own
-
-    def _learn(self, parts: list[str]) -> None:
-        split = list(self._split(parts))
-        new = list(dict.fromkeys(p for _, s in split for p in s if p not in self.pieces))
+                n += plain["\n"]
+            parts = line.split(" ")
+            n += plain[parts[0]]
+            if len(parts) > 1:
+                if parts[-1] == "":  # a space at the end is a part of its own
+                    n += plain[" "]
+                n += sum(map(spaced.__getitem__, parts[1:]))
+        return n
+
+    def _word(self, part: str) -> str | None:
+        """The byte-level form of a part that is one run of Latin letters, else None."""
+        if part.isascii():
+            return part if part.isalpha() else None
+        if not part.isalpha() or max(part) >= "\u0250":
+            return None
+        for c in part:
+            if c not in self.letters:
+                self.letters[c] = "".join(self._pre(c))
+        return "".join(map(self.letters.__getitem__, part))
+
+    def _split(self, part: str, space: bool) -> list[str]:
+        """The pre-tokens of a part; letters and a closing full stop or comma are pre-tokens of their own."""
+        head = self.space if space else ""
+        if (word := self._word(part)) is not None:
+            return [head + word]
+        if part[-1] in ",." and (word := self._word(part[:-1])) is not None and word:
+            return [head + word, part[-1]]
+        return self._pre(" " + part if space else part)
+
+    def _learn(self) -> None:
+        """Count the noted parts: all their new pre-tokens are merged together."""
+        split = [[(x, self._split(x, space)) for x in dict.fromkeys(of.missed)] for of, space in ((self.plain, False), (self.spaced, True))]
+        new = list(dict.fromkeys(p for parts in split for _, s in parts for p in s if p not in self.pieces))
         self.pieces.update(zip(new, self.merger.counts(new).tolist()))
         count = self.pieces.__getitem__
-        self.known.update((x, sum(map(count, s))) for x, s in split)
+        for of, parts in zip((self.plain, self.spaced), split):
+            of.update((x, sum(map(count, s))) for x, s in parts)
 
     def _some(self, texts: list[str]) -> list[int]:
-        out, cut, todo = [0] * len(texts), [], {}
-        for i, text in enumerate(texts):
-            pieces = [text]
-            if self.merger.special and (found := self.merger.special.findall(text)):
-                out[i], pieces = len(found), self.merger.special.split(text)
-            parts = [x for p in pieces for x in self._parts(p)]
-            cut.append(parts)
-            todo.update(dict.fromkeys(x for x in parts if x not in self.known))
-        self._learn(list(todo))
-        for i, parts in enumerate(cut):
-            out[i] += sum(map(self.known.__getitem__, parts))
-        if len(self.known) > self.keep:
-            self.known = {"": 0}
+        out, missed = [], []
+        plain, spaced, special = self.plain, self.spaced, self.merger.special
+        for text in texts:
+            before = len(plain.missed), len(spaced.missed)
+            if special and (found := special.findall(text)):
+                n = len(found) + sum(map(self._add, special.split(text)))
+            else:
+                n = self._add(text)
+            out.append(n)
+            missed.append((slice(before[0], len(plain.missed)), slice(before[1], len(spaced.missed))))
+        self._learn()
+        for i, (p, q) in enumerate(missed):
+            out[i] += sum(map(plain.__getitem__, plain.missed[p])) + sum(map(spaced.__getitem__, spaced.missed[q]))
+        plain.missed, spaced.missed = [], []
+        if len(plain) + len(spaced) > self.keep:
+            self.plain, self.spaced = Known(), Known()
         if len(self.pieces) > self.keep:
             self.pieces = {}
         return out
