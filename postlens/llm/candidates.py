@@ -1,15 +1,16 @@
 """From groups of candidates to verified links, without all pairs of a group.
 
 A group (all ids that share a key) may hold very many ids, most of them alike.
-1. Star: every id is compared with a hub of each of its groups.  Hubs are the
-   smallest by one of ``COLOURS`` hashes, the key choosing which, so groups of the
-   same ids share a few hubs and a group of n ids costs about COLOURS * n pairs.
+1. Star: every id is compared with a hub of each of its groups.  Hubs have the
+   smallest cost (the most typical ids first), then the smallest of one of
+   ``COLOURS`` hashes, the key choosing which; so groups of the same ids share a
+   few hubs and a group of n ids costs about COLOURS * n pairs at most.
 2. Verified links give components; groups of one component are finished.  A
-   second star with other hubs joins most of what is left.
-3. Pairs of ids that share a group, lie in different components and have not
-   been compared are then all compared.  So no link between two components is
-   missed, and nothing is capped: links that are not looked for would join ids that
-   are connected already.
+   second star among what is left, by hash alone, joins more of it.
+3. Pairs of ids that share a group, lie in different components, have not been
+   compared and can link at all are then compared, each once.  So no link between
+   two components is missed, and nothing is capped: links that are not looked
+   for would join ids that are connected already.
 """
 
 from __future__ import annotations
@@ -26,33 +27,39 @@ COLOURS = 3
 STARS = 2
 
 
-def _star(groups: DataFrame, seed: int) -> DataFrame:
-    """(a, b), a < b: each id with the hub of its group, where their components differ."""
+def _star(groups: DataFrame, seed: int, possible: str) -> DataFrame:
+    """(a, b), a < b: each id with the hub of its group, where their components differ and a link is possible."""
     place = F.xxhash64(F.pmod("key", F.lit(COLOURS)) + F.lit(seed * COLOURS), "id")
-    hubs = groups.groupBy("key").agg(F.min(F.struct(place.alias("h"), "id", "component")).alias("hub"))
-    pairs = groups.join(hubs, "key").filter(F.col("hub.component") != F.col("component"))
-    return pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    cost = F.col("cost") if seed == 0 else F.lit(0.0)
+    facts = [c for c in groups.columns if c != "key"]
+    hubs = groups.groupBy("key").agg(F.min(F.struct(cost.alias("c"), place.alias("h"), *facts)).alias("hub"))
+    hubs = hubs.select("key", *[F.col(f"hub.{c}").alias(f"{c}2") for c in facts])
+    pairs = groups.join(hubs, "key").filter(f"component <> component2 and ({possible})")
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def _unfinished(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """The groups (key, id, component) that hold more than one component."""
-    now = components(links).withColumnRenamed("node", "id")
-    known = (groups.select("key", "id").join(now, "id", "left")
-             .select("key", "id", F.coalesce("component", "id").alias("component")))
+    """The rows of groups that hold more than one component."""
+    now = components(links).withColumnsRenamed({"node": "id", "component": "now"})
+    known = groups.join(now, "id", "left").withColumn("component", F.coalesce("now", "id")).drop("now").select(*groups.columns)
     open_keys = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     return known.join(open_keys, "key")
 
 
-def link(groups: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: str = "true") -> DataFrame:
     """Links (u, v) whose components are those of all pairs that share a group and are verified.
 
-    groups: (key long, id long), no nulls, repeated rows count once.  ``verify`` takes
-    pairs (a, b), a < b, each once, and returns the pairs that link.
+    groups: key long, id long (no nulls), optionally cost and facts of the id.
+    ``verify`` takes pairs (a, b), a < b, each once, and returns the pairs that link.
+    ``possible``: SQL over the facts of two ids (the second one's end in 2) that holds for
+    every pair that links.  Facts are copied into every group of the id: keep them small.
     """
-    groups = stored(groups.select("key", "id", F.col("id").alias("component")).distinct(), "groups")
+    if "cost" not in groups.columns:
+        groups = groups.withColumn("cost", F.lit(0.0))
+    groups = stored(groups.withColumn("component", F.col("id")).dropDuplicates(["key", "id"]), "groups")
     tried = links = None
     for seed in range(STARS):
-        pairs = _star(groups, seed)
+        pairs = _star(groups, seed, possible)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "star")
@@ -62,7 +69,7 @@ def link(groups: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFra
         groups = stored(_unfinished(groups, links), "groups")
         if groups.isEmpty():
             return links
-    other = groups.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
-    rest = (groups.join(other, "key").filter("id < id2 and component <> component2")
+    other = groups.select("key", *[F.col(c).alias(f"{c}2") for c in groups.columns if c != "key"])
+    rest = (groups.join(other, "key").filter(f"id < id2 and component <> component2 and ({possible})")
             .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     return links.union(verify(stored(rest, "rest")).select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -193,8 +193,11 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
     sets = stored(table.filter("kind = 1").select("class", "n", "places").dropDuplicates(["class"]), "classes")
     # Unshared n-grams come first in the order and are the first to be missed.
     prefix = F.slice("places", F.lit(1), F.greatest(F.size("places") - _ceil_percent(percent) + 1, F.lit(1)).cast("int"))
-    groups = sets.select(F.explode(prefix).alias("key"), F.col("class").alias("id"))
-    roots = components(link(groups, _verifier(sets, percent))).withColumnsRenamed({"node": "class", "component": "root"})
+    groups = sets.select(F.explode(prefix).alias("key"), F.col("class").alias("id"), "n", F.size("places").alias("shared"),
+                         (F.col("n") - F.size("places")).cast("double").alias("cost"))
+    # Two sets have no more in common than either shares with anybody.
+    possible = f"100 * least(shared, shared2) >= {percent} * (n + n2 - least(shared, shared2))"
+    roots = components(link(groups, _verifier(sets, percent), possible)).withColumnsRenamed({"node": "class", "component": "root"})
     placed = rows.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     # Copies may be very many rows of one class: their minimum is an aggregate, the join back a skewed join.
     least = placed.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
