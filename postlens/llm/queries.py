@@ -55,7 +55,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_line_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(read(spark, sf_dir, "documents"), count_col="n_lines_out")
+    out = dedup_lines(read(spark, sf_dir, "documents"), min_chars=1, count_col="n_lines_out")
     return out.select("doc_id", "n_lines_out", "text")
 
 

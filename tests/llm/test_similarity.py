@@ -215,6 +215,23 @@ def test_repeated_rows_end_alike_and_emptied_documents_go(documents):
     assert line_dedup.dedup_lines(documents([])).count() == 0
 
 
+def test_short_lines_are_compared_too(spark, documents):
+    rows = [(1, "les.\na\n\n你好。\nown one"), (2, "Les.\n b\n\n  \n你好。"), (3, "a\nles.\n你好。"), (4, "les.\nx")]
+    want = [(1, "les.\na\n\n你好。\nown one"), (2, " b\n\n  "), (3, ""), (4, "x")]
+    got = line_dedup.dedup_lines(documents(rows), min_chars=1, count_col="gone").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == want
+    assert sorted((r.doc_id, r.gone) for r in got) == [(1, 0), (2, 2), (3, 3), (4, 1)]
+    assert [r.doc_id for r in line_dedup.drop_emptied(documents(rows), min_chars=1).collect()].count(3) == 0
+
+
+def test_the_query_leaves_no_equal_lines(spark):
+    from conftest import SF_SMALL
+    from postlens.llm.queries import QUERIES
+
+    left = [n for r in QUERIES["op4_line_dedup"](spark, SF_SMALL).collect() for n in map(line_dedup.normal, (r.text or "").split("\n")) if n]
+    assert len(left) == len(set(left))
+
+
 def test_bands_find_similar_lines():
     """Recall of the bands on pairs just above the threshold."""
     rnd = random.Random(11)
