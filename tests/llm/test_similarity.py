@@ -249,6 +249,39 @@ def test_bands_find_similar_lines():
     assert hit / total >= 0.98
 
 
+def edited(rnd, lo, hi, by_word):
+    """A line of lo to hi characters and a copy with one word or one character replaced."""
+    while True:
+        words = ["".join(rnd.choice("etaoinsrhldcumfpgwybvk") for _ in range(rnd.randint(2, 8))) for _ in range(rnd.randint(3, 20))]
+        a = " ".join(words)
+        if lo <= len(a) <= hi:
+            break
+    if by_word:
+        words[rnd.randrange(len(words))] = "".join(rnd.choice("etaoinsrhldcumfpgwybvk") for _ in range(6))
+        return a, " ".join(words)
+    at = rnd.randrange(len(a))
+    return a, a[:at] + "7" + a[at + 1:]
+
+
+@pytest.mark.parametrize("lo,hi,by_word,least", [(20, 30, False, 0.15), (32, 100, False, 0.97), (20, 74, True, 0.15), (76, 100, True, 0.85), (130, 300, True, 0.95)])
+def test_edited_lines_link(spark, lo, hi, by_word, least):
+    """Recall on lines with one edit, whatever the shingles are; at 0.8 an edit of a very short line is often too much."""
+    rnd = random.Random(lo)
+    rows = [(i, "\n".join(edited(rnd, lo, hi, by_word))) for i in range(200)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), count_col="gone")
+    assert got.agg(F.sum("gone")).first()[0] >= least * len(rows)
+
+
+def test_lines_of_every_length_of_shingles_link(documents):
+    """Near copies on both sides of a limit of ``lengths``, which share one of their lengths."""
+    rnd = random.Random(5)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(400))
+    rows = [(n, line_dedup.normal(text[:n])) for n in range(90, 400)]
+    assert [line_dedup.lengths(t) for n, t in rows if n in (90, 150, 300)] == [[3], [3, 8], [8]]
+    got = line_dedup.drop_emptied(documents(rows)).collect()
+    assert [r.doc_id for r in got] == [90]
+
+
 # ---------------------------------------------------------------- embeddings
 
 VECTORS = "vec_id long, embedding array<float>, label int, x string"
