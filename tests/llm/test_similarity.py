@@ -272,6 +272,12 @@ def test_edited_lines_link(spark, lo, hi, by_word, least):
     assert got.agg(F.sum("gone")).first()[0] >= least * len(rows)
 
 
+def test_periodic_lines_of_any_length_link(documents):
+    rows = [(i, "\n".join([("-" * n), ("* " * n), ("ha " * n), ("+--" * n), f"own line number {i} " + "xyz"[i % 3] * 5])) for i, n in enumerate([30, 200, 3000])]
+    got = line_dedup.dedup_lines(documents(rows), count_col="gone").collect()
+    assert sorted((r.doc_id, r.gone) for r in got) == [(0, 0), (1, 4), (2, 4)]
+
+
 def test_lines_of_every_length_of_shingles_link(documents):
     """Near copies on both sides of a limit of ``lengths``, which share one of their lengths."""
     rnd = random.Random(5)
