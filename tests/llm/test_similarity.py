@@ -278,6 +278,42 @@ def test_periodic_lines_of_any_length_link(documents):
     assert sorted((r.doc_id, r.gone) for r in got) == [(0, 0), (1, 4), (2, 4)]
 
 
+def test_no_alike_lines_are_impossible(spark):
+    """The filter before the exact test holds for every pair at or above the similarity, and for few that are much less alike."""
+    rnd = random.Random(6)
+    rows, truth = [], []
+    for i in range(400):
+        a = "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(8, 90)))
+        b = list(a)
+        for _ in range(rnd.randint(1, 12)):
+            b[rnd.randrange(len(b))] = rnd.choice("abcdefgh ")
+        pair = [a, "".join(b)]
+        s, t = (line_dedup.shingles(x, 3) for x in pair)
+        n, bits = line_dedup.summaries(pair, 3)
+        assert n.tolist() == [len(s), len(t)]
+        rows.append((i, *n.tolist(), *bits.reshape(-1).tolist()))
+        truth.append(len(s & t) / len(s | t))
+    facts = ["n", "n2", *line_dedup.BITS, *(f"{c}2" for c in line_dedup.BITS)]
+    kept = spark.createDataFrame(rows, "i int, " + ", ".join(f"{c} long" for c in facts)).filter(line_dedup.possible(0.8))
+    kept = {r.i for r in kept.collect()}
+    assert {i for i, j in enumerate(truth) if j >= 0.8} <= kept
+    less = [i for i, j in enumerate(truth) if j < 0.5]
+    assert len(kept & set(less)) <= 0.05 * len(less)
+
+
+def test_bands_and_filter_lose_few_alike_lines(documents):
+    """Recall of the whole on pairs at 0.8 to 0.85."""
+    rnd = random.Random(7)
+    rows = []
+    while len(rows) < 300:
+        a, b = edited(rnd, 20, 100, rnd.random() < 0.5)
+        s, t = line_dedup.shingles(a, 3), line_dedup.shingles(b, 3)
+        if 0.8 <= len(s & t) / len(s | t) <= 0.85:
+            rows.append((len(rows), a + "\n" + b))
+    gone = line_dedup.dedup_lines(documents(rows), count_col="gone").agg(F.sum("gone")).first()[0]
+    assert gone >= 0.99 * len(rows)
+
+
 def test_lines_of_every_length_of_shingles_link(documents):
     """Near copies on both sides of a limit of ``lengths``, which share one of their lengths."""
     rnd = random.Random(5)
