@@ -26,10 +26,15 @@ BLOCKS = 256
 BROADCAST_SOURCES = 20_000
 
 
+SPACE = r"\s\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+# Scripts written without spaces: Thai, Lao, Burmese, Khmer, kana and ideographs with their punctuation.
+LONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FFF\u3001-\u9FFF\uF900-\uFAFF\uFF66-\uFF9D\x{20000}-\x{3FFFF}"
+TOKEN = f"[{LONE}]|[^{SPACE}{LONE}]++"
+
+
 def tokens_of(text: Column) -> Column:
-    """Words between spaces and newlines, at least 1 (an empty text is one token: its end)."""
-    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\n", " ")
-    return F.greatest(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1, F.lit(1)).cast("long")
+    """Words between white space, and single characters of scripts without spaces; at least 1 (an empty text is one token: its end)."""
+    return F.greatest(F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(TOKEN)), F.lit(1)).cast("long")
 
 
 def _unit(*parts) -> Column:

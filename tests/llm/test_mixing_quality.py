@@ -52,6 +52,16 @@ def test_tokens_come_to_the_budget(documents, options):
     assert whole.columns == docs.columns and whole.count() == taken.agg(F.sum("_copies")).first()[0]
 
 
+def test_tokens_of_any_layout_and_script(documents):
+    texts = {"one two\nthree": 3, "    one\n\n\n        two  \t three\r\n": 3, "a\tb\u00a0c\u3000d": 4, "\n \t": 1, "": 1, None: 1,
+             "今天天气很好。": 7, "今天 nice天": 4, "สวัสดี": 6, "안녕 세계": 2, "\U00020000\U00020001": 2, "x" * 100_000: 1}
+    got = documents(list(enumerate(texts))).select("doc_id", mixing.tokens_of(F.col("text")).alias("n"))
+    assert [r.n for r in sorted(got.collect())] == list(texts.values())
+    plain, indented = "one two three four", "        one\n        two\n\n        three\tfour"
+    docs = documents([(i, plain, "en", "plain") for i in range(20)] + [(100 + i, indented, "en", "indented") for i in range(20)])
+    assert [r.share for r in mixing.weights(docs).collect()] == [0.5, 0.5]
+
+
 def test_mixing_cases(documents):
     assert mixing.mixed(documents([])).count() == 0
     with pytest.raises(ValueError):
