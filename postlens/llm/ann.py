@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.common import stored
-from postlens.llm.vectors import dots, matrix, usable, with_usable
+from postlens.llm.vectors import dots, matrix, with_usable
 
 SAMPLE = 16_384
 BRANCH = 8
@@ -162,17 +162,32 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.
 
     Nearness is the largest inner product, in double precision; ties go to the
     smaller id; the row with the query's own id is no candidate.  Vectors that
-    are null, empty, zero, hold null or non-finite components, or differ from
-    the commonest dimension take no part, nor do null ids.  Repeated rows of
+    are null, empty, zero, or hold null or non-finite components take no part, nor
+    do null ids.  Each dimension is searched among its own rows (an id asked with several:
+    the commonest of them in ``rows``).  Repeated rows of
     ``queries`` count once; of ``rows`` once, too.  Fewer than ``k`` candidates: all.  Empty
     tables give none.
     """
     spark = rows.sparkSession
     base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).filter("vec_id is not null")
-    marked, dim = with_usable(base, "vec")
-    base = marked.filter("ok").drop("ok")
+    base = with_usable(base, "vec")
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    asked = asked.filter(F.col("vec_id").isNotNull() & usable(F.col("vec")) & (F.size("vec") == dim)).dropDuplicates(["vec_id"])
+    asked = with_usable(asked.filter("vec_id is not null"), "vec")
+    wanted = {r["dim"] for r in asked.select("dim").distinct().collect()}
+    dims = [r["dim"] for r in base.groupBy("dim").count().orderBy(F.desc("count"), "dim").collect() if r["dim"] in wanted]
+    out = spark.createDataFrame([], RANKED)
+    for i, dim in enumerate(dims):
+        some = asked.filter(F.col("dim") == dim)
+        if i:
+            some = some.join(asked.filter(F.col("dim").isin(dims[:i])).select("vec_id"), "vec_id", "left_anti")
+        found = _nearest(base.filter(F.col("dim") == dim).drop("dim"), some.select("vec_id", "vec").dropDuplicates(["vec_id"]), dim, k, recall)
+        out = out.union(found) if i else found
+    return out
+
+
+def _nearest(base: DataFrame, asked: DataFrame, dim: int, k: int, recall: float) -> DataFrame:
+    """``nearest`` among usable (vec_id, vec) of one dimension."""
+    spark = base.sparkSession
     total, top = base.agg(F.count("*"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v))).first()
     if not total:
         return spark.createDataFrame([], RANKED)

@@ -187,18 +187,19 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     Two vectors link when their labels are equal and not null and their cosine, in
     double precision, is at least ``cosine``.  n_links: other vectors linked directly;
     component_id: the smallest vec_id reachable by links, itself included;
-    kept: vec_id = component_id.  Vectors that are null, empty, zero, hold null or
-    non-finite components, or differ from the commonest dimension link
-    with nothing, nor do rows with a null id (component_id null, kept null).  Rows
+    kept: vec_id = component_id.  Vectors are compared with those of their own
+    dimension.  Vectors that are null, empty, zero, or hold null or
+    non-finite components link with nothing, nor do rows with a null id (component_id null, kept null).  Rows
     repeated as a whole count once; a vec_id with several vectors is one
     vector with the links of all of them.  An empty table gives none.
     """
     spark = rows.sparkSession
     base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
     everything = base.select("vec_id").distinct()
-    marked, dim = with_usable(base.filter("vec_id is not null and label is not null").dropDuplicates(), "vec")
+    marked = with_usable(base.filter("vec_id is not null and label is not null").dropDuplicates(), "vec")
+    marked = marked.withColumn("label", F.concat_ws(":", F.col("dim").cast("string"), F.col("label").cast("string")))  # a dimension's own labels
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
-    units = (marked.filter("ok").withColumn("norm", norm).filter("norm > 0")
+    units = (marked.withColumn("norm", norm).filter("norm > 0")
              .select("vec_id", "label", F.transform("vec", lambda v: v / F.col("norm")).alias("vec")))
     units = stored(units, "units")
 
@@ -225,7 +226,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
                 for label, group in b.groupby("label"):
                     own = of_label(label, group)
                     if own is not None:
-                        cell[group.index], dist[group.index] = nearest(matrix(group["vec"], dim), own)
+                        cell[group.index], dist[group.index] = nearest(matrix(group["vec"]), own)
                 yield b[["vec_id", "label", "vec"]].assign(cell=cell, dist=dist)
 
         return run
@@ -262,7 +263,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         same = key[1] == key[3] and key[2] == key[4]
         ids = a["vec_id"].to_numpy(np.int64)
-        return block_links(ids, matrix(a["vec"], dim), None if same else b["vec_id"].to_numpy(np.int64), None if same else matrix(b["vec"], dim), cosine)
+        return block_links(ids, matrix(a["vec"]), None if same else b["vec_id"].to_numpy(np.int64), None if same else matrix(b["vec"]), cosine)
 
     found = (left.select(*keys, "vec_id", "vec").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "vec").groupBy(*keys))
              .applyInPandas(compare, "vec_id long, n_links long, root long"))

@@ -14,16 +14,12 @@ def usable(vec: Column) -> Column:
     return F.coalesce((F.size(vec) > 0) & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def with_usable(rows: DataFrame, vec_col: str) -> tuple[DataFrame, int]:
-    """``rows`` with boolean ``ok``: usable and of the commonest dimension of usable rows."""
-    marked = rows.withColumn("ok", usable(F.col(vec_col)))
-    common = (marked.filter("ok").groupBy(F.size(vec_col).alias("d")).count()
-              .orderBy(F.desc("count"), "d").limit(1).collect())
-    dim = common[0]["d"] if common else 0
-    return marked.withColumn("ok", F.col("ok") & (F.size(vec_col) == dim)), dim
+def with_usable(rows: DataFrame, vec_col: str) -> DataFrame:
+    """The usable rows, with their dimension ``dim``."""
+    return rows.filter(usable(F.col(vec_col))).withColumn("dim", F.size(vec_col))
 
 
-def matrix(column: pd.Series, dim: int) -> np.ndarray:
+def matrix(column: pd.Series, dim: int = 0) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, dim))
 
 

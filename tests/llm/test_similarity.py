@@ -377,6 +377,16 @@ def test_cover_tree_holds_every_row_within_its_radius():
     assert all(set(a["center"]) <= set(b["center"]) for a, b in zip(tree.levels, tree.levels[1:]))  # nested
 
 
+def test_vectors_of_two_dimensions(spark):
+    """Each dimension is compared and searched among its own rows, the rarer one too."""
+    rows = [(i, [1.0, 0.01 * i, 0.0], 0, "x") for i in range(1, 6)] + [(10 + i, [0.01 * i, 1.0], 0, "x") for i in range(3)] + [(20, [1.0, 0.0], 1, "x")]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, 0.98).collect()}
+    assert got == {i: (4, 1) for i in range(1, 6)} | {10 + i: (2, 10) for i in range(3)} | {20: (0, 20)}
+    found = [(r.query_id, r.rank, r.vec_id) for r in sorted(ann.nearest(df, df.filter("vec_id in (1, 10)"), k=2, recall=1.0).collect())]
+    assert found == [(1, 1, 5), (1, 2, 4), (10, 1, 11), (10, 2, 12)]
+
+
 def test_embeddings_empty(spark):
     empty = spark.createDataFrame([], VECTORS)
     assert embedding_dedup.near_duplicates(empty).count() == 0
