@@ -17,6 +17,7 @@ from postlens.llm.mixing import mix, tokens_of
 from postlens.llm.ngram_join import ngram_components
 from postlens.llm.packing import pack_documents
 from postlens.llm.quality import judge
+from postlens.llm.repair import digests, repair
 from postlens.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +175,26 @@ FROM g WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY
 """)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults planted by a hash of ``conv_id:turn``."""
+    name = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    kind = F.crc32(F.concat(name[0], F.lit(":"), name[1])) % 20
+    rows = conversations.select("conv_id", "turn", name[2].alias("role"), name[3].alias("text"), kind.alias("kind")).filter("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.withColumns({"text": text, "role": F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))})
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+@query("op12_structure_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = read(spark, sf_dir, "conversations")
+    done = repair(damaged(convs))
+    every = convs.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    whole = done.conversations.withColumnRenamed("conv_id", "c")
+    hashes = digests(done.turns).withColumnRenamed("conv_id", "h")
+    out = every.join(whole, F.col("conv_id").eqNullSafe(F.col("c")), "left").join(hashes, F.col("conv_id").eqNullSafe(F.col("h")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
