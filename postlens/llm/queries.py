@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import ann, chat
+from postlens.llm import ann, chat, pii
 from postlens.llm.common import read
 from postlens.llm.embedding_dedup import near_duplicates
 from postlens.llm.katz import katz_scores
@@ -198,3 +198,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query("op13_contextual_pii")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.summary(pii.find(read(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
