@@ -38,11 +38,11 @@ from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from postlens.llm.common import stored
 
@@ -133,13 +133,12 @@ def _segments(size: int):
     return run
 
 
-FOLDED = ("conv_id long, part int, seq int, entry int, own string, head boolean, gaps long, blank long, duplicate long, truncated long, "
-          "illegal long, cost long, audit string")
+FOLDED = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("seq", pa.int32()), ("entry", pa.int32()), ("own", pa.string()), ("head", pa.bool_()),
+                    *[(k, pa.int64()) for k in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], ("audit", pa.string())])
 
 
-def _fold(segments: pd.DataFrame) -> pd.DataFrame:
-    """A conversation's segments: the states that each begins in, and the whole conversation on the first one's row."""
-    rows = segments.sort_values(["part", "seq"]).to_dict("records")
+def _fold(rows: list[dict]) -> list[dict]:
+    """A conversation's segments in order: the state that each begins in, and the whole conversation on the first one's row."""
     values, chosen = {START: (0, "")}, []
     for r in rows:
         ways = [(values[p][0] + c, values[p][1] + a, q, p, a) for p, q, c, a in zip(r["entries"], r["exits"], r["costs"], r["audits"]) if p in values]
@@ -160,8 +159,22 @@ def _fold(segments: pd.DataFrame) -> pd.DataFrame:
     joints = sum(a["initials"][-1] + b["initials"][0] not in LEGAL for a, b in zip(rows, rows[1:]))
     out[-1] |= {"gaps": known[-1][2] - known[0][1] + 1 - turns if known else 0, "illegal": sum(r["illegal"] for r in rows) + joints, "cost": cost, "audit": audit,
                 **{k: sum(r[k] for r in rows) for k in ("blank", "duplicate", "truncated")}}
-    table = pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.split(", ")])
-    return table.astype({c: "Int64" for c in ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost")})
+    return out
+
+
+def _folds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments sorted by conversation and place, folded conversation by conversation."""
+    own: list[dict] = []
+    for b in batches:
+        done = []
+        for row in b.to_pylist():
+            if own and row["conv_id"] != own[0]["conv_id"]:
+                done += _fold(own)
+                own = []
+            own.append(row)
+        yield pa.RecordBatch.from_pylist(done, schema=FOLDED)
+    if own:
+        yield pa.RecordBatch.from_pylist(_fold(own), schema=FOLDED)
 
 
 EDITS = "conv_id long, part int, seq int, place int, edit string, rid long, new_role string"
@@ -218,7 +231,8 @@ def repair(conversations: DataFrame, segment: int = SEGMENT) -> Repaired:
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.col("same"), F.col("rid")]
     ranged = with_faults(rows).repartitionByRange(*order).sortWithinPartitions(*order).drop("same")
     segments = stored(ranged.mapInArrow(_segments(segment), SEGMENTS), "repair-segments")
-    folded = stored(segments.drop("rids").groupBy("conv_id").applyInPandas(_fold, FOLDED), "repair-folded")
+    together = segments.drop("rids").repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
+    folded = stored(together.mapInArrow(_folds, from_arrow_schema(FOLDED)), "repair-folded")
     whole = folded.filter("head").select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
     parts = segments.select("part", "seq", "rids", "initials").join(folded.select("conv_id", "part", "seq", "entry", "own"), ["part", "seq"])
     edits = stored(parts.mapInArrow(_replay, EDITS), "repair-edits")
