@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.text import clean_text
 from postlens.functions.time import parse_scrape_time
+from postlens.operators.firsts import first_rows, packed_order, text_digest
 
 TEXT_COLUMNS = ["category", "tag", "username", "tweetText", "tweet_link"]
 
@@ -39,20 +40,12 @@ def type_posts(raw: DataFrame) -> DataFrame:
 def clean_posts(posts: DataFrame, dedup: bool = True) -> DataFrame:
     """G1: clean the text, keep the earliest post per cleaned text, add ``index``.
 
-    Written as an aggregate (``min_by``) rather than a ranking window: the
-    aggregate combines map-side, so a text shared by a third of all posts is
-    reduced inside each task before the shuffle instead of landing whole in one
-    window partition.  Order: time (nulls last, as a pandas sort), then post_id.
+    Order: time (nulls last, as a pandas sort), then post_id.  See ``first_rows``:
+    no text is sorted or aggregated.
     """
-    cleaned = posts.withColumn("tweetText", clean_text("tweetText"))
-    if not dedup:
-        return cleaned.withColumn("index", F.col("post_id") + 1)
-    others = [c for c in cleaned.columns if c != "tweetText"]
-    order = F.struct(F.col("postTimeRaw").isNull(), F.col("postTimeRaw"), F.col("post_id"))
-    first = cleaned.groupBy("tweetText").agg(
-        F.min_by(F.struct(*others), order).alias("_first"))
-    out = first.select("tweetText", "_first.*")
-    return out.select(*cleaned.columns).withColumn("index", F.col("post_id") + 1)
+    if dedup:  # only the texts of the rows that stay are cleaned for good
+        posts = first_rows(posts, text_digest(clean_text("tweetText")), packed_order(F.col("postTimeRaw"), F.col("post_id")))
+    return posts.withColumn("tweetText", clean_text("tweetText")).withColumn("index", F.col("post_id") + 1)
 
 
 def with_index(posts: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.text import strip_space
 from postlens.functions.time import parse_post_time
+from postlens.operators.firsts import first_rows, packed_order
 
 # The capture site and its search URL template.
 SITE = "https://x.com"
@@ -217,12 +218,10 @@ def extract_posts(arts: DataFrame) -> DataFrame:
 
 def dedup_first_seen(posts: DataFrame, seen_col: str = "seen") -> DataFrame:
     """Per tag, the first-seen post of each (username, text); across tags the
-    same post stays.  An aggregate (min_by), so a repeated post held by a
-    third of all rows is reduced map-side before the shuffle."""
-    others = [c for c in posts.columns if c not in ("tag", "username", "tweetText")]
-    g = posts.groupBy("tag", "username", "tweetText").agg(
-        F.min_by(F.struct(*others), F.col(seen_col)).alias("_first"))
-    return g.select("tag", "username", "tweetText", "_first.*").select(*posts.columns)
+    same post stays.  ``seen_col``: a time or a whole number, nulls last."""
+    timed = posts.schema[seen_col].dataType.typeName().startswith("timestamp")
+    seen = F.col(seen_col)
+    return first_rows(posts, ["tag", "username", "tweetText"], packed_order(seen, None) if timed else packed_order(None, seen))
 
 
 # --- B9 + J7 + J8: search targets from the tag catalog -----------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from postlens.schemas import FINGERPRINT, STORED_POSTS
 from postlens.sources import store
+from postlens.sources.digests import DigestIndex
 from postlens.sources.work import work_table
 
 POST_KEYS = ("postTimeRaw", "username", "tweetText")
@@ -129,24 +130,35 @@ def new_rows(batch: DataFrame, stored: DataFrame, keys: Sequence[str] = POST_KEY
             .join(known, F.col("_digest") == F.col("_known"), "left_anti").drop("_digest"))
 
 
+def digest_index(spark: SparkSession, store_path: str, keys: Sequence[str] = POST_KEYS, schema=None) -> DigestIndex:
+    return DigestIndex(spark, store_path, schema or STORED_POSTS, keys, F.unhex(row_digest(keys)))
+
+
+def new_rows_of(spark: SparkSession, batch: DataFrame, store_path: str, keys: Sequence[str] = POST_KEYS, schema=None) -> DataFrame:
+    """E1/E2/I3 against a store: as ``new_rows``, but reading the store's digest index instead of its rows.
+
+    The index is not shuffled (buckets of the digest), its days outside the batch's are skipped.
+    """
+    index = digest_index(spark, store_path, keys, schema)
+    index.catch_up()
+    batch = work_table(batch.withColumn("_digest", F.unhex(row_digest(keys))), "batch")  # read twice: bounds, then the anti-join
+    lo, hi = time_bounds(batch)
+    days = (None, None) if lo is None else [d.year * 10000 + d.month * 100 + d.day for d in (lo, hi)]
+    return batch.join(index.known(*days), F.col("_digest") == F.col("digest"), "left_anti").drop("_digest")
+
+
 def append_new(spark: SparkSession, batch: DataFrame, store_path: str, keys: Sequence[str] = POST_KEYS,
                schema=None) -> int:
     """Append only rows the store does not hold; returns rows appended.
 
-    The store scan is limited to the batch's days (partition filter) plus the
-    null-date partition.  Re-running the same batch appends nothing, which
-    makes the step safe to retry after a lost executor or a failed job.
+    Of the store, only its digest index is read.  Re-running the same batch
+    appends nothing, which makes the step safe to retry after a lost executor
+    or a failed job: what a failed append left is indexed before the next look.
     """
     schema = schema or STORED_POSTS
-    if not store.store_exists(spark, store_path):
-        fresh = batch
-    else:
-        batch = work_table(batch, "batch")  # read twice: bounds, then the anti-join
-        lo, hi = time_bounds(batch)
-        if lo is None:
-            stored = spark.read.schema(schema).parquet(store_path).filter(F.col("year").isNull())
-        else:
-            stored = store.read_store_days(spark, store_path, lo, hi, schema)
-        fresh = new_rows(batch, restrict_store(stored, lo, hi), keys, restrict=False)
-    fresh = fresh.select(*[f.name for f in schema.fields])
-    return store.write_audited(fresh, store_path, "append")
+    there = store.store_exists(spark, store_path)
+    fresh = new_rows_of(spark, batch, store_path, keys, schema) if there else batch
+    added = store.write_audited(fresh.select(*[f.name for f in schema.fields]), store_path, "append")
+    if added:
+        digest_index(spark, store_path, keys, schema).catch_up()
+    return added

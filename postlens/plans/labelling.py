@@ -9,8 +9,8 @@ from postlens.operators import clean, ingest, terms, topics, trends
 from postlens.plans import dashboard
 from postlens.plans.oracle import topic_views, with_views
 from postlens.plans.registry import query
+from postlens.plans.storage import written_store
 from postlens.schemas import TOPICS
-from postlens.session import work_dir
 from postlens.sources import fixtures, store
 from postlens.sources.work import work_table
 
@@ -155,17 +155,12 @@ def strip_stop_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- topics store and dashboard ------------------------------------------------------------------
 
-_written: dict[tuple[str, str], str] = {}
+def _topic_rows(spark: SparkSession, posts: DataFrame) -> DataFrame:
+    return topics.topics_direct(posts, fixtures.topic_rules(spark)).select(*[f.name for f in TOPICS.fields])
 
 
 def topics_store_path(spark: SparkSession, sf_dir: str) -> str:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    path = _written.get(key)
-    if path is None or not store.store_exists(spark, path):
-        path = work_dir(spark, "topics-store")
-        store.write_partitioned(topics_table(spark, sf_dir).select(*[f.name for f in TOPICS.fields]), path)
-        _written[key] = path
-    return path
+    return written_store(spark, sf_dir, "topics-store", lambda sp, d: _topic_rows(sp, fixtures.posts(sp, d)))
 
 
 @query("scan_topics", with_views("SELECT * FROM topics", "topics"))
@@ -181,25 +176,17 @@ SELECT * FROM n_topics n
 WHERE NOT EXISTS (SELECT 1 FROM s_topics s WHERE {_TOPIC_KEYS_EQ})""", "posts_new", "posts_store", "topic_rules",
     ctes=topic_views("posts_new", "n") + topic_views("posts_store", "s")))
 def new_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics of a new batch that the topics store does not hold.
+    """Topics of a new batch that the topics store does not hold; of the store, its digest index is read.
 
     Each batch is labelled on its own (cleaning deduplicates within it), as
     the incremental flow does."""
-    rules = fixtures.topic_rules(spark)
-    batch = topics.topics_direct(fixtures.posts_new(spark, sf_dir), rules)
-    stored = topics.topics_direct(fixtures.posts_store(spark, sf_dir), rules)
-    return ingest.new_rows(batch, stored, ingest.TOPIC_KEYS)
+    path = written_store(spark, sf_dir, "topics-before", lambda sp, d: _topic_rows(sp, fixtures.posts_store(sp, d)))
+    return ingest.new_rows_of(spark, _topic_rows(spark, fixtures.posts_new(spark, sf_dir)), path, ingest.TOPIC_KEYS, TOPICS)
 
 
 def posts_store_path(spark: SparkSession, sf_dir: str) -> str:
-    """The cleaned posts as the ingest stores them, written once per application and data folder."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir}#posts")
-    path = _written.get(key)
-    if path is None or not store.store_exists(spark, path):
-        path = work_dir(spark, "clean-posts-store")
-        store.write_partitioned(_clean(spark, sf_dir), path)
-        _written[key] = path
-    return path
+    """The cleaned posts as the ingest stores them."""
+    return written_store(spark, sf_dir, "clean-posts-store", _clean)
 
 
 def sliced_topics(spark: SparkSession, sf_dir: str) -> DataFrame:

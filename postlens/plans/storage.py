@@ -12,22 +12,18 @@ from postlens.operators import clean, ingest, quality
 from postlens.plans.oracle import with_views
 from postlens.plans.registry import query
 from postlens.schemas import EXPORT, POSTS, RAW
-from postlens.session import work_dir
+from postlens.session import content_dir, path_exists, work_dir
 from postlens.sources import files, fixtures, store
 
 _POST_COLS = [f.name for f in POSTS.fields]
-_written: dict[tuple[str, str, str], str] = {}
-
-
-def written_store(spark: SparkSession, sf_dir: str, name: str,
-                  build: Callable[[SparkSession, str], DataFrame]) -> str:
-    """Write a store once per application and data folder; later queries scan it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    path = _written.get(key)
-    if path is None or not store.store_exists(spark, path):
-        path = work_dir(spark, name)
-        store.write_partitioned(build(spark, sf_dir), path, "append")
-        _written[key] = path
+
+
+def written_store(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame],
+                  write: Callable[[DataFrame, str], None] = lambda df, path: store.write_partitioned(df, path, "overwrite")) -> str:
+    """A store of ``build``'s rows, written once for the data as it is now; later queries scan it."""
+    path = content_dir(spark, name, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("events", "documents")])
+    if not path_exists(spark, f"{path}/_SUCCESS"):  # written to its end
+        write(build(spark, sf_dir), path)
     return path
 
 
@@ -104,14 +100,8 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _export(spark: SparkSession, sf_dir: str) -> str:
-    """The flat snapshot of the posts, written once per application and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, "export")
-    path = _written.get(key)
-    if path is None or not store.store_exists(spark, path):
-        path = work_dir(spark, "export")
-        files.write_flat(clean.export_form(_stored_posts(spark, sf_dir)).select(*[f.name for f in EXPORT.fields]), path)
-        _written[key] = path
-    return path
+    """The flat snapshot of the posts, written once for the data as it is now."""
+    return written_store(spark, sf_dir, "export", lambda sp, d: clean.export_form(_stored_posts(sp, d)).select(*[f.name for f in EXPORT.fields]), files.write_flat)
 
 
 @query("export_snapshot", with_views("""
@@ -139,7 +129,9 @@ _KEYS_EQ = ("s.postTimeRaw IS NOT DISTINCT FROM n.postTimeRaw AND s.username IS
 SELECT * FROM posts_new n WHERE NOT EXISTS (SELECT 1 FROM posts_store s WHERE {_KEYS_EQ})""",
     "posts_new", "posts_store"))
 def new_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.new_rows(fixtures.posts_new(spark, sf_dir), fixtures.posts_store(spark, sf_dir))
+    """A batch against the posts store; of the store, its digest index is read."""
+    path = written_store(spark, sf_dir, "posts-before", lambda sp, d: fixtures.stored(fixtures.posts_store(sp, d)))
+    return ingest.new_rows_of(spark, fixtures.posts_new(spark, sf_dir), path)
 
 
 @query("incremental_load", with_views(f"""

@@ -7,10 +7,11 @@ names.  Only when that setting is unset (local runs, tests) do we create one.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -55,7 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
-    elif not sc.master.startswith("local"):
+    elif not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     else:
         # Local runs and tests only: the cluster always names a shared folder.
@@ -70,6 +71,30 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, asked of the file system that the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def content_dir(spark: SparkSession, name: str, inputs: Sequence[str]) -> str:
+    """A folder for tables derived from ``inputs`` (files or folders): the same one as long
+    as their files, sizes and times are the same, another one as soon as they change."""
+    marks = []
+    for path in sorted(inputs):
+        top = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        todo = list(fs.globStatus(top) or [])
+        while todo:
+            st = todo.pop()
+            if st.isDirectory():
+                todo += list(fs.listStatus(st.getPath()))
+            else:
+                marks.append(f"{st.getPath()} {st.getLen()} {st.getModificationTime()}")
+    mark = hashlib.md5("\n".join(sorted(marks)).encode()).hexdigest()[:16]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/postlens-work/{name}-{mark}"
+
+
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[str]:
     """Work tables made inside the block lie in one folder, removed at its end.

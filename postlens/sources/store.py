@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from postlens.schemas import PARTITION_COLUMNS, STORED_POSTS, TOPICS
+from postlens.session import path_exists
 from postlens.operators.trends import day_range_predicate
 
 
@@ -70,6 +71,8 @@ def read_store_days(spark: SparkSession, path: str, start: dt.datetime, end: dt.
 
 def store_exists(spark: SparkSession, path: str) -> bool:
     """True when the store has been written at least once."""
+    if not path_exists(spark, path):  # asked first: a failed analysis is logged as an error
+        return False
     try:
         spark.read.parquet(path).schema  # noqa: B018  (listing only, no scan)
         return True

@@ -10,10 +10,13 @@ fingerprint is written last, so a failed batch is retried, not skipped.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postlens.operators import ingest, quality, topics
@@ -23,6 +26,13 @@ from postlens.sources import store
 from postlens.sources.work import work_table
 
 
+# Keyed state beside the memory of the executors.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 class BatchRejected(RuntimeError):
     """Raised in ``on_fail='stop'`` mode when a batch fails validation."""
 
@@ -83,7 +93,7 @@ def start_ingest(spark: SparkSession, posts_stream: DataFrame, cfg: IngestConfig
 
 
 def dedup_batch(spark: SparkSession, batch: DataFrame, batch_id: int, path: str, keys: list[str]) -> None:
-    """K3 for one batch: its rows whose ``keys`` (nulls equal) no earlier batch stored, each once.
+    """K3 without a stream (a backfill, batch by batch): its rows whose ``keys`` (nulls equal) no earlier batch stored, each once.
 
     Exact for rows of any age and order.  The batch owns the folder ``_batch=<id>``:
     a replay compares with the other batches only and replaces its own rows.
@@ -96,12 +106,30 @@ def dedup_batch(spark: SparkSession, batch: DataFrame, batch_id: int, path: str,
     work_table(fresh, "fresh").write.mode("overwrite").parquet(f"{path}/_batch={int(batch_id)}")
 
 
+@contextmanager
+def _settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings for the block; a query keeps those it was started with."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def start_dedup(spark: SparkSession, posts_stream: DataFrame, path: str, keys: list[str], checkpoint: str,
                 trigger: dict | None = None) -> StreamingQuery:
-    """K3: repeat removal against everything stored, batch by batch."""
-    def fn(df: DataFrame, epoch_id: int) -> None:
-        with scratch(spark, "dedup"):
-            dedup_batch(spark, df, epoch_id, path, keys)
+    """K3: repeat removal against everything ever seen, row by row.
 
-    return (posts_stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": "15 minutes"})).start())
+    The digests seen are a keyed state (RocksDB, on the executors' disks, its changes
+    saved with the checkpoint): a micro-batch looks up its own digests only, whatever
+    came before, and reads nothing that was written.  There is no watermark, so
+    a repeat is found however old it is.  State and output commit with the batch, so
+    a replay neither adds nor loses rows.
+    """
+    fresh = posts_stream.withColumn("_digest", F.unhex(ingest.row_digest(keys))).dropDuplicates(["_digest"]).drop("_digest")
+    with _settings(spark, **STATE):
+        return (fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+                .outputMode("append").trigger(**(trigger or {"processingTime": "15 minutes"})).start())
