@@ -72,9 +72,12 @@ def weights(docs: DataFrame, entropy: float | None = None, max_repeats: float |
     budget None: the smallest total that takes every source at least once.
     A null source is a source of its own.
     """
+    return _weights(docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(tokens_of(F.col("text"))).alias("tokens")), entropy, max_repeats, budget)
+
+
+def _weights(counted: DataFrame, entropy: float | None, max_repeats: float | None, budget: int | None) -> DataFrame:
     if (entropy is None) == (max_repeats is None):
         raise ValueError("give either entropy or max_repeats")
-    counted = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(tokens_of(F.col("text"))).alias("tokens"))
     counted = stored(counted, "sources")
     total = counted.agg(F.sum("tokens")).first()[0]
     if not total:
@@ -103,11 +106,15 @@ def weights(docs: DataFrame, entropy: float | None = None, max_repeats: float |
     return table.withColumn("repeats", F.col("budget") / F.col("tokens")).select("source", "tokens", "share", "weight", "budget", "repeats")
 
 
-def plan(docs: DataFrame, table: DataFrame, key: list[str], seed: int, source_col: str) -> DataFrame:
-    """``table`` with whole (epochs taken in full) and cut: blocks of the next epoch below it are taken too."""
+def block_tokens(docs: DataFrame, key: list[str], seed: int, source_col: str) -> DataFrame:
+    """(source, block, t): the tokens of every block, the one pass over the texts that weights and cuts need."""
+    blocks = docs.select(F.col(source_col).alias("source"), tokens_of(F.col("text")).alias("t"), _block(key, seed).alias("block"))
+    return stored(blocks.groupBy("source", "block").agg(F.sum("t").alias("t")), "blocks")
+
+
+def plan(blocks: DataFrame, table: DataFrame, seed: int) -> DataFrame:
+    """``table`` with whole (epochs taken in full) and cut: blocks of the next epoch up to it are taken too."""
     table = stored(table.withColumn("whole", F.floor(F.col("repeats") + 1e-9)), "mixture")
-    blocks = (docs.select(F.col(source_col).alias("source"), tokens_of(F.col("text")).alias("t"), _block(key, seed).alias("block"))
-              .groupBy("source", "block").agg(F.sum("t").alias("t")))
     joined = blocks.join(table.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     place = _unit(F.lit(seed + 1), "source", "block", "whole")
     run = Window.partitionBy("source").orderBy("place", "block")  # at most BLOCKS rows a source
@@ -135,8 +142,9 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float | None
     if copies_col in docs.columns:
         raise ValueError(f"a column {copies_col!r} is there already; choose another name")
     key = [c for c in ("doc_id", "text") if c in docs.columns]
-    table = weights(docs, entropy, max_repeats, budget, source_col)
-    cuts = plan(docs, table, key, seed, source_col).withColumnsRenamed({"source": "_m_source", "whole": "_m_whole", "cut": "_m_cut"})
+    blocks = block_tokens(docs, key, seed, source_col)
+    table = _weights(blocks.groupBy("source").agg(F.sum("t").alias("tokens")), entropy, max_repeats, budget)
+    cuts = plan(blocks, table, seed).withColumnsRenamed({"source": "_m_source", "whole": "_m_whole", "cut": "_m_cut"})
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
     taken = docs.join(cuts, F.col(source_col).eqNullSafe(F.col("_m_source")), "left")

@@ -23,13 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.llm.common import CHUNK_BYTES, doc_of, stored, whole
 
 TRAIN_ROWS = 8_000
+TRAIN_WORDS = 16_000_000
 WIDTH = 1 << 16
 KEPT_WORDS = 4_000
 BROADCAST_SITES = 20_000
@@ -143,27 +144,43 @@ def _slices(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
-def train(docs: DataFrame, labels: DataFrame, targets: dict[str, str], rows: int = TRAIN_ROWS) -> dict[str, Classifier | None]:
-    """Classifiers by target name; ``targets`` maps a name to a SQL condition on the labels."""
+def train(docs: DataFrame, labels: DataFrame, targets: dict[str, str], rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> dict[str, Classifier | None]:
+    """Classifiers by target name; ``targets`` maps a name to a SQL condition on the labels.
+
+    Fitted on at most ``rows`` labelled documents, the smallest id hashes, with at
+    most ``words`` distinct hashed words in all: 4 bytes each on the driver.  Of
+    several labels of an id the least counts, and of several documents the
+    shortest.
+    """
     known = labels.filter("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *[F.coalesce(F.expr(c).cast("double"), F.lit(0.0)).alias(f"y_{k}") for k, c in targets.items()])
-    sample = known.orderBy(F.xxhash64("doc_id"), *known.columns).limit(rows)
+    # One label and one text an id (the least ones), so that ``rows`` bounds what is fitted on whatever repeats.
+    known = known.groupBy("doc_id").agg(F.min(F.struct(*[f"y_{k}" for k in targets])).alias("y")).select("doc_id", "y.*")
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(sample), "doc_id").select("text", *[f"y_{k}" for k in targets])  # at most ``rows`` narrow rows are sent
+    joined = texts.join(F.broadcast(sample), "doc_id")  # at most ``rows`` narrow rows are sent
+    names = [f"y_{k}" for k in targets]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for b in _slices(big, 0):
-                doc, word, dense = _features(b.column(0))
+            for b in _slices(big, 1):
+                doc, word, dense = _features(b.column(1))
                 cut = np.searchsorted(doc, np.arange(1, b.num_rows))
-                ys = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
+                ys = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]])
+                of = [x.astype(np.int32) for x in np.split(word, cut)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([x.astype(np.int32).tobytes() for x in np.split(word, cut)], pa.binary()),
+                    b.column(0), pa.array([len(x) for x in of], pa.int32()), pa.array([x.tobytes() for x in of], pa.binary()),
                     pa.array([x.tobytes() for x in dense], pa.binary()), pa.array([x.tobytes() for x in ys], pa.binary())],
-                    names=["words", "dense", "y"])
-
-    got = joined.mapInArrow(run, "words binary, dense binary, y binary").collect()  # bounded by ``rows``
+                    names=["doc_id", "n", "words", "dense", "y"])
+
+    told = joined.select("doc_id", "text", *names).mapInArrow(run, "doc_id long, n int, words binary, dense binary, y binary")
+    one = told.groupBy("doc_id").agg(F.min(F.struct("n", "words", "dense", "y")).alias("d")).select("doc_id", "d.*")
+    # At most ``rows`` of them, and at most ``words`` hashed words in all: the first documents of the sample's order.
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    kept = stored(one, "labelled")
+    inside = kept.select("doc_id", F.sum("n").over(order).alias("upto")).filter(F.col("upto") <= words).select("doc_id")  # a row an id: at most ``rows``
+    got = kept.join(F.broadcast(inside), "doc_id").select("words", "dense", "y").collect()
     if not got:
         return {k: None for k in targets}
     got = sorted(map(tuple, got))  # one order, whatever order tasks ended in

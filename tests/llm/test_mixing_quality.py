@@ -163,3 +163,96 @@ def test_pipeline_run_is_the_stages(spark, stages):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     got = corpus_pipeline.run(spark, SF_SMALL)
     assert sorted(got.select(*key).collect()) == sorted(stages[-1][2].select(*key).collect())
+
+
+# ---------------------------------------------------------------- against plain Python
+
+def test_copies_equal_a_loop(documents):
+    """Shares, exponent, budgets, blocks and cuts recomputed row by row; only the hashes come from Spark."""
+    seed, repeats = 3, 1.5
+    docs = documents(mixture_rows() + [(i, "a b c", "en", None) for i in range(9000, 9040)])
+    place = mixing._unit(F.lit(seed + 1), "source", "block", "whole")
+    rows = docs.select("doc_id", "source", mixing.tokens_of(F.col("text")).alias("t"), mixing._block(["doc_id", "text"], seed).alias("block")).collect()
+    tokens = {}
+    for r in rows:
+        tokens[r.source] = tokens.get(r.source, 0) + r.t
+    total, most = sum(tokens.values()), max(tokens.values())
+    least = min(tokens.values())
+    lo, hi = 0.0, 1.0
+    for _ in range(60):  # the smallest source is repeated (least / most) ^ (a - 1) times
+        a = (lo + hi) / 2
+        lo, hi = (a, hi) if (least / most) ** (a - 1) > repeats else (lo, a)
+    budget = {s: most * (t / most) ** hi for s, t in tokens.items()}
+    whole = {s: int(budget[s] / t + 1e-6) for s, t in tokens.items()}
+    spark = docs.sparkSession
+    blocks = {}
+    for r in rows:
+        blocks[r.source, r.block] = blocks.get((r.source, r.block), 0) + r.t
+    places = {(r.source, r.block): r.place for r in spark.createDataFrame(
+        [(s, b, whole[s]) for s, b in blocks], "source string, block long, whole long").withColumn("place", place).collect()}
+    extra = set()
+    for s in tokens:
+        upto, cut = 0, -1.0
+        for b in sorted((b for x, b in blocks if x == s), key=lambda b: (places[s, b], b)):
+            if upto + blocks[s, b] / 2 < budget[s] - whole[s] * tokens[s]:
+                cut = places[s, b]
+            upto += blocks[s, b]
+        extra |= {(s, b) for x, b in blocks if x == s and places[s, b] <= cut}
+    want = sorted((r.doc_id, whole[r.source] + ((r.source, r.block) in extra)) for r in rows)
+    got = sorted((r.doc_id, r["_copies"]) for r in mixing.mix(docs, max_repeats=repeats).collect())
+    assert total and got == want
+
+
+def test_site_posteriors_equal_a_loop(spark):
+    rng = __import__("random").Random(3)
+    rows = [(rng.choice(["h1", "h2", None]), rng.choice(["a", "b", None]), rng.random()) for _ in range(400)] + [("h3", "z", 0.2)]
+    sites, prior = quality.site_posteriors(spark.createDataFrame(rows, "site_host string, site_path string, good double"), ["good"])
+    mean = sum(r[2] for r in rows) / len(rows)
+
+    def grouped(key):
+        out = {}
+        for r in rows:
+            n, t = out.get(key(r), (0, 0.0))
+            out[key(r)] = (n + 1, t + r[2])
+        return out
+
+    def pull(groups, parent):
+        noise = sum(parent(k) * (1 - parent(k)) for k in groups)
+        between = (sum(n * (t / n - parent(k)) ** 2 for k, (n, t) in groups.items()) - noise) / max(sum(n for n, _ in groups.values()), 1)
+        return min(max(noise / len(groups) / max(between, 1e-9) - 1, 1.0), 1e6)
+
+    hosts, paths = grouped(lambda r: r[0]), grouped(lambda r: (r[0], r[1]))
+    p = pull(hosts, lambda k: mean)
+    host = {k: (t + p * mean) / (n + p) for k, (n, t) in hosts.items()}
+    p = pull(paths, lambda k: host[k[0]])
+    want = {k: (t + p * host[k[0]]) / (n + p) for k, (n, t) in paths.items()}
+    got = {(r.site_host, r.site_path): r.path_good for r in sites.collect()}
+    assert prior["good"] == pytest.approx(mean) and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_posterior_is_the_classifier_moved_by_the_site(spark, documents):
+    rows = quality_rows()
+    some = labels(spark, [(i, int(i % 4 != 0), int(i % 7 == 0)) for i in range(150)])
+    import math
+
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    judged = quality.judge(documents(rows), some).collect()
+    for k in ("good", "toxic"):
+        mean = sum(r[f"_q_doc_{k}"] for r in judged) / len(judged)
+        for r in judged:
+            assert r[f"_q_{k}"] == pytest.approx(1 / (1 + math.exp(-(logit(r[f"_q_doc_{k}"]) + logit(r[f"_q_site_{k}"]) - logit(mean)))), abs=1e-6)
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, documents, monkeypatch):
+    """3,000 rows and labels of one id are one row of the sample; words are bounded in all."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda doc, word, dense, y, **k: seen.append((len(y), len(word))))
+    rows = [(1, f"w{i} x") for i in range(3000)] + [(i, "a b c d e f g h") for i in range(2, 40)]
+    marks = labels(spark, [(1, 1, 0)] * 500 + [(1, 0, 1)] * 500 + [(i, i % 2, 0) for i in range(2, 40)])
+    quality.train(documents(rows), marks, quality.TARGETS, rows=10)
+    assert seen[-1][0] == 10
+    quality.train(documents(rows).filter("doc_id = 1"), marks, quality.TARGETS, rows=10)
+    assert seen[-1] == (1, 2)
+    quality.train(documents(rows), marks, quality.TARGETS, rows=10, words=30)
+    assert seen[-1][0] < 10 and seen[-1][1] <= 30
