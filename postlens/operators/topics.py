@@ -23,6 +23,7 @@ from postlens.functions.text import ANY_SPACE, json_span, strip_space, tokens, u
 from postlens.operators.clean import clean_posts
 from postlens.operators.numbering import assign_batches
 from postlens.schemas import RESPONSE
+from postlens.session import path_exists, work_dir
 from postlens.sources.work import ROW_ID, with_row_ids, work_table
 
 # Batch sizes of the labelling job and of the label endpoint.
@@ -31,9 +32,9 @@ ENDPOINT_BATCH_SIZE = 50
 
 ModelFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
-def batch_order() -> list[Column]:
+def batch_order() -> list[str]:
     """Time order with null times last (as a pandas sort), ties by post_id."""
-    return [F.col("postTimeRaw").asc_nulls_last(), F.col("post_id").asc()]
+    return ["postTimeRaw", "post_id"]
 
 
 # --- F9 / D5: stop words from tags -------------------------------------------------------------
@@ -116,6 +117,44 @@ def model_responses(prompts: DataFrame, model: ModelFn) -> DataFrame:
     return prompts.mapInPandas(model, "batch_id long, response string")
 
 
+def prompt_digest(prompts: DataFrame) -> Column:
+    """16 bytes of what the model is shown: the prompt and the vocabulary, if there is one."""
+    shown = [c for c in ("vocabulary", "prompt") if c in prompts.columns]
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in shown]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
+def record_answers(prompts: DataFrame, responses: DataFrame, path: str) -> None:
+    """Append answers (batch_id, response) to the answers store under their prompts' digests."""
+    named = prompts.select("batch_id", prompt_digest(prompts).alias("digest"))
+    named.join(responses, "batch_id").select("digest", "response").write.mode("append").parquet(path)
+
+
+def ask(prompts: DataFrame, model: ModelFn, path: str) -> DataFrame:
+    """(batch_id, response) of every prompt; a prompt whose answer the store at ``path`` holds is not asked again.
+
+    New answers are stored under the digest of what was shown before they are
+    used, so a replay, or a run that goes on after a failure, asks nothing twice.
+    Of repeated answers to one prompt the least counts.
+    """
+    spark = prompts.sparkSession
+    prompts = work_table(prompts.withColumn("_digest", prompt_digest(prompts)), "prompts")
+
+    def stored() -> DataFrame:
+        return spark.read.schema("digest binary, response string").parquet(path).groupBy("digest").agg(F.min("response").alias("response"))
+
+    new = prompts
+    if path_exists(spark, path):
+        new = prompts.join(stored().select(F.col("digest").alias("_digest")), "_digest", "left_anti")
+    new = work_table(new, "to-ask")
+    if not new.isEmpty():
+        answers = model_responses(new.drop("_digest"), model)
+        new.select("batch_id", F.col("_digest").alias("digest")).join(answers, "batch_id").select("digest", "response").write.mode("append").parquet(path)
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "batch_id long, response string")
+    return prompts.select("batch_id", "_digest").join(stored(), F.col("_digest") == F.col("digest")).select("batch_id", "response")
+
+
 # --- J10-J12 + L4: parse the answers -------------------------------------------------------------
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -159,6 +198,47 @@ def running_vocab(parsed: DataFrame) -> DataFrame:
     return allp.groupBy("kind", "level", "term").agg(F.min("batch_id").alias("first_batch"))
 
 
+def answered_terms(parsed: DataFrame) -> DataFrame:
+    """(kind, level, term) that the answers name, each once, nulls dropped."""
+    return running_vocab(parsed).select("kind", "level", "term").filter(F.col("term").isNotNull())
+
+
+VOCABULARY = "kind string, level string, term string"
+WAVE_BATCHES = 16
+
+
+def answers_in_waves(batched: DataFrame, model: ModelFn, path: str, wave_batches: int = WAVE_BATCHES,
+                     vocab: DataFrame | None = None) -> DataFrame:
+    """(batch_id, vocabulary, response), each wave of batches shown the terms of all answers before it.
+
+    The reference asks one batch after the other and shows each the topics so far; a
+    wave of one batch does just that, larger ones ask their batches side by side
+    and are shown what earlier waves brought.  ``vocab``: terms known before the first.
+    Every wave's answers and terms are written under ``path`` before the next one
+    starts; a run over the same batches goes on after the last wave that was written.
+    """
+    spark = batched.sparkSession
+    prompts = work_table(prompt_batches(batched), "prompts")
+    last = prompts.agg(F.max("batch_id")).first()[0]
+    waves = 0 if last is None else last // wave_batches + 1
+    for w in range(waves):
+        answers, terms = f"{path}/answers/wave={w}", f"{path}/terms/wave={w}"
+        if not path_exists(spark, f"{answers}/_SUCCESS"):
+            known = spark.createDataFrame([], VOCABULARY) if vocab is None else vocab.select("kind", "level", "term")
+            if w:
+                known = known.union(spark.read.schema(VOCABULARY).parquet(*[f"{path}/terms/wave={i}" for i in range(w)]))
+            mine = prompts.filter((F.col("batch_id") >= w * wave_batches) & (F.col("batch_id") < (w + 1) * wave_batches))
+            mine = work_table(mine.withColumn("vocabulary", vocabulary_text(known)), "wave")
+            said = mine.select("batch_id", "vocabulary").join(model_responses(mine, model), "batch_id")
+            said.write.mode("overwrite").parquet(answers)
+        if not path_exists(spark, f"{terms}/_SUCCESS"):  # only the wave's own terms: a wave reads small tables
+            said = spark.read.schema("batch_id long, vocabulary string, response string").parquet(answers)
+            answered_terms(parse_responses(said)).write.mode("overwrite").parquet(terms)
+    if not waves:
+        return spark.createDataFrame([], "batch_id long, vocabulary string, response string")
+    return spark.read.schema("batch_id long, vocabulary string, response string").parquet(*[f"{path}/answers/wave={w}" for w in range(waves)])
+
+
 def quarantine(responses: DataFrame) -> DataFrame:
     """Answers that hold no usable JSON object: (batch_id, response, reason)."""
     bad = parse_responses(responses).filter(~F.col("ok")).select("batch_id")
@@ -206,17 +286,17 @@ def remove_stop_words_text(df: DataFrame, words: DataFrame, text_col: str) -> Da
 
 # --- L3: the labelling job ----------------------------------------------------------------------
 
-def model_faq(posts: DataFrame, model: ModelFn, batch_size: int, dedup: bool,
-              vocab: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Clean -> batch -> prompt -> model: (batched posts, FAQ rows, rejected answers)."""
+def model_faq(posts: DataFrame, model: ModelFn, batch_size: int, dedup: bool, vocab: DataFrame | None = None,
+              answers: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clean -> batch -> prompt -> model: (batched posts, FAQ rows, rejected answers).  ``answers``: see ``ask``."""
     batched = batch_posts(clean_posts(posts, dedup=dedup), batch_size)
     # Answers are kept: the model must not be asked twice for the rows and the rejects.
-    responses = work_table(model_responses(prompt_batches(batched, vocab), model), "answers")
+    responses = ask(prompt_batches(batched, vocab), model, answers or work_dir(posts.sparkSession, "answers"))
     return batched, explode_kind(parse_responses(responses), "faq"), quarantine(responses)
 
 
 def classify(posts: DataFrame, rules: DataFrame | None = None, model: ModelFn | None = None,
-             batch_size: int = JOB_BATCH_SIZE, dedup: bool = True, vocab: DataFrame | None = None) -> DataFrame:
+             batch_size: int = JOB_BATCH_SIZE, dedup: bool = True, vocab: DataFrame | None = None, answers: str | None = None) -> DataFrame:
     """Clean -> batch -> prompt -> model -> parse -> FAQ rows -> enrich -> stop words.
 
     Returns the topics table: post_id, tweetText, topic, subtopic, tag,
@@ -225,7 +305,7 @@ def classify(posts: DataFrame, rules: DataFrame | None = None, model: ModelFn |
     """
     if model is None:
         return topics_direct(posts, rules, clean=None if dedup else work_table(clean_posts(posts, dedup=False), "cleaned"))
-    batched, faq, _ = model_faq(posts, model, batch_size, dedup, vocab)
+    batched, faq, _ = model_faq(posts, model, batch_size, dedup, vocab, answers)
     return enrich(faq, batched)
 
 

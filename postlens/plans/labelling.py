@@ -11,6 +11,7 @@ from postlens.plans.oracle import topic_views, with_views
 from postlens.plans.registry import query
 from postlens.plans.storage import written_store
 from postlens.schemas import TOPICS
+from postlens.session import work_dir
 from postlens.sources import fixtures, store
 from postlens.sources.work import work_table
 
@@ -100,6 +101,24 @@ def running_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.running_vocab(topics.parse_responses(_responses(spark, sf_dir)))
 
 
+@query("vocab_in_sequence", with_views(f"""
+SELECT b.batch_id, coalesce(v.vocabulary, '') AS vocabulary
+FROM (SELECT DISTINCT batch_id FROM batches) b LEFT JOIN (
+  SELECT w, string_agg(line, chr(10) ORDER BY line) AS vocabulary FROM (
+    SELECT w, kind || ' ' || level || ': ' || string_agg(term, ', ' ORDER BY term) AS line
+    FROM (SELECT DISTINCT batch_id // {topics.WAVE_BATCHES} AS w FROM batches) s
+    JOIN (SELECT kind, level, term, min(batch_id) AS first_batch FROM (
+            SELECT kind, 'topic' AS level, batch_id, unnest(topic) AS term FROM items
+            UNION ALL
+            SELECT kind, 'subtopic' AS level, batch_id, unnest(subtopic) AS term FROM items) GROUP BY kind, level, term) t
+      ON t.first_batch < w * {topics.WAVE_BATCHES}
+    GROUP BY w, kind, level) GROUP BY w) v ON v.w = b.batch_id // {topics.WAVE_BATCHES}""", "batches", "post_topics", ctes=[("items", _ITEMS_SQL)]))
+def vocab_in_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch was shown of the answers before its wave."""
+    batched = topics.batch_posts(_clean(spark, sf_dir))
+    return topics.answers_in_waves(batched, fixtures.rule_model(), work_dir(spark, "waves")).select("batch_id", "vocabulary")
+
+
 @query("enrich_topics", with_views("""
 SELECT i."index", i.text, i.topic, i.subtopic, c.post_id, c.tag, c.username, c.postTimeRaw, c.year, c.month, c.day
 FROM items i LEFT JOIN posts_clean c ON c."index" = i."index" WHERE i.kind = 'faq'""",
