@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # The capture format of post times, and the display formats.
 POST_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 POST_TIME_SHAPE = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{1,6}Z$"
+PLAIN_TIME = r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d{1,6})?)?)?$"
+ZONED_TIME = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d{1,6})?)? ?(Z|UTC|[+-]\d\d:\d\d)$"
 SCRAPE_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 DAY_FORMAT = "yyyy-MM-dd"
 SECOND_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -41,6 +43,18 @@ def parse_post_time(c: Column | str) -> Column:
     return F.when(t.rlike(POST_TIME_SHAPE), wall.try_cast("timestamp_ntz"))
 
 
+def parse_any_time(c: Column | str) -> Column:
+    """J3 as the label endpoint reads times: any ISO form, with or without time, fraction or zone; else null.
+
+    A text with a zone gives the UTC wall time, one without its own wall time; the
+    session's zone takes no part in either.
+    """
+    t = F.trim(_c(c))
+    instant = F.unix_micros(t.try_cast("timestamp"))
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(instant / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)"))
+    return F.when(t.rlike(ZONED_TIME), utc).otherwise(F.when(t.rlike(PLAIN_TIME), t.try_cast("timestamp_ntz")))
+
+
 def parse_scrape_time(c: Column | str) -> Column:
     return F.try_to_timestamp(_c(c), F.lit(SCRAPE_TIME_FORMAT)).cast("timestamp_ntz")
 

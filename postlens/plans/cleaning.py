@@ -152,6 +152,22 @@ def parse_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("post_id", raw.alias("raw")).withColumn("parsed", tm.parse_post_time("raw"))
 
 
+@query("parse_time_lenient", with_views("""
+SELECT post_id, CASE post_id % 6 WHEN 2 THEN date_trunc('day', postTimeRaw)::TIMESTAMP WHEN 3 THEN date_trunc('minute', postTimeRaw)::TIMESTAMP
+                     WHEN 5 THEN NULL ELSE date_trunc('second', postTimeRaw)::TIMESTAMP END AS parsed
+FROM posts""", "posts"))
+def parse_time_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 as the endpoint reads times: ISO texts of five forms and one that is none."""
+    t = F.col("postTimeRaw")
+    form = lambda x, f: F.date_format(x, f)
+    shifted = form(t + F.expr("INTERVAL 150 MINUTES"), "yyyy-MM-dd'T'HH:mm:ss")
+    k = F.col("post_id") % 6
+    raw = (F.when(k == 0, F.concat(form(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000Z"))).when(k == 1, F.concat(F.lit(" "), form(t, "yyyy-MM-dd HH:mm:ss")))
+           .when(k == 2, form(t, "yyyy-MM-dd")).when(k == 3, form(t, "yyyy-MM-dd HH:mm")).when(k == 4, F.concat(shifted, F.lit("+02:30")))
+           .otherwise(F.concat(F.lit("about "), form(t, "yyyy-MM-dd"))))
+    return fixtures.posts(spark, sf_dir).select("post_id", tm.parse_any_time(raw).alias("parsed"))
+
+
 @query("stamp_capture", with_views(
     "SELECT post_id, strftime(scrapeTime, '%Y-%m-%dT%H:%M:%S') AS scrapeTime FROM posts", "posts"))
 def stamp_capture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,13 +63,14 @@ def scan_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_store(spark, path, columns=["tag", "postTimeRaw"])
 
 
-@query("csv_roundtrip", with_views("""
+@query("csv_roundtrip", with_views(r"""
 SELECT * REPLACE (CASE post_id % 7 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '  " outer "" blanks"  '
-                  ELSE tweetText END AS tweetText) FROM posts_dirty""", "posts_dirty"))
+                  WHEN 3 THEN '\N' WHEN 4 THEN '\\N \' ELSE tweetText END AS tweetText) FROM posts_dirty""", "posts_dirty"))
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All posts with empty, null, quoted and blank-edged texts among them, out and back."""
+    """All posts with empty, null, quoted, blank-edged and backslash texts among them, out and back."""
     k = F.col("post_id") % 7
-    text = (F.when(k == 0, "").when(k == 1, F.lit(None).cast("string")).when(k == 2, '  " outer "" blanks"  ').otherwise(F.col("tweetText")))
+    text = (F.when(k == 0, "").when(k == 1, F.lit(None).cast("string")).when(k == 2, '  " outer "" blanks"  ')
+            .when(k == 3, "\\N").when(k == 4, "\\\\N \\").otherwise(F.col("tweetText")))
     path = work_dir(spark, "posts-csv")
     files.write_csv(fixtures.posts_dirty(spark, sf_dir).withColumn("tweetText", text), path)
     return files.read_csv(spark, path, POSTS)

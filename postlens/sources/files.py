@@ -23,14 +23,25 @@ CSV_OPTIONS = {
 }
 
 
+def _strings(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header; every string quoted so newlines survive."""
-    df.write.mode(mode).options(**CSV_OPTIONS).option("quoteAll", "true").csv(path)
+    """CSV with a header; every string quoted so newlines survive.
+
+    A text that begins with a backslash gets another one in front, so none looks
+    like the mark of a null, whatever it holds.
+    """
+    marked = {c: F.when(F.col(c).startswith("\\"), F.concat(F.lit("\\"), F.col(c))).otherwise(F.col(c)) for c in _strings(df.schema)}
+    df.withColumns(marked).write.mode(mode).options(**CSV_OPTIONS).option("quoteAll", "true").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A4: CSV back under an explicit schema (never inferred)."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    """A4: CSV back under an explicit schema (never inferred); see ``write_csv``."""
+    df = spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    plain = {c: F.when(F.col(c).startswith("\\\\"), F.substr(F.col(c), F.lit(2))).otherwise(F.col(c)) for c in _strings(schema)}
+    return df.withColumns(plain)
 
 
 def write_json_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:

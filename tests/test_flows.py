@@ -189,3 +189,32 @@ def test_batch_assign_moves_no_text(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in p.splitlines() if "Exchange" in line]
     assert not any("tweetText" in line for line in exchanges)
+
+
+# ---------------------------------------------------------------- files and times
+
+def test_csv_tells_marks_from_texts(spark, tmp_dir):
+    from postlens.sources import files
+
+    texts = [None, "", "\\N", "\\\\N", "\\", "\\\\", "\\a", " \\N", '"\\N"', "a\\N\n\\N", "N", "\\N\\N"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    files.write_csv(df, f"{tmp_dir}/c")
+    assert [r.t for r in sorted(files.read_csv(spark, f"{tmp_dir}/c", df.schema).collect())] == texts
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin", "America/New_York"])
+def test_lenient_times_do_not_depend_on_the_session(spark, zone):
+    import datetime as dt
+
+    from postlens.functions.time import parse_any_time
+
+    want = {"2024-03-31T02:30:15.250Z": dt.datetime(2024, 3, 31, 2, 30, 15, 250000), "2024-03-31 02:30": dt.datetime(2024, 3, 31, 2, 30),
+            " 2024-03-10 ": dt.datetime(2024, 3, 10), "2024-03-31T04:30:15+02:00": dt.datetime(2024, 3, 31, 2, 30, 15),
+            "1969-12-31T23:00:00-00:30": dt.datetime(1969, 12, 31, 23, 30), "2024-13-01": None, "soon": None, "": None, None: None,
+            "2024-03-10 02:30:00": dt.datetime(2024, 3, 10, 2, 30), "12:30": None}
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", parse_any_time("t").alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert {r.t: r.p for r in rows} == want
