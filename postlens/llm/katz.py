@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from postlens.llm.common import (ROW_BITS, bucket_bits, bucket_edges, chunks, doc_of, doc_texts, mix, pack, pack_sorted,
                                  stored, unpack, unpack_sorted, word_hashes, words)
 
+SLICE_BYTES = 4 << 20  # of text in a chunk: what a task's evaluation holds
 TURING_CUT = 5
 START = np.uint64(0x9E3779B97F4A7C15)  # context of a text's first token
 END = np.uint64(0xD1B54A32D192ED03)
@@ -56,7 +57,7 @@ PARTS = ("kind int, level int, key long, rk long, doc_id long, held_out boolean,
 # ---------------------------------------------------------------- n-grams of a chunk
 
 def _chunk_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for p, b in chunks(batches):
+    for p, b in chunks(batches, SLICE_BYTES):
         codes, sizes, dictionary = words(b.column(1))
         hashes, place = np.unique(word_hashes(dictionary), return_inverse=True)
         codes = place[codes].astype(np.uint32) if len(codes) else codes.astype(np.uint32)

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from postlens.llm.common import doc_texts, stored
 
 CAPACITY = 2048
+KEPT_BYTES = 128 << 20
+ENTRY_BYTES = 190  # a text's, a bytes object's and a dictionary entry's own size
 SHARD_ITEMS = 4096
 ISLANDS = 2
 EPOCHS = 2
@@ -51,25 +53,26 @@ class TokenIds(dict):
     For a tokenizer that lower-cases, drops white space and never joins letters
     with other characters: text between spaces and newlines can be encoded apart,
     a closing full stop or comma apart from the letters before it, and letters in
-    lower case.
+    lower case.  What is remembered is bounded by its bytes.
     """
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = KEPT_BYTES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tok, self.keep = Tokenizer.from_file(path), keep
+        self.tok, self.keep, self.held = Tokenizer.from_file(path), keep, 0
         for some in (("ab cd", "ab  cd", "ab\ncd", " ab cd\n", "AB Cd"), ("ab.", "ab ."), ("ab, c", "ab , c")):
             if len({tuple(self.tok.encode(p, add_special_tokens=False).ids) for p in some}) != 1:
                 raise ValueError("expected a tokenizer that lower-cases, drops white space and splits at punctuation")
         self.word = self.tok.model.tokenize
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.keep:
+        if self.held >= self.keep:
             self.clear()
+            self.held = 0
         plain = part.isascii() and part.isalpha()
         if len(part) > 1 and part[-1] in ",." and part[-2].lower().isalpha():
             out = self[part[:-1]] + self[part[-1]]
@@ -79,6 +82,7 @@ class TokenIds(dict):
             found = [t.id for t in self.word(part)] if plain else self.tok.encode(part, add_special_tokens=False).ids
             out = np.array(found, "<u4").tobytes()
         self[part] = out
+        self.held += 2 * len(part) + len(out) + ENTRY_BYTES
         return out
 
     def ids(self, text: str) -> bytes:
