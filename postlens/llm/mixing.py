@@ -29,7 +29,8 @@ BROADCAST_SOURCES = 20_000
 SPACE = r"\s\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 # Scripts written without spaces: Thai, Lao, Burmese, Khmer, kana and ideographs with their punctuation.
 LONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FFF\u3001-\u9FFF\uF900-\uFAFF\uFF66-\uFF9D\x{20000}-\x{3FFFF}"
-TOKEN = f"[{LONE}]|[^{SPACE}{LONE}]++"
+# Common letters first: a run of them is told by two ranges, not by all of the sets above.
+TOKEN = rf"(?:[!-~\u00A1-\u024F]++|[^{SPACE}{LONE}])++|[{LONE}]"
 
 
 def tokens_of(text: Column) -> Column:
