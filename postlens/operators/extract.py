@@ -24,7 +24,7 @@ from postlens.operators.firsts import first_rows, packed_order
 SITE = "https://x.com"
 SEARCH_URL = "https://x.com/search?q={q}&src=typed_query&f=live"
 
-ARTICLE = r"(?s)<article[^>]*>(.*?)(?:</article>|\z)"
+ARTICLE_TAG = r"(?i)<article(?=[\s>/])[^>]*>|</article\s*>"
 HEADING = r"(?s)<h1[^>]*>(.*?)</h1>"
 HREF = r"<a\s[^>]*?href=\"([^\"]*)\""
 TAG = r"<[^>]+>"
@@ -46,10 +46,28 @@ def text_of(html: Column) -> Column:
 
 
 def articles(pages: DataFrame) -> DataFrame:
-    """B1: one row per <article> of a page (an unclosed one runs to the end); the page itself is not copied."""
-    a = pages.select("page_id", "url",
-                     F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(ARTICLE), 1)).alias("article_no", "article"))
-    return a
+    """B1: one row per <article> of a page, in the order of their opening tags; the page itself is not copied.
+
+    Articles nest: one that is quoted inside another is a row of its own, and the
+    outer one holds it.  An opening tag is closed by the first closing tag that
+    brings the running depth back below it; one that nothing closes runs to the
+    end of the page.  Tags may be written in either case; stray closing tags close nothing.
+    """
+    cut = pages.select("page_id", "url", F.regexp_extract_all("html", F.lit(ARTICLE_TAG), 0).alias("_tags"), F.split("html", ARTICLE_TAG, -1).alias("_parts"))
+    cut = cut.filter(F.size("_tags") > 0)
+    steps = F.transform("_tags", lambda t: F.when(t.startswith("</"), F.lit(-1)).otherwise(F.lit(1)))
+    cut = cut.withColumn("_depths", F.aggregate(steps, F.array().cast("array<int>"), lambda ds, s: F.concat(
+        ds, F.array((F.coalesce(F.try_element_at(ds, F.lit(-1)), F.lit(0)) + s).cast("int")))))
+    tag, part, depth, n = F.col("_tags"), F.col("_parts"), F.col("_depths"), F.size("_tags")
+
+    def content(i: Column) -> Column:
+        closed = F.array_position(F.slice("_depths", i + 2, n), depth[i] - 1).cast("int")  # 0: never
+        inside = F.when(closed > 0, closed - 1).otherwise(n - 1 - i)  # tags inside
+        rest = F.transform(F.arrays_zip(F.slice("_tags", i + 2, inside).alias("t"), F.slice("_parts", i + 3, inside).alias("p")), lambda x: F.concat(x["t"], x["p"]))
+        return F.concat(part[i + 1], F.array_join(rest, ""))
+
+    opened = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~tag[i].startswith("</"))
+    return cut.select("page_id", "url", F.posexplode(F.transform(opened, content)).alias("article_no", "article"))
 
 
 def absolute(url: Column, href: Column) -> Column:

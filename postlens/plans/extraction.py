@@ -98,6 +98,19 @@ def extract_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_posts(arts)
 
 
+@query("extract_quoted", with_views("""
+SELECT post_id // 2 AS page_id, 0 AS article_no, username,
+       regexp_replace(tweetText, '^\\s+|\\s+$', '', 'g') AS tweetText, date_trunc('second', postTimeRaw)::TIMESTAMP AS postTimeRaw, tweet_link
+FROM posts WHERE post_id % 2 = 0
+UNION ALL
+SELECT post_id // 2, 1, username, regexp_replace(tweetText, '^\\s+|\\s+$', '', 'g'), date_trunc('second', postTimeRaw)::TIMESTAMP, tweet_link
+FROM posts WHERE post_id % 2 = 1""", "posts"))
+def extract_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1/B2 on articles that hold another article: both come out as posts, whole."""
+    arts = extract.articles(fixtures.quoting_pages(spark, sf_dir)).select("page_id", "article_no", "article")
+    return extract.extract_posts(arts).filter(F.col("reason").isNull()).drop("reason")
+
+
 @query("extract_page_rejects", with_views("SELECT page_id, article_no, 'no name node' AS reason FROM a", ctes=[_ARTICLES_CTE]))
 def extract_page_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The saved pages hold no post markup: each of their articles is quarantined with its reason."""

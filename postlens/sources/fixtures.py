@@ -170,6 +170,28 @@ def post_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("<html><body>"), F.array_join(F.transform("xs", lambda x: x["a"]), "\n"), F.lit("</body></html>")).alias("html")))
 
 
+def quoting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved page for every two posts: the even one quotes the odd one in an article of its own.
+
+    Tags are in upper case on every other page; on every fifth the outer article is never closed.
+    """
+    def body(p: DataFrame) -> DataFrame:
+        time = F.concat(F.date_format("postTimeRaw", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000Z"))
+        path = F.substr(F.col("tweet_link"), F.lit(len("https://x.com") + 1))
+        html = F.concat(F.lit('<div data-testid="User-Name"><a href="/u">U</a><a href="/v">V</a><a href="'), path, F.lit('"><time datetime="'), time,
+                        F.lit('">t</time></a><span>a</span><span>b</span><span>'), F.col("username"), F.lit('</span><span>.</span></div><div data-testid="tweetText">'),
+                        _escaped(F.col("tweetText")), F.lit("</div>"))
+        return p.select(F.floor(F.col("post_id") / 2).cast("long").alias("page_id"), F.struct((F.col("post_id") % 2).alias("n"), html.alias("h")).alias("x"))
+
+    both = body(posts(spark, sf_dir)).groupBy("page_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    upper = F.col("page_id") % 2 == 1
+    tag, end = F.when(upper, "ARTICLE").otherwise("article"), F.when(upper, "</ARTICLE >").otherwise("</article>")
+    inner = F.transform("xs", lambda x: F.when(x["n"] == 0, x["h"]).otherwise(F.concat(F.lit("<"), tag, F.lit(">"), x["h"], end)))
+    close = F.when(F.col("page_id") % 5 == 0, "").otherwise(end)
+    return both.select("page_id", F.lit("https://x.com/search").alias("url"),
+                       F.concat(F.lit("<html></article><"), tag, F.lit(' class="p">'), F.array_join(inner, ""), F.lit("<footer>f</footer>"), close, F.lit("</html>")).alias("html"))
+
+
 def stored(p: DataFrame) -> DataFrame:
     """A posts view in the form of the posts store (with ``index``)."""
     return p.withColumn("index", (F.col("post_id") + 1).cast("long")).select(*STORED_COLUMNS)

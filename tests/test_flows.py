@@ -218,3 +218,40 @@ def test_lenient_times_do_not_depend_on_the_session(spark, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert {r.t: r.p for r in rows} == want
+
+
+# ---------------------------------------------------------------- nested articles
+
+def nested(html):
+    """Contents of all articles by a stack-free scan over their tags."""
+    import re
+
+    tags = list(re.finditer(r"(?i)<article(?=[\s>/])[^>]*>|</article\s*>", html))
+    out = []
+    for i, t in enumerate(tags):
+        if t[0].startswith("</"):
+            continue
+        depth, end = 1, len(html)
+        for u in tags[i + 1:]:
+            depth += -1 if u[0].startswith("</") else 1
+            if depth == 0:
+                end = u.start()
+                break
+        out.append(html[t.end():end])
+    return out
+
+
+def test_articles_nest_as_their_tags_do(spark):
+    import random
+
+    from postlens.operators import extract
+
+    rnd = random.Random(5)
+    parts = ["<article>", "<ARTICLE class='a>b'>", "</article>", "</Article >", "text", "<p>é</p>", "\n", "<articles>", "<article\n id=1>", "</articles>"]
+    pages = [(i, "u", "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))) for i in range(400)]
+    pages += [(1000, "u", None), (1001, "u", ""), (1002, "u", "<article>" * 300 + "x" + "</article>" * 150)]
+    got = {}
+    for r in sorted(extract.articles(spark.createDataFrame(pages, "page_id long, url string, html string")).collect(), key=lambda r: (r.page_id, r.article_no)):
+        got.setdefault(r.page_id, []).append(r.article)
+    want = {i: nested(h) for i, _, h in pages if h and nested(h)}
+    assert got == want
