@@ -54,15 +54,19 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.coalesce(F.md5(text), F.lit("00")))
 
 
+def narrow_keys(marked: DataFrame, key: Column | Sequence[str]) -> DataFrame:
+    """(_key, _order, _tie, _n): repeats are counted inside each task before they are shuffled."""
+    digest = key if isinstance(key, Column) else F.unhex(row_digest(key))
+    return marked.select(digest.alias("_key"), "_order", "_tie").groupBy("_key", "_order", "_tie").agg(F.count(F.lit(1)).alias("_n"))
+
+
 def first_rows(df: DataFrame, key: Column | Sequence[str], order: Column) -> DataFrame:
     """The row of least ``order`` (see ``packed_order``) per ``key`` (a digest, or columns; nulls equal).
 
     Ties are settled by a hash of the whole row; of identical rows one stays.
     """
     marked = df.withColumns({"_order": order, "_tie": F.xxhash64(*df.columns)})
-    digest = key if isinstance(key, Column) else F.unhex(row_digest(key))
-    ties = marked.select(digest.alias("_key"), "_order", "_tie").groupBy("_key", "_order", "_tie").agg(F.count(F.lit(1)).alias("_n"))
-    ties = work_table(ties, "keys")  # read twice: keys cost a pass over the texts
+    ties = work_table(narrow_keys(marked, key), "keys")  # read twice: keys cost a pass over the texts
     first = ties.groupBy("_key").agg(F.min("_order").alias("_order"))
     least = ties.join(first, ["_key", "_order"]).groupBy("_key", "_order").agg(F.min("_tie").alias("_tie"), F.max("_n").alias("_n"))
     winners = work_table(least.select("_order", "_tie", "_n"), "winners")

@@ -84,9 +84,21 @@ def test_no_python_in_queries_except_model_hook(spark):
 
 
 def test_clean_posts_aggregates_map_side(spark):
+    """Rows are picked by a semi-join; their keys are aggregated by hashing, inside each task first, and hold no text."""
+    from pyspark.sql import functions as F
+
+    from postlens.functions.text import clean_text
+    from postlens.operators import firsts
+
     p = plan(E.queries()["clean_posts"](spark, SF_SMALL))
-    assert "partial_min_by" in p
-    assert "Window" not in p
+    assert "LeftSemi" in p
+    assert "Window" not in p and "Aggregate" not in p[:p.index("LeftSemi")] and "SortAggregate" not in p
+    posts = fixtures.posts(spark, SF_SMALL)
+    marked = posts.withColumns({"_order": firsts.packed_order(F.col("postTimeRaw"), F.col("post_id")), "_tie": F.xxhash64(*posts.columns)})
+    p = plan(firsts.narrow_keys(marked, firsts.text_digest(clean_text("tweetText"))))
+    assert "partial_count" in p and "SortAggregate" not in p
+    moved = [x for x in p.splitlines() if "Exchange hashpartitioning(_key" in x]
+    assert len(moved) == 1 and "tweetText" not in moved[0]
 
 
 def test_new_posts_join_no_texts_on_the_store_side(spark):
