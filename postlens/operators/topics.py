@@ -117,6 +117,14 @@ def model_responses(prompts: DataFrame, model: ModelFn) -> DataFrame:
     return prompts.mapInPandas(model, "batch_id long, response string")
 
 
+def unasked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model of a run that may only use kept answers."""
+    for pdf in batches:
+        if len(pdf):
+            raise RuntimeError(f"no answer is kept for batch {pdf['batch_id'].iloc[0]}")
+        yield pdf[["batch_id"]].assign(response="")
+
+
 def prompt_digest(prompts: DataFrame) -> Column:
     """16 bytes of what the model is shown: the prompt and the vocabulary, if there is one."""
     shown = [c for c in ("vocabulary", "prompt") if c in prompts.columns]
@@ -207,13 +215,14 @@ VOCABULARY = "kind string, level string, term string"
 WAVE_BATCHES = 16
 
 
-def answers_in_waves(batched: DataFrame, model: ModelFn, path: str, wave_batches: int = WAVE_BATCHES,
+def answers_in_waves(batched: DataFrame, model: ModelFn | DataFrame, path: str, wave_batches: int = WAVE_BATCHES,
                      vocab: DataFrame | None = None) -> DataFrame:
     """(batch_id, vocabulary, response), each wave of batches shown the terms of all answers before it.
 
     The reference asks one batch after the other and shows each the topics so far; a
     wave of one batch does just that, larger ones ask their batches side by side
     and are shown what earlier waves brought.  ``vocab``: terms known before the first.
+    ``model`` may be a table of kept answers (batch_id, response).
     Every wave's answers and terms are written under ``path`` before the next one
     starts; a run over the same batches goes on after the last wave that was written.
     """
@@ -229,7 +238,7 @@ def answers_in_waves(batched: DataFrame, model: ModelFn, path: str, wave_batches
                 known = known.union(spark.read.schema(VOCABULARY).parquet(*[f"{path}/terms/wave={i}" for i in range(w)]))
             mine = prompts.filter((F.col("batch_id") >= w * wave_batches) & (F.col("batch_id") < (w + 1) * wave_batches))
             mine = work_table(mine.withColumn("vocabulary", vocabulary_text(known)), "wave")
-            said = mine.select("batch_id", "vocabulary").join(model_responses(mine, model), "batch_id")
+            said = mine.select("batch_id", "vocabulary").join(model if isinstance(model, DataFrame) else model_responses(mine, model), "batch_id")
             said.write.mode("overwrite").parquet(answers)
         if not path_exists(spark, f"{terms}/_SUCCESS"):  # only the wave's own terms: a wave reads small tables
             said = spark.read.schema("batch_id long, vocabulary string, response string").parquet(answers)

@@ -53,10 +53,25 @@ def prompt_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.prompt_batches(topics.batch_posts(_clean(spark, sf_dir)))
 
 
+def _recorded(spark: SparkSession, batched: DataFrame, **faults) -> DataFrame:
+    """Written answers (fixtures) to batches of cleaned posts."""
+    lab = topics.label_posts(batched, fixtures.topic_rules(spark), keep=["batch_id", "rn", "index"])
+    items = lab.join(batched.select("rn", F.col("tweetText").alias("text")), "rn")
+    return work_table(fixtures.recorded_answers(batched, items, **faults), "recorded")
+
+
+def _kept(spark: SparkSession, sf_dir: str, **faults) -> str:
+    """An answers store that holds the answer to every prompt of the cleaned posts."""
+    batched = work_table(topics.batch_posts(_clean(spark, sf_dir)), "batched")
+    path = work_dir(spark, "kept-answers")
+    topics.record_answers(topics.prompt_batches(batched), _recorded(spark, batched, **faults), path)
+    return path
+
+
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of the stand-in model (fixtures) to every batch of cleaned posts."""
-    prompts = topics.prompt_batches(topics.batch_posts(_clean(spark, sf_dir)))
-    return work_table(topics.model_responses(prompts, fixtures.rule_model(double_braces_every=7)), "answers")
+    """The kept answers to every batch of cleaned posts."""
+    batched = work_table(topics.batch_posts(_clean(spark, sf_dir)), "batched")
+    return _recorded(spark, batched, double_braces_every=7)
 
 
 _ITEMS_SQL = """
@@ -116,7 +131,8 @@ FROM (SELECT DISTINCT batch_id FROM batches) b LEFT JOIN (
 def vocab_in_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each batch was shown of the answers before its wave."""
     batched = topics.batch_posts(_clean(spark, sf_dir))
-    return topics.answers_in_waves(batched, fixtures.rule_model(), work_dir(spark, "waves")).select("batch_id", "vocabulary")
+    batched = work_table(batched, "batched")
+    return topics.answers_in_waves(batched, _recorded(spark, batched), work_dir(spark, "waves")).select("batch_id", "vocabulary")
 
 
 @query("enrich_topics", with_views("""
@@ -137,7 +153,8 @@ def classify_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("classify_hook", with_views("SELECT * FROM topics", "topics"))
 def classify_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.classify(fixtures.posts(spark, sf_dir), model=fixtures.rule_model())
+    """L1: the whole way through prompts and answers; all of them are kept, so the model is not asked."""
+    return topics.classify(fixtures.posts(spark, sf_dir), model=topics.unasked, answers=_kept(spark, sf_dir))
 
 
 @query("quarantine_answers", with_views(f"""
@@ -145,8 +162,8 @@ SELECT DISTINCT batch_id, '{fixtures.RESPONSE_HEAD}' AS response, 'no JSON objec
 FROM batches WHERE batch_id % 11 = 0""", "batches"))
 def quarantine_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3's rejects: answers that break off before their JSON are kept aside, with a reason."""
-    _, _, rejected = topics.model_faq(fixtures.posts(spark, sf_dir), fixtures.rule_model(broken_every=11),
-                                      topics.JOB_BATCH_SIZE, dedup=True)
+    _, _, rejected = topics.model_faq(fixtures.posts(spark, sf_dir), topics.unasked, topics.JOB_BATCH_SIZE, dedup=True,
+                                      answers=_kept(spark, sf_dir, broken_every=11))
     return rejected
 
 

@@ -7,10 +7,6 @@ tables and whole texts; the work grows with the tables.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,45 +193,29 @@ def stored(p: DataFrame) -> DataFrame:
     return p.withColumn("index", (F.col("post_id") + 1).cast("long")).select(*STORED_COLUMNS)
 
 
-# --- a stand-in for the remote model: test data, not part of the engine ---------------------------
+# --- answers as a model wrote them: a table, like the other test data ------------------------------
 
 # Free text around the JSON answer.
 RESPONSE_HEAD = "Here are the groups for these messages:"
 RESPONSE_TAIL = "Let me know if you need anything else."
 
 
-def rule_model(rules=TOPIC_RULES, double_braces_every: int = 0, broken_every: int = 0):
-    """A deterministic model for the hook: answers each prompt batch by the rules.
+def recorded_answers(batches: DataFrame, items: DataFrame, double_braces_every: int = 0, broken_every: int = 0) -> DataFrame:
+    """(batch_id, response) for every batch of ``batches``.
 
-    Every ``double_braces_every``-th batch's JSON has doubled braces, and of every
-    ``broken_every``-th batch the answer breaks off, as a model's sometimes do.
+    items: batch_id, rn, index, text, kind, topic, subtopic.  Every
+    ``double_braces_every``-th batch's JSON has doubled braces, and of every
+    ``broken_every``-th batch the answer breaks off, as answers sometimes do.
     """
-    by_term: dict[str, list[tuple[str, str, str]]] = {}
-    for term, kind, topic, sub in rules:
-        by_term.setdefault(term, []).append((kind, topic, sub))
-
-    def words(text: str) -> set[str]:
-        return set("".join(c if c.isalpha() else " " for c in text.lower()).split())
-
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for bid, idxs, texts in zip(pdf["batch_id"], pdf["indexes"], pdf["texts"]):
-                ans = {"issue": [], "faq": []}
-                for i, t in zip(idxs, texts):
-                    hits = [h for w in words(t) for h in by_term.get(w, [])]
-                    for kind in ("issue", "faq"):
-                        mine = [h for h in hits if h[0] == kind]
-                        if mine:
-                            ans[kind].append({"index": int(i), "text": t, "topic": sorted({h[1] for h in mine}),
-                                              "subtopic": sorted({h[2] for h in mine})})
-                body = json.dumps(ans)
-                if double_braces_every and bid % double_braces_every == 0:
-                    body = body.replace("{", "{{").replace("}", "}}")
-                answer = f"{RESPONSE_HEAD}\n{body}\n{RESPONSE_TAIL}"
-                if broken_every and bid % broken_every == 0:
-                    answer = RESPONSE_HEAD
-                out.append((int(bid), answer))
-            yield pd.DataFrame(out, columns=["batch_id", "response"])
-
-    return fn
+    rows = items.select("batch_id", "rn", "kind", F.struct("index", "text", "topic", "subtopic").alias("item"))
+    one = rows.groupBy("batch_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rn", "item")))), lambda x: x["item"]).alias(k)
+                                         for k in ("issue", "faq")])
+    none = F.array().cast(one.schema["faq"].dataType)
+    body = F.to_json(F.struct(*[F.coalesce(F.col(k), none).alias(k) for k in ("issue", "faq")]))
+    if double_braces_every:
+        twice = F.replace(F.replace(body, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
+        body = F.when(F.col("batch_id") % double_braces_every == 0, twice).otherwise(body)
+    answer = F.concat(F.lit(f"{RESPONSE_HEAD}\n"), body, F.lit(f"\n{RESPONSE_TAIL}"))
+    if broken_every:
+        answer = F.when(F.col("batch_id") % broken_every == 0, F.lit(RESPONSE_HEAD)).otherwise(answer)
+    return batches.select("batch_id").distinct().join(one, "batch_id", "left").select("batch_id", answer.alias("response"))
