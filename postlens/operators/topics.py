@@ -299,9 +299,13 @@ def model_faq(posts: DataFrame, model: ModelFn, batch_size: int, dedup: bool, vo
               answers: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clean -> batch -> prompt -> model: (batched posts, FAQ rows, rejected answers).  ``answers``: see ``ask``."""
     batched = batch_posts(clean_posts(posts, dedup=dedup), batch_size)
-    # Answers are kept: the model must not be asked twice for the rows and the rejects.
-    responses = ask(prompt_batches(batched, vocab), model, answers or work_dir(posts.sparkSession, "answers"))
-    return batched, explode_kind(parse_responses(responses), "faq"), quarantine(responses)
+    return batched, *answered(batched, model, answers or work_dir(posts.sparkSession, "answers"), vocab)
+
+
+def answered(batched: DataFrame, model: ModelFn, answers: str, vocab: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(FAQ rows, rejected answers) of batched posts; answers are kept, so the model is not asked again for either, see ``ask``."""
+    responses = work_table(ask(prompt_batches(batched, vocab), model, answers), "answered")
+    return explode_kind(parse_responses(responses), "faq"), quarantine(responses)
 
 
 def classify(posts: DataFrame, rules: DataFrame | None = None, model: ModelFn | None = None,

@@ -46,6 +46,9 @@ class IngestConfig:
     source: str = "posts"
     on_fail: str = "report"          # 'report' keeps going, 'stop' raises
     as_of: dt.datetime | None = None
+    model: topics.ModelFn | None = None   # instead of the rule table; then both paths below are needed
+    answers_path: str | None = None       # answers by what was shown: a replay asks nothing twice
+    quarantine_path: str | None = None    # answers that hold no usable JSON, a folder per batch
     log: list = field(default_factory=list)
 
 
@@ -69,7 +72,8 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, batch_id: int, cfg: Inge
         cleaned = topics.stored_clean(batch)
         report["posts_added"] = ingest.append_new(spark, cleaned.select(*STORED_COLUMNS), cfg.posts_path,
                                                   ingest.POST_KEYS)
-        labelled = topics.topics_direct(batch, cfg.rules, clean=cleaned).select(*[f.name for f in TOPICS.fields])
+        labelled, report["rejected"] = _labelled(batch, cleaned, batch_id, cfg)
+        labelled = labelled.select(*[f.name for f in TOPICS.fields])
         report["topics_added"] = ingest.append_new(spark, labelled, cfg.topics_path, ingest.TOPIC_KEYS, TOPICS)
         ingest.commit_fingerprint(spark, cfg.state_path, cfg.source, batch_id, fp)
         cfg.log.append(report)
@@ -78,6 +82,17 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, batch_id: int, cfg: Inge
         batch.unpersist()
 
 
+def _labelled(batch: DataFrame, cleaned: DataFrame, batch_id: int, cfg: IngestConfig) -> tuple[DataFrame, int]:
+    """Topics of a batch by the rules or by the model, and how many answers were set aside."""
+    if cfg.model is None:
+        return topics.topics_direct(batch, cfg.rules, clean=cleaned), 0
+    batched = work_table(topics.batch_posts(cleaned), "batched")
+    faq, rejected = topics.answered(batched, cfg.model, cfg.answers_path)
+    aside = f"{cfg.quarantine_path}/_batch={int(batch_id)}"  # the batch's own: a replay replaces it
+    rejected.write.mode("overwrite").parquet(aside)
+    return topics.enrich(faq, batched), batch.sparkSession.read.schema(rejected.schema).parquet(aside).count()
+
+
 def start_ingest(spark: SparkSession, posts_stream: DataFrame, cfg: IngestConfig, checkpoint: str,
                  trigger: dict | None = None) -> StreamingQuery:
     """K1: run ``ingest_batch`` per micro-batch; default trigger every 15 minutes."""

@@ -255,3 +255,48 @@ def test_articles_nest_as_their_tags_do(spark):
         got.setdefault(r.page_id, []).append(r.article)
     want = {i: nested(h) for i, _, h in pages if h and nested(h)}
     assert got == want
+
+
+# ---------------------------------------------------------------- the model inside the stream
+
+def test_a_failing_micro_batch_asks_nothing_twice_when_it_runs_again(spark, tmp_dir):
+    """The model is away, comes back, and the batch is replayed: topics once, rejects set aside once, each prompt asked once."""
+    from postlens.plans.cleaning import AS_OF
+    from postlens.schemas import TOPICS
+    from postlens.sources import store
+    from postlens.streaming import ingest as sing
+
+    os.mkdir(f"{tmp_dir}/log")
+    posts = fixtures.posts(spark, SF_SMALL)
+    log = f"{tmp_dir}/log"
+
+    def fn(it):
+        for pdf in it:
+            if not os.path.exists(f"{log}/back"):
+                raise RuntimeError("the model is away")
+            out = []
+            for r in pdf.itertuples():
+                with open(f"{log}/asked-{r.batch_id}", "a") as f:
+                    f.write("x")
+                item = f'{{"index": {r.indexes[0]}, "text": "t", "topic": ["a"], "subtopic": ["b"]}}'
+                out.append((r.batch_id, "no JSON here" if r.batch_id % 4 == 3 else f'{{"issue": [], "faq": [{item}]}}'))
+            yield pd.DataFrame(out, columns=["batch_id", "response"])
+
+    def config(state):
+        return sing.IngestConfig(posts_path=f"{tmp_dir}/p", topics_path=f"{tmp_dir}/t", state_path=f"{tmp_dir}/{state}", rules=fixtures.topic_rules(spark),
+                                 as_of=AS_OF, model=fn, answers_path=f"{tmp_dir}/a", quarantine_path=f"{tmp_dir}/q")
+
+    with pytest.raises(Exception, match="the model is away"):
+        sing.ingest_batch(spark, posts, 0, config("s"))
+    assert not store.store_exists(spark, f"{tmp_dir}/s")  # nothing committed: the batch will come again
+    open(f"{log}/back", "w").close()
+    first = sing.ingest_batch(spark, posts, 0, config("s"))
+    n = store.read_store(spark, f"{tmp_dir}/p").count()
+    batches = -(-n // 20)
+    assert first["posts_added"] == 0 and first["rejected"] == batches // 4 and first["topics_added"] == batches - batches // 4
+    again = sing.ingest_batch(spark, posts, 0, config("other"))  # as after a lost commit
+    assert again["posts_added"] == again["topics_added"] == 0 and again["rejected"] == first["rejected"]
+    asked = [open(f"{log}/{f}").read() for f in os.listdir(log) if f.startswith("asked")]
+    assert len(asked) == batches and set(asked) == {"x"}
+    assert spark.read.parquet(f"{tmp_dir}/q").count() == first["rejected"]
+    assert store.read_store(spark, f"{tmp_dir}/t", TOPICS).count() == first["topics_added"]
