@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from postlens.llm.common import doc_texts, stored
 
 CAPACITY = 2048
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 320 << 20
 ENTRY_BYTES = 190  # a text's, a bytes object's and a dictionary entry's own size
 SHARD_ITEMS = 4096
 ISLANDS = 2
