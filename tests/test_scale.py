@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from postlens.operators import firsts
+from postlens.sources import fixtures, store
 
 from conftest import SF_SMALL
 
@@ -22,3 +24,44 @@ def test_many_winners_are_picked_below_the_join_that_brings_texts(spark, monkeyp
     p = plan(many)
     assert p.index("Inner") < p.index("LeftSemi")  # the first semi-join lies inside the join with the documents
     assert sorted(many.collect()) == sorted(few.collect())
+
+
+def stages(spark, name: str, action) -> int:
+    """How many stages the jobs of ``action`` had."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        action()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    tracker = sc.statusTracker()
+    return sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(name))
+
+
+def test_a_load_is_written_without_a_shuffle(spark, tmp_dir):
+    """Days mixed in every task, more of them than files may be open: all rows come back, each day under its folder."""
+    conf = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(conf)
+    text = F.concat(F.lit("t"), F.col("id"))
+    df = spark.range(0, 6000, 1, 3).select(F.col("id").alias("post_id"), text.alias("tweetText"), F.lit(2024).alias("year"),
+                                           (F.col("id") % 4 + 1).cast("int").alias("month"), F.when(F.col("id") % 31 > 0, F.col("id") % 31).cast("int").alias("day"))
+    assert stages(spark, "load", lambda: store.write_partitioned(df, f"{tmp_dir}/s")) == 1
+    assert spark.conf.get(conf) == before
+    back = spark.read.schema(df.schema).parquet(f"{tmp_dir}/s")
+    assert sorted(back.collect(), key=lambda r: r.post_id) == sorted(df.collect(), key=lambda r: r.post_id)
+
+
+def test_a_small_append_leaves_one_file_a_day(spark, tmp_dir):
+    df = spark.range(0, 400, 1, 4).select(F.col("id").alias("post_id"), F.lit(2024).alias("year"), F.lit(1).alias("month"), (F.col("id") % 2 + 1).cast("int").alias("day"))
+    assert store.write_audited(df, f"{tmp_dir}/s", gather=True) == 400
+    assert len(spark.read.parquet(f"{tmp_dir}/s").inputFiles()) == 2
+
+
+def test_repeated_rows_are_made_in_one_pass(spark):
+    """posts_dirty and posts_new hold their repeats without a second read of the texts."""
+    for view, every in ((fixtures.posts_dirty, 50), (fixtures.posts_new, 40)):
+        df = view(spark, SF_SMALL)
+        assert "Union" not in plan(df)
+        n = {r.post_id: r["count"] for r in df.groupBy("post_id").count().collect()}
+        assert n and all(c == (2 if i % every == 0 else 1) for i, c in n.items())
