@@ -65,3 +65,22 @@ def test_repeated_rows_are_made_in_one_pass(spark):
         assert "Union" not in plan(df)
         n = {r.post_id: r["count"] for r in df.groupBy("post_id").count().collect()}
         assert n and all(c == (2 if i % every == 0 else 1) for i, c in n.items())
+
+
+def test_kept_answers_need_no_wave_after_wave(spark, tmp_dir):
+    """The same vocabularies as from a model asked wave by wave, in jobs that do not grow with the waves."""
+    from postlens.operators import topics
+    from test_flows import batches, model
+
+    vocab = spark.createDataFrame([("faq", "topic", "old"), ("issue", "subtopic", "x")], topics.VOCABULARY)
+    jobs = []
+    for n, wave, known in ((6, 1, None), (6, 4, vocab), (24, 1, vocab)):
+        df = batches(spark, n)
+        want = sorted(topics.answers_in_waves(df, model(), f"{tmp_dir}/m{n}-{wave}", wave, known).collect())
+        kept = spark.createDataFrame([(r.batch_id, r.response) for r in want] + [(10**6, want[0].response.replace('"x"', '"y"'))], "batch_id long, response string")
+        got = []
+        jobs.append(stages(spark, f"kept{n}-{wave}", lambda: got.extend(topics.answers_in_waves(df, kept, f"{tmp_dir}/k{n}-{wave}", wave, known).collect())))
+        assert sorted(got) == want
+    assert jobs[2] <= jobs[0] + 8  # 6 waves and 24 of them
+    none = topics.answers_in_waves(batches(spark, 2).limit(0), kept, f"{tmp_dir}/none")
+    assert none.count() == 0 and none.columns == ["batch_id", "vocabulary", "response"]
