@@ -24,7 +24,8 @@ from postlens.operators.firsts import first_rows, packed_order
 SITE = "https://x.com"
 SEARCH_URL = "https://x.com/search?q={q}&src=typed_query&f=live"
 
-ARTICLE_TAG = r"(?i)<article(?=[\s>/])[^>]*>|</article\s*>"
+# '<' comes first for all of it, so that plain text is passed over by one character's test.
+ARTICLE_TAG = r"<(?:(?i:article)(?=[\s>/])[^>]*|/(?i:article)\s*)>"
 HEADING = r"(?s)<h1[^>]*>(.*?)</h1>"
 HREF = r"<a\s[^>]*?href=\"([^\"]*)\""
 TAG = r"<[^>]+>"
@@ -54,7 +55,6 @@ def articles(pages: DataFrame) -> DataFrame:
     end of the page.  Tags may be written in either case; stray closing tags close nothing.
     """
     cut = pages.select("page_id", "url", F.regexp_extract_all("html", F.lit(ARTICLE_TAG), 0).alias("_tags"), F.split("html", ARTICLE_TAG, -1).alias("_parts"))
-    cut = cut.filter(F.size("_tags") > 0)
     steps = F.transform("_tags", lambda t: F.when(t.startswith("</"), F.lit(-1)).otherwise(F.lit(1)))
     cut = cut.withColumn("_depths", F.aggregate(steps, F.array().cast("array<int>"), lambda ds, s: F.concat(
         ds, F.array((F.coalesce(F.try_element_at(ds, F.lit(-1)), F.lit(0)) + s).cast("int")))))
@@ -66,8 +66,11 @@ def articles(pages: DataFrame) -> DataFrame:
         rest = F.transform(F.arrays_zip(F.slice("_tags", i + 2, inside).alias("t"), F.slice("_parts", i + 3, inside).alias("p")), lambda x: F.concat(x["t"], x["p"]))
         return F.concat(part[i + 1], F.array_join(rest, ""))
 
-    opened = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~tag[i].startswith("</"))
-    return cut.select("page_id", "url", F.posexplode(F.transform(opened, content)).alias("article_no", "article"))
+    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    opened = F.filter(every, lambda i: ~tag[i].startswith("</"))
+    # Outer, and without a filter before it: either would have the page cut once more to see whether it has articles.
+    out = cut.select("page_id", "url", F.posexplode_outer(F.transform(opened, content)).alias("article_no", "article"))
+    return out.filter(F.col("article_no").isNotNull())
 
 
 def absolute(url: Column, href: Column) -> Column:
@@ -148,6 +151,9 @@ class _Tree(HTMLParser):
         self.root = _Node("#root", {})
         self.stack = [self.root]
 
+    def updatepos(self, i, j):
+        return j  # nobody asks for lines and columns
+
     def handle_starttag(self, tag, attrs):
         n = _Node(tag, dict(attrs))
         self.stack[-1].children.append(n)

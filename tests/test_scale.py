@@ -84,3 +84,22 @@ def test_kept_answers_need_no_wave_after_wave(spark, tmp_dir):
     assert jobs[2] <= jobs[0] + 8  # 6 waves and 24 of them
     none = topics.answers_in_waves(batches(spark, 2).limit(0), kept, f"{tmp_dir}/none")
     assert none.count() == 0 and none.columns == ["batch_id", "vocabulary", "response"]
+
+
+def test_a_page_is_cut_once(spark):
+    """Neither a filter nor the generator's own check computes the page's tags a second time; tags are the same as by the plain expression."""
+    import random
+
+    from postlens.operators import extract
+
+    rnd = random.Random(3)
+    bits = ["<article", "<ARTICLE", "</article", "</Article", ">", " ", "\n", "/", "<", "x", " class='a'", "<articles>", "</articlex>"]
+    rows = [(i, "u", "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12)))) for i in range(2000)] + [(2000, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    cut = extract.articles(spark.read.parquet(f"{SF_SMALL}/pages.parquet"))
+    assert plan(cut).count("regexp_extract_all") == 1
+    plain = r"(?i)<article(?=[\s>/])[^>]*>|</article\s*>"
+    found = pages.select(F.regexp_extract_all("html", F.lit(plain), 0).alias("a"), F.regexp_extract_all("html", F.lit(extract.ARTICLE_TAG), 0).alias("b"))
+    assert found.filter(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
+    opened = sum(1 for r in found.collect() for t in r.a or [] if not t.startswith("</"))
+    assert extract.articles(pages).count() == opened > 0
