@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from postlens.operators import firsts
-from postlens.sources import fixtures, store
+from postlens.operators import clean, firsts, topics
+from postlens.plans import labelling, storage
+from postlens.session import settings, work_dir
+from postlens.sources import fixtures, store, work
 
 from conftest import SF_SMALL
 
@@ -103,3 +105,21 @@ def test_a_page_is_cut_once(spark):
     assert found.filter(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
     opened = sum(1 for r in found.collect() for t in r.a or [] if not t.startswith("</"))
     assert extract.articles(pages).count() == opened > 0
+
+
+def test_topics_write_the_texts_once(spark, monkeypatch):
+    kept = []
+
+    def counted(df, name):
+        if "tweetText" in df.columns:
+            kept.append(name)
+        return written(df, name)
+
+    written = work.work_table
+    monkeypatch.setattr(work, "work_table", counted)
+    monkeypatch.setattr(topics, "work_table", counted)
+    for key in ("classify_posts", "drill_down"):
+        kept.clear()
+        monkeypatch.setattr(storage, "content_dir", lambda spark, name, inputs: work_dir(spark, name))
+        E.queries()[key](spark, SF_SMALL).collect()
+        assert kept == ["to-label"]
