@@ -123,3 +123,19 @@ def test_topics_write_the_texts_once(spark, monkeypatch):
         monkeypatch.setattr(storage, "content_dir", lambda spark, name, inputs: work_dir(spark, name))
         E.queries()[key](spark, SF_SMALL).collect()
         assert kept == ["to-label"]
+
+
+def test_drill_down_cleans_once(spark, monkeypatch):
+    """The topics store is made from the cleaned posts that the links come from."""
+    calls = []
+
+    def counted(posts, dedup=True):
+        calls.append(dedup)
+        return cleaned(posts, dedup)
+
+    cleaned = clean.clean_posts
+    monkeypatch.setattr(clean, "clean_posts", counted)
+    monkeypatch.setattr(topics, "clean_posts", counted)
+    monkeypatch.setattr(storage, "content_dir", lambda spark, name, inputs: work_dir(spark, name))
+    assert E.queries()["drill_down"](spark, SF_SMALL).count()
+    assert calls == [True]
