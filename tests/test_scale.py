@@ -139,3 +139,18 @@ def test_drill_down_cleans_once(spark, monkeypatch):
     monkeypatch.setattr(storage, "content_dir", lambda spark, name, inputs: work_dir(spark, name))
     assert E.queries()["drill_down"](spark, SF_SMALL).count()
     assert calls == [True]
+
+
+def test_answers_gather_texts_by_batch_once(spark, monkeypatch):
+    """Written answers: no text is moved to meet its labels, only to its batch."""
+    plans = []
+
+    def seen(df, name):
+        if name == "recorded":
+            plans.append(plan(df))
+        return work.work_table(df, name)
+
+    monkeypatch.setattr(labelling, "work_table", seen)
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        E.queries()["running_vocab"](spark, SF_SMALL)
+    assert "tweetText" in plans[0] and "hashpartitioning(rn" not in plans[0]
