@@ -10,7 +10,9 @@ A group (all ids that share a key) may hold very many ids, most of them alike.
 3. Pairs of ids that share a group, lie in different components, have not been
    compared and can link at all are then compared, each once.  So no link between
    two components is missed, and nothing is capped: links that are not looked
-   for would join ids that are connected already.
+   for would join ids that are connected already.  ``marks`` tell here which pairs can
+   link: in a group of near copies that are too far from each other to link, its
+   pairs are met by a bit test each, but make no rows.
 """
 
 from __future__ import annotations
@@ -46,13 +48,16 @@ def _unfinished(groups: DataFrame, links: DataFrame) -> DataFrame:
     return known.join(open_keys, "key")
 
 
-def link(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: str = "true") -> DataFrame:
+def link(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: str = "true",
+         marks: DataFrame | None = None, likely: str = "true") -> DataFrame:
     """Links (u, v) whose components are those of all pairs that share a group and are verified.
 
     groups: key long, id long (no nulls), optionally cost and facts of the id.
     ``verify`` takes pairs (a, b), a < b, each once, and returns the pairs that link.
     ``possible``: SQL over the facts of two ids (the second one's end in 2) that holds for
     every pair that links.  Facts are copied into every group of the id: keep them small.
+    ``marks``: larger facts, one row for every id; only what the stars leave open meets them.
+    ``likely``: SQL like ``possible``, over the marks too.
     """
     if "cost" not in groups.columns:
         groups = groups.withColumn("cost", F.lit(0.0))
@@ -69,7 +74,9 @@ def link(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], possible:
         groups = stored(_unfinished(groups, links), "groups")
         if groups.isEmpty():
             return links
+    if marks is not None:
+        groups = groups.join(marks, "id")
     other = groups.select("key", *[F.col(c).alias(f"{c}2") for c in groups.columns if c != "key"])
-    rest = (groups.join(other, "key").filter(f"id < id2 and component <> component2 and ({possible})")
+    rest = (groups.join(other, "key").filter(f"id < id2 and component <> component2 and ({possible}) and ({likely})")
             .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     return links.union(verify(stored(rest, "rest")).select(F.col("a").alias("u"), F.col("b").alias("v")))

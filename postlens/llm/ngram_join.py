@@ -10,7 +10,9 @@
 3. Classes that can reach the threshold share an n-gram of their prefixes (the
    rarest ones, as many as may be missed); these groups give candidates
    (``candidates.link``), so an n-gram that is everywhere makes no group unless it
-   is among the rarest of a document.
+   is among the rarest of a document.  Each class has ``PARTS`` bits, one for each part of
+   the hash space that holds a shared n-gram; a bit of one class alone is an n-gram
+   of it alone, so pairs with too many of these are left out and none that links is.
 4. Verification: pivots cut the order into fragments, each class is cut into
    segments, partial overlaps are counted segment by segment and summed per pair,
    and the exact test is ``100 * overlap >= percent * union``.
@@ -36,12 +38,14 @@ from postlens.llm.components import components
 
 KEY_BITS = 48
 FRAGMENTS = 4
+PARTS = 1024
+MARKS = [f"mark_{chr(97 + i)}" for i in range(PARTS // 64)]
 TOP = (1 << 15) - 1  # document counts from here on share a place in the order, hash decides
 STEP = np.uint64(0xA0761D6478BD642F)
 
 SENT = "p long, b long, n int, keys binary, docs binary"
 SENT_ARROW = pa.schema([("p", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
-ROWS = "kind int, doc_id long, n long, class long, places array<long>"
+ROWS = "kind int, doc_id long, n long, class long, places array<long>, marks array<long>"
 
 
 def ngram_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +124,21 @@ def _share(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["p", "b", "n", "keys", "docs"])
 
 
+def marks_of(place: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The bits of each row's places, 64 a column."""
+    bit = mix(place.astype(np.uint64)) >> np.uint64(64 - PARTS.bit_length() + 1)
+    out = np.zeros((rows, PARTS // 64), np.uint64)
+    np.bitwise_or.at(out, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def likely(percent: int) -> str:
+    """SQL for ``link``: the common n-grams are at most the shared ones without a bit of their own."""
+    own, other = (" - ".join(f"bit_count({c}{x} & ~{c}{y})" for c in MARKS) for x, y in (("", "2"), ("2", "")))
+    common = f"least(shared - {own}, shared2 - {other})"
+    return f"100 * {common} >= {percent} * (n + n2 - {common})"
+
+
 def _settle(percent: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One chunk: its documents, and the places of those that can have a partner."""
@@ -137,9 +156,11 @@ def _settle(percent: int):
         alive = alive[np.unique(of_class[alive], return_index=True)[1]]  # each class once
         ids = pd.array(ids, dtype="Int64")
         ids[~known] = pd.NA
-        docs = pd.DataFrame({"kind": 0, "doc_id": ids, "n": n, "class": of_class, "places": None})
+        docs = pd.DataFrame({"kind": 0, "doc_id": ids, "n": n, "class": of_class, "places": None, "marks": None})
+        own = [place[ends[i] - have[i]:ends[i]] for i in alive]
+        marks = marks_of(np.concatenate([place[:0], *own]), np.repeat(np.arange(len(alive)), have[alive]), len(alive))
         sets = pd.DataFrame({"kind": 1, "doc_id": pd.array([pd.NA] * len(alive), dtype="Int64"), "n": n[alive], "class": of_class[alive],
-                             "places": [place[ends[i] - have[i]:ends[i]] for i in alive]})
+                             "places": own, "marks": list(marks)})
         return pd.concat([docs, sets], ignore_index=True) if len(sets) else docs
 
     return run
@@ -190,14 +211,15 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
     shared = sent.groupBy("b").applyInPandas(_share, SENT)
     table = stored(shared.groupBy("p").applyInPandas(_settle(percent), ROWS), "sets")
     rows = table.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "class")
-    sets = stored(table.filter("kind = 1").select("class", "n", "places").dropDuplicates(["class"]), "classes")
+    sets = stored(table.filter("kind = 1").select("class", "n", "places", "marks").dropDuplicates(["class"]), "classes")
     # Unshared n-grams come first in the order and are the first to be missed.
     prefix = F.slice("places", F.lit(1), F.greatest(F.size("places") - _ceil_percent(percent) + 1, F.lit(1)).cast("int"))
     groups = sets.select(F.explode(prefix).alias("key"), F.col("class").alias("id"), "n", F.size("places").alias("shared"),
                          (F.col("n") - F.size("places")).cast("double").alias("cost"))
     # Two sets have no more in common than either shares with anybody.
     possible = f"100 * least(shared, shared2) >= {percent} * (n + n2 - least(shared, shared2))"
-    roots = components(link(groups, _verifier(sets, percent), possible)).withColumnsRenamed({"node": "class", "component": "root"})
+    marks = sets.select(F.col("class").alias("id"), *[F.col("marks")[i].alias(c) for i, c in enumerate(MARKS)])
+    roots = components(link(groups, _verifier(sets, percent), possible, marks, likely(percent))).withColumnsRenamed({"node": "class", "component": "root"})
     placed = rows.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     # Copies may be very many rows of one class: their minimum is an aggregate, the join back a skewed join.
     least = placed.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -156,6 +156,37 @@ def test_many_near_copies_make_few_pairs(spark, documents, monkeypatch):
     assert sum(seen) < 250 * 20
 
 
+def test_near_copies_that_do_not_link_make_few_pairs(documents, monkeypatch):
+    """Each copy is near a text that is not there and too far from the others, but for some."""
+    rnd = random.Random(5)
+    base = words_of(rnd, 200)
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for k, at in enumerate(rnd.sample(range(200), 3)):
+            copy[at] = f"n{i}-{k}"
+        rows.append((i, " ".join(copy)))
+    for i in range(0, 150, 10):
+        rows.append((200 + i, rows[i][1].replace(f"n{i}-0", f"m{i}")))
+    seen = []
+    real = ngram_join._verifier
+
+    def counting(*a):
+        verify = real(*a)
+
+        def run(pairs):
+            seen.append(pairs.count())
+            return verify(pairs)
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_verifier", counting)
+    got = sorted(map(tuple, ngram_join.ngram_components(documents(rows)).collect()))
+    want = brute_ngrams(rows, 4, 85)
+    assert got == want and len({c for _, _, c in want}) > 100
+    assert sum(seen) < len(rows) * 10
+
+
 # ---------------------------------------------------------------- line dedup
 
 def brute_lines(rows, similarity=0.8, min_chars=20):
