@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import doc_texts, stored
+from postlens.llm.common import doc_texts, remembered, stored
 
 CAPACITY = 2048
 KEPT_BYTES = 320 << 20
@@ -89,10 +88,9 @@ class TokenIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=1)
 def shared_ids(path: str) -> TokenIds:
     """One memory for all tasks that a Python worker runs."""
-    return TokenIds(path)
+    return remembered(("ids", path), lambda: TokenIds(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import CHUNK_BYTES, doc_of, stored, whole
+from postlens.llm.common import CHUNK_BYTES, doc_of, forget, stored, whole
 
 TRAIN_ROWS = 8_000
 TRAIN_WORDS = 16_000_000
@@ -163,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, targets: dict[str, str], rows: int
     names = [f"y_{k}" for k in targets]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for big in batches:
             for b in _slices(big, 1):
                 doc, word, dense = _features(b.column(1))
@@ -198,6 +199,7 @@ def _scored(docs: DataFrame, models: dict[str, Classifier | None], prefix: str)
     schema = T.StructType(docs.schema.fields + [T.StructField(f"{prefix}{k}", T.DoubleType()) for k in models])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for big in batches:
             at = big.num_columns - 1
             for b in _slices(big, at):

@@ -12,13 +12,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from postlens.llm.common import doc_texts
+from postlens.llm.common import doc_texts, remembered
 
 NO_RANK = np.int32(2**31 - 1)
 # White space runs begin here; Python's \s holds every space of the tokenizer.
@@ -209,10 +208,9 @@ class TokenCounter:
         return out + self._some(texts[lo:])
 
 
-@lru_cache(maxsize=1)
 def shared_counter(path: str) -> TokenCounter:
     """One counter for all tasks that a Python worker runs."""
-    return TokenCounter(path)
+    return remembered(("counter", path), lambda: TokenCounter(path))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:

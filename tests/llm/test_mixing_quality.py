@@ -256,3 +256,18 @@ def test_the_sample_is_bounded_whatever_repeats(spark, documents, monkeypatch):
     assert seen[-1] == (1, 2)
     quality.train(documents(rows), marks, quality.TARGETS, rows=10, words=30)
     assert seen[-1][0] < 10 and seen[-1][1] <= 30
+
+
+def test_workers_keep_nothing_of_another_operator(spark, documents):
+    """Ids that packing remembered in a Python worker are gone when the worker judges texts."""
+    from postlens.llm.packing import pieces
+    from postlens.llm.queries import tokenizer
+
+    class Held:  # a model that tells how many such memories its worker holds
+        def __reduce__(self):
+            held = "sum(type(x).__name__ == 'TokenIds' for x in __import__('gc').get_objects())"
+            return eval, (f"__import__('types').SimpleNamespace(logits=lambda doc, word, dense: dense[:, 0] * 0 + {held})",)
+
+    docs = documents([(i, f"text {i} of some words") for i in range(64)]).repartition(8)
+    assert pieces(docs, tokenizer("word_bpe_49k.json")).count() == 64
+    assert [r.x_held for r in quality._scored(docs, {"held": Held()}, "x_").select("x_held").distinct().collect()] == [0.0]
