@@ -1,6 +1,9 @@
 """From groups of candidates to verified links, without all pairs of a group.
 
 A group (all ids that share a key) may hold very many ids, most of them alike.
+0. Of groups that the caller marks as ``few`` all pairs that can link are listed; each id is
+   compared with its smallest partner, and what then lies in different components too.
+   So the facts of the many small groups of ids that are not alike are moved once.
 1. Star: every id is compared with a hub of each of its groups.  Hubs have the
    smallest cost (the most typical ids first), then the smallest of one of
    ``COLOURS`` hashes, the key choosing which; so groups of the same ids share a
@@ -40,6 +43,24 @@ def _star(groups: DataFrame, seed: int, possible: str) -> DataFrame:
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
+def _pairs(groups: DataFrame, condition: str) -> DataFrame:
+    """(a, b), a < b: the pairs of a group that meet a condition."""
+    other = groups.select("key", *[F.col(c).alias(f"{c}2") for c in groups.columns if c != "key"])
+    return (groups.join(other, "key").filter(f"id < id2 and {condition}")
+            .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
+
+
+def _of_pairs(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (u, v) whose components are those of all ``pairs`` that are verified."""
+    star = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+    found = stored(verify(star).select(F.col("a").alias("u"), F.col("b").alias("v")), "found")
+    now = components(found)
+    rest = (pairs.join(star, ["a", "b"], "left_anti").join(now.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left")
+            .join(now.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+            .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    return found.union(stored(verify(stored(rest, "rest")).select(F.col("a").alias("u"), F.col("b").alias("v")), "found"))
+
+
 def _unfinished(groups: DataFrame, links: DataFrame) -> DataFrame:
     """The rows of groups that hold more than one component."""
     now = components(links).withColumnsRenamed({"node": "id", "component": "now"})
@@ -52,17 +73,24 @@ def link(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], possible:
          marks: DataFrame | None = None, likely: str = "true") -> DataFrame:
     """Links (u, v) whose components are those of all pairs that share a group and are verified.
 
-    groups: key long, id long (no nulls), optionally cost and facts of the id.
+    groups: key long, id long (no nulls), optionally cost and facts of the id, each row once.
+    few boolean, if there: the key's group is small enough for all its pairs.
     ``verify`` takes pairs (a, b), a < b, each once, and returns the pairs that link.
     ``possible``: SQL over the facts of two ids (the second one's end in 2) that holds for
     every pair that links.  Facts are copied into every group of the id: keep them small.
     ``marks``: larger facts, one row for every id; only what the stars leave open meets them.
     ``likely``: SQL like ``possible``, over the marks too.
     """
+    tried = links = None
+    if "few" in groups.columns:
+        tried = stored(_pairs(groups.filter("few").drop("few"), possible), "few")
+        links = _of_pairs(tried, verify)
+        groups = groups.filter("not few").drop("few")
     if "cost" not in groups.columns:
         groups = groups.withColumn("cost", F.lit(0.0))
-    groups = stored(groups.withColumn("component", F.col("id")).dropDuplicates(["key", "id"]), "groups")
-    tried = links = None
+    groups = stored(groups.withColumn("component", F.col("id")), "groups")
+    if groups.isEmpty() and links is not None:
+        return links
     for seed in range(STARS):
         pairs = _star(groups, seed, possible)
         if tried is not None:
@@ -76,7 +104,5 @@ def link(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], possible:
             return links
     if marks is not None:
         groups = groups.join(marks, "id")
-    other = groups.select("key", *[F.col(c).alias(f"{c}2") for c in groups.columns if c != "key"])
-    rest = (groups.join(other, "key").filter(f"id < id2 and component <> component2 and ({possible}) and ({likely})")
-            .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = _pairs(groups, f"component <> component2 and ({possible}) and ({likely})").join(tried, ["a", "b"], "left_anti")
     return links.union(verify(stored(rest, "rest")).select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -70,6 +70,28 @@ def test_candidate_links_have_all_components(spark, gap):
         assert sum(tried) < 250 * 249 / 2  # even where one group holds all ids and few of them link
 
 
+def test_small_groups_of_unlike_lines_are_not_carried_on(documents, monkeypatch):
+    """Lines that share a band key with a few others are told apart once; no table of them is written for each star."""
+    from postlens.llm import candidates
+
+    rnd = random.Random(6)
+    lines = ["".join(rnd.choice("abcd ") for _ in range(60)) for _ in range(120)]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(500 + i, lines[i] + "b") for i in range(0, 120, 3)]
+    carried, real = [], candidates.stored
+
+    def counting(df, name):
+        out = real(df, name)
+        if name == "groups":
+            carried.append(out.count())
+        return out
+
+    monkeypatch.setattr(candidates, "stored", counting)
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(documents(rows), min_chars=1).collect())
+    assert got == sorted(brute_lines(rows, min_chars=1))
+    assert sum(1 for d, x in got if d >= 500 and x == "") >= 38
+    assert sum(carried) == 0
+
+
 # ---------------------------------------------------------------- n-gram join
 
 def words_of(rnd, n):
