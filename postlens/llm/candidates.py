@@ -78,7 +78,7 @@ def link(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], possible:
     ``verify`` takes pairs (a, b), a < b, each once, and returns the pairs that link.
     ``possible``: SQL over the facts of two ids (the second one's end in 2) that holds for
     every pair that links.  Facts are copied into every group of the id: keep them small.
-    ``marks``: larger facts, one row for every id; only what the stars leave open meets them.
+    ``marks``: larger facts, one row for every id (and for each value of other columns that both have); only what the stars leave open meets them.
     ``likely``: SQL like ``possible``, over the marks too.
     """
     tried = links = None
@@ -103,6 +103,6 @@ def link(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], possible:
         if groups.isEmpty():
             return links
     if marks is not None:
-        groups = groups.join(marks, "id")
+        groups = groups.join(marks, [c for c in marks.columns if c in groups.columns])
     rest = _pairs(groups, f"component <> component2 and ({possible}) and ({likely})").join(tried, ["a", "b"], "left_anti")
     return links.union(verify(stored(rest, "rest")).select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -377,6 +377,63 @@ def test_lines_of_every_length_of_shingles_link(documents):
     assert [r.doc_id for r in got] == [90]
 
 
+SYLLABLES = ["the", "in", "an", "er", "on", "re", "ti", "ha", "nd", "es"]
+
+
+def spoken(rnd, n):
+    return " ".join("".join(rnd.choice(SYLLABLES) for _ in range(rnd.randint(1, 4))) for _ in range(n))
+
+
+def test_lines_alike_by_chance_make_no_groups(documents, monkeypatch):
+    """Lines of one language share band keys; only those that can be alike are carried on, once for all their bands."""
+    rnd = random.Random(8)
+    lines = [spoken(rnd, rnd.randint(8, 12)) for _ in range(400)]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(1000 + i, lines[i] + " x") for i in range(0, 400, 20)]
+    carried, real = [], line_dedup.stored
+
+    def counting(df, name):
+        out = real(df, name)
+        if name == "bands":
+            carried.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counting)
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(documents(rows), min_chars=1).collect())
+    assert got == sorted(brute_lines(rows, min_chars=1))
+    assert 2 * 20 <= carried[0] <= 8 * 20
+
+
+@pytest.mark.parametrize("groups", [1, 40])
+def test_parts_keep_alike_lines_together(groups):
+    """Groups of many and of few lines are cut, never between two lines that are alike."""
+    rnd = random.Random(groups)
+    lines = [spoken(rnd, rnd.randint(2, 14)) for _ in range(200)]
+    lines = sorted({line_dedup.normal(x) for x in lines + [x[:-3] + "q" for x in lines] if len(x) > 5})
+    n, bits = line_dedup.summaries(lines, 3)
+    group = np.arange(len(lines)) // 2 % groups
+    order = np.lexsort((n, group))
+    facts = np.zeros(len(lines), line_dedup.FACTS)
+    facts["n"], facts["bits"] = n, bits.view(np.uint64)
+    label = line_dedup.parts(np.bincount(group), facts[order], 0.8)
+    sets = [line_dedup.shingles(lines[i], 3) for i in order]
+    group = group[order]
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if group[i] == group[j] and line_dedup.alike(s, sets[j], 0.8):
+                assert label[i] == label[j]
+    assert all(group[label] == group)
+    assert len(set(label.tolist())) > len(lines) / 4
+
+
+def test_lines_are_told_apart_as_one_by_one():
+    rnd = random.Random(9)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(2000))
+    lines = [text[:n] for n in (1, 2, 3, 50, 129, 130, 131, 161, 162, 163, 300, 511, 512, 513, 2000)]
+    lines += ["ab" * 5000, "ab" * 400 + text[:100], "ab" * 400 + text[:140], "ab" * 400 + text, "\u4f60\u597d" * 3]
+    got = {(size, x) for size, some in line_dedup._by_length(lines) for x in some}
+    assert got == {(size, x) for x in lines for size in line_dedup.lengths(x)}
+
+
 # ---------------------------------------------------------------- embeddings
 
 VECTORS = "vec_id long, embedding array<float>, label int, x string"
