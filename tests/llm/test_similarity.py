@@ -425,6 +425,52 @@ def test_parts_keep_alike_lines_together(groups):
     assert len(set(label.tolist())) > len(lines) / 4
 
 
+@pytest.mark.parametrize("block", [7, 2048])
+def test_large_groups_are_linked_by_pairs_of_blocks(documents, monkeypatch, block):
+    """Near copies of two lines and lines that share half of their shingles: all classes are found, no row is made for each pair."""
+    rnd = random.Random(block)
+    base = ["".join(rnd.choice("abcdefghij ") for _ in range(90)), "".join(rnd.choice("abcdefghij ") for _ in range(400))]
+    lines = [b[:k] + "#" + b[k + 1:] for b in base for k in range(5, 85, 2)]
+    lines += [base[0][:45] + "".join(rnd.choice("klmnop ") for _ in range(45)) for _ in range(40)]
+    rows = list(enumerate(lines))
+    links, real = [], line_dedup.components
+
+    def counting(df):
+        links.append(df.count())
+        return real(df)
+
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", block)
+    monkeypatch.setattr(line_dedup, "components", counting)
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(documents(rows), min_chars=1).collect())
+    assert got == sorted(brute_lines(rows, min_chars=1))
+    assert sum(1 for _, x in got if x) == 42
+    assert links[0] < 14 * len(lines)
+
+
+def test_alike_is_exact_for_lines_of_any_size():
+    """Counts by hashes, and shingles where a collision could decide, agree with sets."""
+    rnd = random.Random(4)
+    lines = sorted({line_dedup.normal("".join(rnd.choice("ab ") for _ in range(rnd.randint(9, 40)))) for _ in range(120)} - {""})
+    for size in (3, 8):
+        some = [x for x in lines if len(x) >= size]
+        held = line_dedup._Lines(some, size, 0.8)
+        x, y = np.triu_indices(len(some), 1)
+        want = [line_dedup.alike(line_dedup.shingles(some[i], size), line_dedup.shingles(some[j], size), 0.8) for i, j in zip(x, y)]
+        assert held.alike(x, y).tolist() == want
+        for fine in (False, True):
+            assert not (np.array(want) & ~held.can(x, y, fine)).any()
+        assert held.n.tolist() == [len(line_dedup.shingles(z, size)) for z in some]
+
+
+def test_candidate_lines_have_their_bit(spark):
+    ids = [0, -1, 5, 2**63 - 1, -(2**63), 1 << 20, 12345678901]
+    held = line_dedup._bitmap(spark.createDataFrame([(x,) for x in ids], "id long"))
+    own = np.array(ids, np.int64) & (8 * len(held) - 1)
+    assert (held[own >> 3] >> (own & 7) & 1).tolist() == [1] * len(ids)
+    assert np.unpackbits(held).sum() <= len(ids)
+    assert not line_dedup._bitmap(spark.createDataFrame([], "id long")).any()
+
+
 def test_lines_are_told_apart_as_one_by_one():
     rnd = random.Random(9)
     text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(2000))
