@@ -22,6 +22,9 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": "false",
 }
 
+# Compressed JSON cannot be split: so many rows are read by one task.
+_JSON_FILE_ROWS = 50_000
+
 
 def _strings(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
@@ -45,8 +48,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def write_json_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Captured records as JSON lines (one object per post)."""
-    df.write.mode(mode).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    """Captured records as JSON lines (one object per post), compressed; a file is read by one task, so its rows are bounded."""
+    (df.write.mode(mode).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").option("compression", "gzip")
+     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", _JSON_FILE_ROWS).json(path))
 
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

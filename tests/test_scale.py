@@ -154,3 +154,39 @@ def test_answers_gather_texts_by_batch_once(spark, monkeypatch):
     with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         E.queries()["running_vocab"](spark, SF_SMALL)
     assert "tweetText" in plans[0] and "hashpartitioning(rn" not in plans[0]
+
+
+@pytest.mark.parametrize("key", ["extract_posts", "extract_quoted"])
+def test_pages_are_put_together_where_their_texts_are(spark, key):
+    """Nothing is shuffled once a page holds its posts' texts."""
+    p = plan(E.queries()[key](spark, SF_SMALL))
+    assert "Exchange" not in p[:p.index("Join")]
+
+
+def test_pages_hold_the_posts_of_any_documents(spark, tmp_dir):
+    """Document ids that are missing, repeated, null or beyond their number, repeated and odd events, a null text."""
+    from postlens.schemas import TABLE_SCHEMAS
+
+    docs = [(0, "zero & <one>"), (1, "first"), (2, "a"), (2, "b"), (7, "beyond"), (None, "none"), (5, None)]
+    events = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 13, 21, 30, 37, 100]
+    d = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string")
+    d.selectExpr(*[f"cast({f.name if f.name in d.columns else 'null'} as {f.dataType.simpleString()}) as {f.name}" for f in TABLE_SCHEMAS["documents"].fields]).write.parquet(f"{tmp_dir}/documents.parquet")
+    e = spark.createDataFrame([(i, "view", 7) for i in events], "event_id long, event_type string, user_id long").withColumn("ts", F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))
+    e.selectExpr(*[f"cast({f.name if f.name in e.columns else 'null'} as {f.dataType.simpleString()}) as {f.name}" for f in TABLE_SCHEMAS["events"].fields]).write.parquet(f"{tmp_dir}/events.parquet")
+    posts = fixtures.posts(spark, tmp_dir).filter("tweetText is not null").collect()
+    assert len({r.post_id for r in posts}) < len(posts)
+    want = sorted((r.post_id // 2, r.tweetText.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")) for r in posts)
+    for pages, head, tail in ((fixtures.post_pages, "<p>", "</p>"), (fixtures.quoting_pages, '"tweetText">', "</div>")):
+        got = [(r.page_id, x.split(tail)[0]) for r in pages(spark, tmp_dir).collect() for x in r.html.split(head)[1:]]
+        assert sorted(got) == want
+
+
+def test_json_records_are_compressed_in_files_of_bounded_rows(spark, tmp_dir, monkeypatch):
+    from postlens.sources import files
+
+    monkeypatch.setattr(files, "_JSON_FILE_ROWS", 40)
+    df = spark.range(0, 100, 1, 1).select(F.concat(F.lit("line\n\"{"), F.col("id")).alias("tweetText"), F.col("id").alias("post_id"))
+    files.write_json_records(df, f"{tmp_dir}/j")
+    back = spark.read.schema(df.schema).json(f"{tmp_dir}/j")
+    assert len(back.inputFiles()) == 3 and all(f.endswith(".json.gz") for f in back.inputFiles())
+    assert sorted(files.read_json_records(spark, f"{tmp_dir}/j", df.schema).collect()) == sorted(df.collect())
