@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.candidates import link
-from postlens.llm.common import (bucket_bits, bucket_edges, chunks, doc_of, doc_texts, mix, pack, pack_sorted, stored, unpack,
+from postlens.llm.common import (CHUNK_BYTES, bucket_bits, bucket_edges, chunks, doc_of, doc_texts, mix, pack, pack_sorted, stored, unpack,
                                  unpack_sorted, word_hashes, words)
 from postlens.llm.components import components
 
@@ -82,7 +82,7 @@ def ngram_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _send(size: int, bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for p, b in chunks(batches):
+        for p, b in chunks(batches, CHUNK_BYTES // 2):  # its arrays are many times the text
             key, doc = ngram_sets(b.column(1), size)
             n = np.bincount(doc, minlength=b.num_rows).astype(np.int64)
             total, twist = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
