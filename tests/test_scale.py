@@ -190,3 +190,38 @@ def test_json_records_are_compressed_in_files_of_bounded_rows(spark, tmp_dir, mo
     back = spark.read.schema(df.schema).json(f"{tmp_dir}/j")
     assert len(back.inputFiles()) == 3 and all(f.endswith(".json.gz") for f in back.inputFiles())
     assert sorted(files.read_json_records(spark, f"{tmp_dir}/j", df.schema).collect()) == sorted(df.collect())
+
+
+def test_a_micro_batch_is_written_not_cached(spark, tmp_dir, monkeypatch):
+    """What the checks of a batch read is a work table, of which they take the columns they need."""
+    from postlens.streaming import ingest as sing
+
+    seen, real = [], sing.quality.quality_report
+
+    def report(batch, *args):
+        seen.append(batch._jdf.queryExecution().optimizedPlan().toString())
+        return real(batch, *args)
+
+    monkeypatch.setattr(sing.quality, "quality_report", report)
+    cfg = sing.IngestConfig(posts_path=f"{tmp_dir}/posts", topics_path=f"{tmp_dir}/topics", state_path=f"{tmp_dir}/state", rules=fixtures.topic_rules(spark))
+    assert sing.ingest_batch(spark, fixtures.posts(spark, SF_SMALL), 0, cfg)["posts_added"] > 0
+    assert len(seen) == 1 and "InMemoryRelation" not in seen[0] and "Join" not in seen[0]
+
+
+def test_a_repeated_append_moves_no_text(spark, tmp_dir, monkeypatch):
+    from postlens.operators import ingest
+
+    old, new = fixtures.stored(fixtures.posts_store(spark, SF_SMALL)), fixtures.stored(fixtures.posts_new(spark, SF_SMALL))
+    assert ingest.append_new(spark, old, f"{tmp_dir}/s") == old.count()
+    want = ingest.new_rows(new, old).count()
+    plans, real = [], store.write_audited
+
+    def written(df, *args, **kw):
+        plans.append(plan(df))
+        return real(df, *args, **kw)
+
+    monkeypatch.setattr(store, "write_audited", written)
+    assert ingest.append_new(spark, new, f"{tmp_dir}/s") == want
+    assert len(plans) == 1 and "postlens_digests" not in plans[0]  # rows are picked by their ids, known before
+    assert ingest.append_new(spark, new, f"{tmp_dir}/s") == 0
+    assert len(plans) == 1
