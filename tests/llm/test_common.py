@@ -42,3 +42,18 @@ def test_blobs_round_trip(n):
     assert edges[0] == 0 and edges[-1] == n and len(edges) == 17
     for b in range(16):
         assert (keys[edges[b]:edges[b + 1]] >> np.uint64(60) == b).all()
+
+
+def test_rows_go_to_python_in_batches_of_less_than_a_chunk(spark):
+    """Few rows of long texts make more than one batch."""
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    texts = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("text "), 200_000).alias("text"))
+    got = common.stored(texts.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert sum(r.n for r in got) == 60
+    assert max(r.size for r in got) < common.CHUNK_BYTES + 1_000_100
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
